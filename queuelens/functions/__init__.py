@@ -5,10 +5,9 @@ inside the JVM and inside whole-stage code generation.
 """
 
 from .casts import (coerce_number, clean_missing_text, epoch_ms_long, lenient_int,
-                    strict_date, truthy_text, truthy_variant, valid_crm_number,
-                    valid_crm_state)
+                    strict_date, truthy_text, valid_crm_number, valid_crm_state)
 from .dates import (age_text, age_years, date_of, day_diff, day_first_timestamp,
-                    epoch_date_text, epoch_text, year_diff)
+                    epoch_date_text, epoch_text, ms_text, year_diff)
 from .numbers import (locale_decimal, locale_int, python_round, ratio, rate_band,
                       signed_text, sql_round)
 from .privacy import hash_identity, hash_raw

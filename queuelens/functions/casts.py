@@ -43,21 +43,6 @@ def truthy_text(c: Column) -> Column:
     return F.coalesce(F.lower(strip(c.cast("string"))).isin(TRUE_TEXTS), F.lit(False))
 
 
-def truthy_variant(v: Column) -> Column:
-    """Flag of a JSON value: word list for text, non-zero for numbers, non-empty for
-    objects and arrays, false for null and for a missing value."""
-    kind = F.schema_of_variant(v)
-    text = F.try_variant_get(v, "$", "string")
-    return (
-        F.when(v.isNull() | F.is_variant_null(v), F.lit(False))
-        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
-        .when(kind == "STRING", truthy_text(text))
-        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"),
-              ~F.to_json(v).isin("{}", "[]"))
-        .otherwise(F.coalesce(F.try_variant_get(v, "$", "double") != 0, F.lit(False)))
-    )
-
-
 def coerce_number(c: Column, kind: str = "double") -> Column:
     """Number or 0 where the value is missing or no number."""
     zero = F.lit(0).cast(kind)

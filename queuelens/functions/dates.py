@@ -36,9 +36,13 @@ def epoch_text(c: Column, fmt: str = SECOND_FORMAT) -> Column:
 
     The number 0 counts as missing; callers pass text for values where "0" is data.
     """
-    ms = F.floor(c.cast("string").try_cast("double"))
-    ok = ms.between(EPOCH_MS_MIN, EPOCH_MS_MAX) & (ms != 0)
-    return F.when(ok, F.date_format(F.timestamp_millis(F.when(ok, ms)), fmt)).otherwise("")
+    return ms_text(F.floor(c.cast("string").try_cast("double")), fmt)
+
+
+def ms_text(ms: Column, fmt: str = SECOND_FORMAT) -> Column:
+    """``epoch_text`` for a BIGINT column."""
+    ok = (ms != 0) & ms.between(EPOCH_MS_MIN, EPOCH_MS_MAX)
+    return F.coalesce(F.date_format(F.when(ok, F.timestamp_millis(ms)), fmt), F.lit(""))
 
 
 def epoch_date_text(c: Column) -> Column:

@@ -11,6 +11,9 @@ from pyspark.sql import Column, functions as F
 NOT_INFORMED = "Não Informado"
 LABEL_WIDTH = 45
 
+# White space of any kind at either end, as Unicode defines it.
+STRIP_REGEX = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
 
 @lru_cache(maxsize=2)
 def _accent_table(form: str) -> tuple[str, str]:
@@ -55,17 +58,20 @@ def fold_compat(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(c, STRIP_REGEX, "")
 
 
 def normalise_breaks(c: Column) -> Column:
     r"""'\r\n' and '\r' become one blank, '\n' becomes two."""
-    return F.replace(F.regexp_replace(c, "\r\n?", " "), F.lit("\n"), F.lit("  "))
+    out = c
+    for found, put in (("\r\n", " "), ("\r", " "), ("\n", "  ")):
+        out = F.replace(out, F.lit(found), F.lit(put))
+    return out
 
 
 def unify_breaks(c: Column) -> Column:
     r"""Every line break becomes '\n'."""
-    return F.regexp_replace(c, "\r\n?", "\n")
+    return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def truncate_label(c: Column, width: int = LABEL_WIDTH) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import strip
+from ..functions import sqltext as q
 from ..rules import DEFAULT_RULES, Rules
 from ..schema import LEGACY_COLUMNS, REQUIRED_COLUMNS
 
@@ -34,94 +34,95 @@ def require_columns(df: DataFrame, required: Iterable[str] = REQUIRED_COLUMNS) -
 
 # --- documents ------------------------------------------------------------------------
 
-def _part(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "variant")
+# Fields of the document contract by kind of check.
+WHOLE, NUMBER, TEXT = "whole", "number", "text"
+ROOT_FIELDS = [("numeroCMCE", WHOLE, True), ("situacao", TEXT, True), ("dataSolicitacao", WHOLE, False)]
+BLOCKS = {
+    "usuarioSUS": [("nomeCompleto", TEXT, True), ("dataNascimento", WHOLE, False), ("cpf", TEXT, False)],
+    "classificacaoRisco": [("cor", TEXT, False), ("pontosGravidade", NUMBER, False),
+                           ("pontosTempo", NUMBER, False), ("totalPontos", NUMBER, False)],
+}
+EVENT_FIELDS = [("data", WHOLE, False), ("detalhes", TEXT, False)]
 
 
-def _missing(v: Column) -> Column:
-    return v.isNull() | F.is_variant_null(v)
+def _part(v: str, name: str) -> str:
+    return f"try_variant_get({v}, '$.{name}', 'variant')"
 
 
-def _kind(v: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+def _facts(v: str) -> str:
+    """JSON type of a value and, for scalars, its text."""
+    return (f"struct(regexp_extract(schema_of_variant({v}), '^[A-Z]+', 0) AS kind, "
+            f"try_variant_get({v}, '$', 'string') AS text)")
 
 
-def _is_int(v: Column) -> Column:
-    """Whole number, whole-valued decimal, boolean, or text that spells a whole number."""
-    kind, text = _kind(v), F.try_variant_get(v, "$", "string")
-    whole = F.try_variant_get(v, "$", "double") % 1 == 0
-    return ((kind.isin("BIGINT", "BOOLEAN")) | (kind.isin("DECIMAL", "DOUBLE", "FLOAT") & whole)
-            | ((kind == "STRING") & strip(text).rlike(r"^[+-]?[0-9]+(\.0+)?$")))
+def _absent(fact: str) -> str:
+    return f"coalesce({fact}.kind, 'VOID') = 'VOID'"
 
 
-def _is_number(v: Column) -> Column:
-    kind, text = _kind(v), F.try_variant_get(v, "$", "string")
-    return (kind.isin("BIGINT", "BOOLEAN", "DECIMAL", "DOUBLE", "FLOAT")
-            | ((kind == "STRING") & strip(text).try_cast("double").isNotNull()))
+def _fits(fact: str, check: str) -> str:
+    """Lax number rules: a boolean or a text that spells the number is accepted."""
+    kind, text = f"{fact}.kind", f"{fact}.text"
+    if check == TEXT:
+        return f"{kind} = 'STRING'"
+    numeric = f"{kind} IN ('BIGINT', 'BOOLEAN', 'DECIMAL', 'DOUBLE', 'FLOAT')"
+    if check == NUMBER:
+        return f"({numeric} OR ({kind} = 'STRING' AND try_cast({text} AS DOUBLE) IS NOT NULL))"
+    return (f"({kind} IN ('BIGINT', 'BOOLEAN') OR ({numeric} AND try_cast({text} AS DOUBLE) % 1 = 0) "
+            f"OR ({kind} = 'STRING' AND {q.strip(text)} RLIKE r'^[+-]?[0-9]+(\.0+)?$'))")
 
 
-def _is_text(v: Column) -> Column:
-    return _kind(v) == "STRING"
+def _rule(fact: str, name: str, check: str, required: bool) -> str:
+    missing = f"'{name}: missing'" if required else "NULL"
+    return (f"CASE WHEN {_absent(fact)} THEN {missing} "
+            f"WHEN NOT coalesce({_fits(fact, check)}, FALSE) THEN '{name}: wrong type' END")
 
 
-def _rule(v: Column, name: str, test, required: bool = False) -> Column:
-    bad = ~F.coalesce(test(v), F.lit(False))
-    wrong = F.when(~_missing(v) & bad, F.lit(f"{name}: wrong type"))
-    return F.when(_missing(v), F.lit(f"{name}: missing")).otherwise(wrong) if required else wrong
-
-
-def _block(v: Column, name: str, rules: list[Column]) -> list[Column]:
-    """Rules of an optional nested object; they apply only where the object is present."""
-    is_object = _kind(v) == "OBJECT"
-    wrong = F.when(~_missing(v) & ~is_object, F.lit(f"{name}: wrong type"))
-    return [wrong] + [F.when(~_missing(v) & is_object, r) for r in rules]
-
-
-def document_errors(text: Column) -> Column:
-    """Contract violations of a JSON document as an array of texts, empty when it is good.
+def with_errors(raw: DataFrame, text: str = "conteudo_json") -> DataFrame:
+    """Add ``errors``: contract violations of a JSON document, empty for a good one.
 
     Types are checked on the parsed value itself, since a typed parse would turn a number
-    into text silently. Unknown keys are fine.
+    into text silently. Unknown keys are fine. Null items and items that report a fetch
+    error count as corrupt. The parse and the type facts are columns of their own, so
+    each is worked out once per document.
     """
-    v = F.try_parse_json(text)
-    user, risk, events = (_part(v, f"$.{k}") for k in ["usuarioSUS", "classificacaoRisco", "evolucoes"])
-    rules = [
-        _rule(_part(v, "$.numeroCMCE"), "numeroCMCE", _is_int, required=True),
-        _rule(_part(v, "$.situacao"), "situacao", _is_text, required=True),
-        _rule(_part(v, "$.dataSolicitacao"), "dataSolicitacao", _is_int),
-        *_block(user, "usuarioSUS", [
-            _rule(_part(user, "$.nomeCompleto"), "usuarioSUS.nomeCompleto", _is_text, required=True),
-            _rule(_part(user, "$.dataNascimento"), "usuarioSUS.dataNascimento", _is_int),
-            _rule(_part(user, "$.cpf"), "usuarioSUS.cpf", _is_text)]),
-        *_block(risk, "classificacaoRisco", [
-            _rule(_part(risk, "$.cor"), "classificacaoRisco.cor", _is_text),
-            *[_rule(_part(risk, f"$.{f}"), f"classificacaoRisco.{f}", _is_number)
-              for f in ["pontosGravidade", "pontosTempo", "totalPontos"]]]),
-        F.when(~_missing(events) & (_kind(events) != "ARRAY"), F.lit("evolucoes: wrong type")),
-    ]
-    bad_events = F.transform(
-        F.coalesce(F.try_variant_get(events, "$", "array<variant>"), F.array().cast("array<variant>")),
-        lambda e: F.when(_kind(e) != "OBJECT", F.lit("evolucoes: wrong type")).otherwise(F.coalesce(
-            _rule(_part(e, "$.data"), "evolucoes.data", _is_int),
-            _rule(_part(e, "$.detalhes"), "evolucoes.detalhes", _is_text))))
-    found = F.array_compact(F.concat(F.array(*rules), F.array_distinct(bad_events)))
-    return F.when(v.isNull(), F.array(F.lit("document: no JSON"))).when(
-        _kind(v) != "OBJECT", F.array(F.lit("document: wrong type"))).otherwise(found)
-
-
-def is_corrupt(text: Column) -> Column:
-    """Null items and items that report a fetch error never reach the contract."""
-    v = F.try_parse_json(text)
-    return v.isNull() | F.is_variant_null(v) | _part(v, "$.error").isNotNull()
+    names = [n for n, _, _ in ROOT_FIELDS] + list(BLOCKS) + ["evolucoes", "error"]
+    facts = [f"{_facts(f'__p.{n}')} AS {n}" for n in names]
+    facts += [f"{_facts(_part(f'__p.{b}', n))} AS {b}_{n}" for b, fields in BLOCKS.items()
+              for n, _, _ in fields]
+    event_facts = ", ".join(f"{_facts(_part('e', n))} AS {n}" for n, _, _ in EVENT_FIELDS)
+    facts.append("transform(coalesce(try_variant_get(__p.evolucoes, '$', 'array<variant>'), array()), "
+                 f"e -> struct({_facts('e')} AS event, {event_facts})) AS events")
+
+    rules = [_rule(f"__f.{n}", n, check, need) for n, check, need in ROOT_FIELDS]
+    for block, fields in BLOCKS.items():
+        fact = f"__f.{block}"
+        rules.append(f"CASE WHEN NOT {_absent(fact)} AND {fact}.kind <> 'OBJECT' "
+                     f"THEN '{block}: wrong type' END")
+        rules += [f"CASE WHEN {fact}.kind = 'OBJECT' "
+                  f"THEN {_rule(f'__f.{block}_{n}', f'{block}.{n}', check, need)} END"
+                  for n, check, need in fields]
+    rules.append(f"CASE WHEN NOT {_absent('__f.evolucoes')} AND __f.evolucoes.kind <> 'ARRAY' "
+                 "THEN 'evolucoes: wrong type' END")
+    event_rule = ", ".join(_rule(f"e.{n}", f"evolucoes.{n}", check, need)
+                           for n, check, need in EVENT_FIELDS)
+    event_rules = ("array_distinct(transform(__f.events, e -> CASE WHEN coalesce(e.event.kind, '') "
+                   f"<> 'OBJECT' THEN 'evolucoes: wrong type' ELSE coalesce({event_rule}) END))")
+    errors = f"""CASE
+        WHEN __v IS NULL OR is_variant_null(__v) OR __p.error IS NOT NULL THEN array('payload: corrupt')
+        WHEN NOT {text} RLIKE r'^\s*\{{' THEN array('document: wrong type')
+        ELSE array_compact(concat(array({', '.join(rules)}), {event_rules})) END"""
+    parts = ", ".join(f"{_part('__v', n)} AS {n}" for n in names)
+    return (raw.withColumn("__v", F.try_parse_json(F.col(text)))
+            .selectExpr("*", f"struct({parts}) AS __p")
+            .selectExpr("*", f"struct({', '.join(facts)}) AS __f")
+            .selectExpr("*", f"{errors} AS errors").drop("__v", "__p", "__f"))
 
 
 def split_documents(raw: DataFrame, text: str = "conteudo_json") -> tuple[DataFrame, DataFrame]:
     """(good rows, dead letters). Every row lands in exactly one of the two."""
-    c = F.col(text)
-    checked = raw.withColumn("errors", F.when(
-        is_corrupt(c), F.array(F.lit("payload: corrupt"))).otherwise(document_errors(c)))
+    checked = with_errors(raw, text)
     good = checked.filter(F.size("errors") == 0).drop("errors")
-    dead = checked.filter(F.size("errors") > 0).withColumn("raw", c).drop(text)
+    dead = checked.filter(F.size("errors") > 0).withColumnRenamed(text, "raw")
     return good, dead
 
 

@@ -1,7 +1,9 @@
 """Request document (JSON text) to the wide flat row.
 
 The whole mapping is a chain of projections: each document holds its own history, so no
-shuffle is needed and a document never meets another one.
+shuffle is needed and a document never meets another one. Each parse result and each fold
+is a column of its own, so it is worked out once per document however many result columns
+read it.
 """
 
 from __future__ import annotations
@@ -10,294 +12,265 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import (epoch_date_text, epoch_ms_long, epoch_text, fold_compat, hash_identity,
-                         normalise_breaks, python_round, strip, truthy_variant)
-from ..schema import (DETAILS_DDL, DOCUMENT_DDL, BOOLEAN_COLUMNS, DATE_COLUMNS, REQUEST_COLUMNS,
-                      REQUEST_SCHEMA)
-from ..states import (CLINICAL_LABELS, MS_PER_DAY, REGULATOR, REQUESTER, is_final, new_owner,
-                      outcome_kind)
+from ..functions import fold_compat, sqltext as q
+from ..schema import (DETAILS_DDL, DOCUMENT_DDL, BOOLEAN_COLUMNS, COUNT_COLUMNS, DATE_COLUMNS,
+                      DAY_COLUMNS, POINT_COLUMNS, REQUEST_COLUMNS)
+from ..states import (CLINICAL_LABELS, FINAL_STATES, MS_PER_DAY, OUTCOMES, REGULATOR,
+                      REGULATOR_STATES, REQUESTER, REQUESTER_STATES)
 
 CORRUPT = "_corrupt_record"
 _JSON_OPTIONS = {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}
+_SQL_OPTIONS = f"map('columnNameOfCorruptRecord', '{CORRUPT}', 'mode', 'PERMISSIVE')"
 
 ITEMS_DDL = ("itensEvolucao ARRAY<STRUCT<codigo: STRING, label: STRING, texto: STRING>>, "
              f"{CORRUPT} STRING")
+SNAPSHOT_DDL = f"{DETAILS_DDL}, {CORRUPT} STRING"
 
 
+# --- parsing ----------------------------------------------------------------------------
+
 def parse_document(text: Column) -> Column:
     """Typed struct of a document; ``_corrupt_record`` is set where the text is no document."""
     return F.from_json(text, f"{DOCUMENT_DDL}, {CORRUPT} STRING", _JSON_OPTIONS)
 
 
-def parse_details(text: Column, ddl: str = ITEMS_DDL) -> Column:
-    """Tolerant parse of JSON inside JSON: anything that is no object gives null."""
-    body = strip(text)
-    parsed = F.from_json(F.when(body.startswith("{"), body), ddl, _JSON_OPTIONS)
-    return F.when(parsed[CORRUPT].isNull(), parsed)
+def parse_details(x: str, ddl: str = ITEMS_DDL) -> str:
+    """JSON inside JSON as a struct; null for a text that does not start an object.
+
+    Broken JSON sets ``_corrupt_record``; readers go through ``intact``.
+    """
+    return rf"from_json(CASE WHEN {x} RLIKE r'^\s*\{{' THEN {x} END, '{ddl}', {_SQL_OPTIONS})"
+
+
+def intact(parsed: str, field: str) -> str:
+    """A field of parsed details, null where the text was broken."""
+    return f"CASE WHEN {parsed}.{CORRUPT} IS NULL THEN {parsed}.{field} END"
 
 
-def or_blank(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
+def sorted_events(events: str) -> str:
+    """Events in time order; missing time is 0, ties keep their place."""
+    return f"""transform(array_sort(transform(coalesce({events}, array()), (e, i) -> struct(
+        coalesce({q.epoch_ms('e.data')}, 0L) AS ms, i AS pos, e AS e))), k -> struct(k.ms AS ms, k.e AS e))"""
 
 
-def first_filled(a: Column, b: Column) -> Column:
-    """The first value unless it is missing or '', else the second, else ''."""
-    return F.coalesce(F.nullif(a, F.lit("")), b, F.lit(""))
+def parsed_events(events: str) -> str:
+    """Add the parsed details to sorted events."""
+    return f"transform({events}, k -> struct(k.ms AS ms, k.e AS e, {parse_details('k.e.detalhes')} AS det))"
 
 
-def sorted_events(events: Column) -> Column:
-    """Events in time order with parsed items; missing time is 0, ties keep their place."""
-    keyed = F.transform(events, lambda e, i: F.struct(
-        F.coalesce(epoch_ms_long(e["data"]), F.lit(0)).alias("ms"), i.alias("pos"), e.alias("e")))
-    return F.transform(F.array_sort(keyed), lambda k: F.struct(
-        k["ms"].alias("ms"), k["e"].alias("e")))
+def item_texts(det: str) -> str:
+    """Label and stripped text of the non-empty items of parsed details."""
+    return f"""filter(transform(coalesce({intact(det, 'itensEvolucao')}, array()), i -> struct(
+        coalesce(i.label, i.codigo, 'Informação') AS label, {q.strip(q.blank('i.texto'))} AS texto)),
+        t -> t.texto <> '')"""
 
 
-def with_items(events: Column) -> Column:
-    """Add display time, user and non-empty items to sorted events."""
-    def enrich(k: Column) -> Column:
-        e = k["e"]
-        items = F.coalesce(parse_details(e["detalhes"])["itensEvolucao"], F.array())
-        texts = F.transform(items, lambda i: F.struct(
-            F.coalesce(i["label"], i["codigo"], F.lit("Informação")).alias("label"),
-            strip(or_blank(i["texto"])).alias("texto")))
-        return F.struct(
-            k["ms"].alias("ms"), epoch_text(e["data"]).alias("when"),
-            F.coalesce(e["usuario"]["nome"], F.lit("Sistema")).alias("user"),
-            or_blank(e["usuario"]["cpf"]).alias("cpf"), e["usuario"]["nome"].alias("actor"),
-            or_blank(e["perfil"]).alias("perfil"),
-            or_blank(e["operacaoSolicitacao"]).alias("oper"),
-            or_blank(e["situacaoAnterior"]).alias("before"),
-            or_blank(e["situacaoAtual"]).alias("state"),
-            F.filter(texts, lambda t: t["texto"] != "").alias("items"))
-    return F.transform(events, enrich)
+def display_events(events: str) -> str:
+    """Parsed events with display time, user, state and items."""
+    return f"""transform({events}, k -> struct(
+        k.ms AS ms, {q.ms_text('k.ms')} AS when, coalesce(k.e.usuario.nome, 'Sistema') AS user,
+        coalesce(k.e.usuario.cpf, '') AS cpf, k.e.usuario.nome AS actor, coalesce(k.e.perfil, '') AS perfil,
+        coalesce(k.e.operacaoSolicitacao, '') AS oper, coalesce(k.e.situacaoAnterior, '') AS before,
+        coalesce(k.e.situacaoAtual, '') AS state, {item_texts('k.det')} AS items))"""
 
 
-def until_final(events: Column) -> Column:
+def until_final(events: str) -> str:
     """Events up to and including the first final state."""
-    end = F.array_position(F.transform(events, lambda e: is_final(e["state"])), True)
-    return F.when(end > 0, F.slice(events, 1, end.cast("int"))).otherwise(events)
+    end = f"array_position(transform({events}, e -> e.state IN ({q.quoted(FINAL_STATES)})), TRUE)"
+    return f"CASE WHEN {end} > 0 THEN slice({events}, 1, CAST({end} AS INT)) ELSE {events} END"
+
+
+# --- folds over the events of one document ----------------------------------------------
+
+def ownership_of(events: str) -> str:
+    """Time per owner, interactions and present owner of events cut at the final state."""
+    mark = (f"CASE WHEN e.state IN ({q.quoted(REGULATOR_STATES)}) THEN '{REGULATOR}' "
+            f"WHEN e.state IN ({q.quoted(REQUESTER_STATES)}) THEN '{REQUESTER}' END")
+    delta = "coalesce(e.ms - a.last_ms, 0L)"
+    return f"""aggregate({events},
+        struct(0L AS requester_ms, 0L AS regulator_ms, 0L AS interactions, '{REQUESTER}' AS owner,
+               CAST(NULL AS BIGINT) AS last_ms),
+        (a, e) -> struct(
+            a.requester_ms + if(a.owner = '{REQUESTER}', {delta}, 0L) AS requester_ms,
+            a.regulator_ms + if(a.owner = '{REGULATOR}', {delta}, 0L) AS regulator_ms,
+            a.interactions + if(e.state IN ({q.quoted(REGULATOR_STATES)}), 1L, 0L) AS interactions,
+            coalesce({mark}, a.owner) AS owner, e.ms AS last_ms))"""
 
 
 def is_clinical(item: Column) -> Column:
-    return fold_compat(F.lower(item["label"])).isin(CLINICAL_LABELS)
+    label = F.lower(item["label"])
+    return label.isin(CLINICAL_LABELS) | fold_compat(label).isin(CLINICAL_LABELS)
 
 
-def clinical_items(event: Column) -> Column:
-    return F.filter(event["items"], is_clinical)
+def clinical_events(events: Column) -> Column:
+    """Events that have clinical items, with only those items."""
+    picked = F.transform(events, lambda e: F.struct(
+        e["when"].alias("when"), e["user"].alias("user"),
+        F.filter(e["items"], is_clinical).alias("items")))
+    return F.filter(picked, lambda e: F.size(e["items"]) > 0)
 
 
-def clinical_fold(events: Column) -> Column:
+def clinical_fold(clinical: str) -> str:
     """'[date | user]: text' of every clinical item, joined by ' || '."""
-    texts = F.transform(events, lambda e: F.transform(clinical_items(e), lambda i: F.concat(
-        F.lit("["), e["when"], F.lit(" | "), e["user"], F.lit("]: "), i["texto"])))
-    return F.array_join(F.flatten(texts), " || ")
+    return f"""array_join(flatten(transform({clinical}, e -> transform(e.items, i ->
+        concat('[', e.when, ' | ', e.user, ']: ', i.texto)))), ' || ')"""
 
 
-def full_fold(events: Column) -> Column:
+def full_fold(events: str) -> str:
     """'[date | user] -> op (a ➔ b) | label: text ...' per event, joined by ' || '."""
-    def block(e: Column) -> Column:
-        head = F.concat(F.lit("["), e["when"], F.lit(" | "), e["user"], F.lit("] -> "), e["oper"],
-                        F.lit(" ("), e["before"], F.lit(" ➔ "), e["state"], F.lit(")"))
-        tail = F.transform(e["items"], lambda i: F.concat(
-            F.lit(" | "), i["label"], F.lit(": "), i["texto"]))
-        return F.concat(head, F.array_join(tail, ""))
-    return F.array_join(F.transform(events, block), " || ")
+    return f"""array_join(transform({events}, e -> concat(
+        '[', e.when, ' | ', e.user, '] -> ', e.oper, ' (', e.before, ' ➔ ', e.state, ')',
+        array_join(transform(e.items, i -> concat(' | ', i.label, ': ', i.texto)), ''))), ' || ')"""
 
 
-def actors_joined(events: Column) -> Column:
-    names = F.filter(F.transform(events, lambda e: e["actor"]), lambda n: n != "")
-    return F.array_join(F.array_sort(F.array_distinct(names)), " | ")
+def actors_joined(events: str) -> str:
+    return (f"array_join(array_sort(array_distinct(filter(transform({events}, e -> e.actor), "
+            "n -> n <> ''))), ' | ')")
 
 
-def events_json(events: Column) -> Column:
+def events_json(events: str) -> str:
     """Compact JSON text of the cleaned events."""
-    return F.to_json(F.transform(events, lambda e: F.struct(
-        e["when"].alias("data"), e["user"].alias("usuario_nome"), e["cpf"].alias("usuario_cpf"),
-        e["perfil"].alias("perfil"), e["oper"].alias("operacaoSolicitacao"),
-        e["before"].alias("situacaoAnterior"), e["state"].alias("situacaoAtual"),
-        e["items"].alias("detalhes_limpos"))))
-
-
-def ownership_of(events: Column) -> Column:
-    """Fold sorted events (already cut at the final state) into time per owner."""
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("requester_ms"), F.lit(0).cast("bigint").alias("regulator_ms"),
-        F.lit(0).cast("bigint").alias("interactions"), F.lit(REQUESTER).alias("owner"),
-        F.lit(None).cast("bigint").alias("last_ms"))
-
-    def step(acc: Column, e: Column) -> Column:
-        delta = F.coalesce(e["ms"] - acc["last_ms"], F.lit(0))
-        mark = new_owner(e["state"])
-        return F.struct(
-            (acc["requester_ms"] + F.when(acc["owner"] == REQUESTER, delta).otherwise(0)).alias("requester_ms"),
-            (acc["regulator_ms"] + F.when(acc["owner"] == REGULATOR, delta).otherwise(0)).alias("regulator_ms"),
-            (acc["interactions"] + F.when(mark == REGULATOR, 1).otherwise(0)).alias("interactions"),
-            F.coalesce(mark, acc["owner"]).alias("owner"), e["ms"].alias("last_ms"))
+    return f"""to_json(transform({events}, e -> struct(
+        e.when AS data, e.user AS usuario_nome, e.cpf AS usuario_cpf, e.perfil AS perfil,
+        e.oper AS operacaoSolicitacao, e.before AS situacaoAnterior, e.state AS situacaoAtual,
+        e.items AS detalhes_limpos)))"""
 
-    return F.aggregate(events, start, step)
 
+# --- columns ----------------------------------------------------------------------------
 
-def unit_block(unit: Column, prefix: str) -> dict[str, Column]:
+def unit_block(unit: str, prefix: str) -> dict[str, str]:
     """Five columns of an organisational unit."""
-    return {
-        f"{prefix}_nome": or_blank(unit["nome"]),
-        f"{prefix}_razaoSocial": or_blank(unit["razaoSocial"]),
-        f"{prefix}_tipoUnidade_descricao": or_blank(unit["tipoUnidade"]["descricao"]),
-        f"{prefix}_municipio_nome": or_blank(unit["municipio"]["nome"]),
-        f"{prefix}_municipio_uf": or_blank(unit["municipio"]["uf"]),
-    }
-
-
-def _root_columns(d: Column, list_name: Column, salt: str) -> dict[str, Column]:
-    u, place = d["usuarioSUS"], d["usuarioSUS"]["municipioResidencia"]
-
-    def actor(block: Column, prefix: str) -> dict[str, Column]:
-        inner = block["profissional"]
-        return {f"{prefix}_nome": first_filled(block["nome"], inner["nome"]),
-                f"{prefix}_cpf": hash_identity(first_filled(block["cpf"], inner["cpf"]), salt)}
-
-    columns = {"numeroCMCE": or_blank(d["numeroCMCE"]), "situacao": or_blank(d["situacao"]),
-               "origem_lista": list_name, "corRegulador": or_blank(d["corRegulador"]),
-               "dataSolicitacao": epoch_text(d["dataSolicitacao"]),
-               "liminarOrdemJudicial": or_blank(d["liminarOrdemJudicial"])}
-    for field in ["nomeCompleto", "cpf", "nomeMae", "cartaoSus"]:
-        columns[f"usuarioSUS_{field}"] = hash_identity(u[field], salt)
-    columns["usuarioSUS_dataNascimento"] = epoch_date_text(u["dataNascimento"])
-    for field in ["sexo", "racaCor", "nacionalidade", "logradouro", "numero", "complemento",
-                  "bairro", "cep"]:
-        columns[f"usuarioSUS_{field}"] = or_blank(u[field])
-    columns["usuarioSUS_municipioResidencia_nome"] = or_blank(place["nome"])
-    columns["usuarioSUS_municipioResidencia_uf"] = or_blank(place["uf"])
-    columns |= actor(d["operador"], "operador")
-    columns |= actor(d["usuarioSolicitante"], "usuarioSolicitante")
-    for field in ["dataPrimeiroAgendamento", "dataPrimeiraAutorizacao"]:
-        columns[field] = epoch_text(d[field])
-    for field in ["regularizacaoAcesso", "statusProvisorio", "justificativaRetorno",
-                  "justificativaDuplicacao", "motivoPendencia", "motivoCancelamento",
-                  "motivoEncerramento", "descricaoEncerramento"]:
-        columns[field] = or_blank(d[field])
+    paths = ["nome", "razaoSocial", "tipoUnidade.descricao", "municipio.nome", "municipio.uf"]
+    return {f"{prefix}_{p.replace('.', '_')}": q.blank(f"{unit}.{p}") for p in paths}
+
+
+def _root_columns() -> dict[str, str]:
+    u, salt = "d.usuarioSUS", "__salt"
+
+    def texts(base: str, prefix: str, fields: list[str]) -> dict[str, str]:
+        return {f"{prefix}{f.replace('.', '_')}": q.blank(f"{base}.{f}") for f in fields}
+
+    columns = texts("d", "", [
+        "numeroCMCE", "situacao", "corRegulador", "liminarOrdemJudicial", "regularizacaoAcesso",
+        "statusProvisorio", "justificativaRetorno", "justificativaDuplicacao", "motivoPendencia",
+        "motivoCancelamento", "motivoEncerramento", "descricaoEncerramento"])
+    columns |= texts(u, "usuarioSUS_", [
+        "sexo", "racaCor", "nacionalidade", "logradouro", "numero", "complemento", "bairro", "cep",
+        "municipioResidencia.nome", "municipioResidencia.uf"])
+    columns |= {f"usuarioSUS_{f}": q.hash_identity(f"{u}.{f}", salt)
+                for f in ["nomeCompleto", "cpf", "nomeMae", "cartaoSus"]}
+    columns |= {f: q.epoch_text(f"d.{f}")
+                for f in ["dataSolicitacao", "dataPrimeiroAgendamento", "dataPrimeiraAutorizacao"]}
+    columns["usuarioSUS_dataNascimento"] = q.epoch_text(f"{u}.dataNascimento", "dd/MM/yyyy")
+    columns["origem_lista"] = "__list"
+    for who in ["operador", "usuarioSolicitante"]:
+        columns[f"{who}_nome"] = q.first_filled(f"d.{who}.nome", f"d.{who}.profissional.nome")
+        columns[f"{who}_cpf"] = q.hash_identity(
+            q.first_filled(f"d.{who}.cpf", f"d.{who}.profissional.cpf"), salt)
     return columns
 
 
-def _snapshot_columns(x: Column) -> dict[str, Column]:
+def _snapshot_columns() -> dict[str, str]:
     """Columns of the first event's snapshot; all '' or false where there is none."""
-    spec, risk = x["especialidade"], x["classificacaoRisco"]
-    parent = spec["especialidadeMae"]
-
-    def points(c: Column) -> Column:
-        return F.when(x.isNotNull(), F.coalesce(c, F.lit("0"))).otherwise("")
-
-    text = {
-        "sistemaOrigem": x["sistemaOrigem"], "complexidade": x["complexidade"],
-        "cidPrincipal_codigo": x["cidPrincipal"]["codigo"],
-        "cidPrincipal_descricao": x["cidPrincipal"]["descricao"],
-        "especialidade_descricao": spec["descricao"],
-        "especialidade_descricaoAuxiliar": spec["descricaoAuxiliar"],
-        "especialidade_cbo_descricao": spec["cbo"]["descricao"],
-        "especialidade_especialidadeMae_descricao": parent["descricao"],
-        "especialidade_especialidadeMae_cbo_descricao": parent["cbo"]["descricao"],
-        "especialidade_tipoRegulacao": spec["tipoRegulacao"],
-        "classificacaoRisco_cor": risk["cor"],
-        "municipioUsuarioSUS_nome": x["municipioUsuarioSUS"]["nome"],
-        "municipioUsuarioSUS_uf": x["municipioUsuarioSUS"]["uf"],
-    }
-    flags = {
-        "semClassificacao": x["semClassificacao"], "foraDaRegionalizacao": x["foraDaRegionalizacao"],
-        "possuiDita": x["possuiDita"], "especialidade_teleconsulta": spec["teleconsulta"],
-        "especialidade_ativa": spec["ativa"], "especialidade_matriciamento": spec["matriciamento"],
-        "especialidade_tipoOCI": spec["tipoOCI"],
-        "classificacaoRisco_reclassificadaSolicitante": risk["reclassificadaSolicitante"],
-    }
-    columns = {f"entidade_{k}": or_blank(c) for k, c in text.items()}
-    columns |= {f"entidade_{k}": truthy_variant(c) for k, c in flags.items()}
-    columns |= {f"entidade_classificacaoRisco_{k}": points(risk[k])
-                for k in ["totalPontos", "pontosGravidade", "pontosTempo"]}
+    texts = ["sistemaOrigem", "complexidade", "cidPrincipal.codigo", "cidPrincipal.descricao",
+             "especialidade.descricao", "especialidade.descricaoAuxiliar",
+             "especialidade.cbo.descricao", "especialidade.especialidadeMae.descricao",
+             "especialidade.especialidadeMae.cbo.descricao", "especialidade.tipoRegulacao",
+             "classificacaoRisco.cor", "municipioUsuarioSUS.nome", "municipioUsuarioSUS.uf"]
+    flags = ["semClassificacao", "foraDaRegionalizacao", "possuiDita", "especialidade.teleconsulta",
+             "especialidade.ativa", "especialidade.matriciamento", "especialidade.tipoOCI",
+             "classificacaoRisco.reclassificadaSolicitante"]
+    columns = {f"entidade_{p.replace('.', '_')}": q.blank(f"x.{p}") for p in texts}
+    columns |= {f"entidade_{p.replace('.', '_')}": q.truthy_variant(f"x.{p}") for p in flags}
+    columns |= {f"entidade_classificacaoRisco_{p}":
+                f"CASE WHEN x IS NOT NULL THEN coalesce(x.classificacaoRisco.{p}, '0') ELSE '' END"
+                for p in ["totalPontos", "pontosGravidade", "pontosTempo"]}
     for unit in ["unidadeOperador", "unidadeReferencia"]:
-        columns |= unit_block(x[unit], f"entidade_{unit}")
-        columns |= unit_block(x[unit]["centralRegulacao"], f"entidade_{unit}_centralRegulacao")
-    columns |= unit_block(x["centralRegulacao"], "entidade_centralRegulacao")
-    return columns
+        columns |= unit_block(f"x.{unit}", f"entidade_{unit}")
+        columns |= unit_block(f"x.{unit}.centralRegulacao", f"entidade_{unit}_centralRegulacao")
+    return columns | unit_block("x.centralRegulacao", "entidade_centralRegulacao")
+
 
+def _history_columns() -> dict[str, str]:
+    """Columns read from the shown events ``ev`` and the folds ``own`` and ``clinical``.
 
-def _history_columns(events: Column, own: Column, now_ms: Column) -> dict[str, Column]:
-    # an empty history leaves the fold's start value, whose last time is null
-    last_state = F.try_element_at(events, F.lit(-1))["state"]
-    ended = is_final(last_state)
-    open_ms = F.when(~ended, F.coalesce(now_ms - own["last_ms"], F.lit(0))).otherwise(0)
-    requester = own["requester_ms"] + F.when(own["owner"] == REQUESTER, open_ms).otherwise(0)
-    regulator = own["regulator_ms"] + F.when(own["owner"] != REQUESTER, open_ms).otherwise(0)
-    kind = F.coalesce(outcome_kind(last_state), F.lit(""))
-    first_clinical = F.get(F.filter(events, lambda e: F.exists(e["items"], is_clinical)), 0)
+    An empty history leaves the fold's start value, whose last time is null.
+    """
+    last = "try_element_at(ev, -1).state"
+    ended = f"coalesce({last} IN ({q.quoted(FINAL_STATES)}), FALSE)"
+    kind = "CASE " + " ".join(f"WHEN {last} IN ({q.quoted(states)}) THEN '{name}'"
+                              for name, states in OUTCOMES.items()) + " ELSE '' END"
+    still_open = f"if({ended}, 0L, coalesce(__now - own.last_ms, 0L))"
+    requester = f"(own.requester_ms + if(own.owner = '{REQUESTER}', {still_open}, 0L))"
+    regulator = f"(own.regulator_ms + if(own.owner <> '{REQUESTER}', {still_open}, 0L))"
 
-    def days(ms: Column) -> Column:
-        return python_round(ms / F.lit(MS_PER_DAY), 2)
+    def days(ms: str) -> str:
+        return q.python_round(f"{ms} / {MS_PER_DAY}D", 2)
 
-    def reached(state: str) -> Column:
-        return F.exists(events, lambda e: e["state"] == state)
+    def reached(state: str) -> str:
+        return f"exists(ev, e -> e.state = '{state}')"
 
     return {
         "SLA_Tempo_Solicitante_Dias": days(requester), "SLA_Tempo_Regulador_Dias": days(regulator),
-        "SLA_Lead_Time_Total_Dias": days(requester + regulator),
-        "SLA_Interacoes_Regulacao": own["interactions"],
-        "SLA_Atores_Envolvidos": actors_joined(events),
-        "SLA_Desfecho_Atingido": ended & (F.coalesce(own["last_ms"], F.lit(0)) != 0),
+        "SLA_Lead_Time_Total_Dias": days(f"({requester} + {regulator})"),
+        "SLA_Interacoes_Regulacao": "own.interactions",
+        "SLA_Atores_Envolvidos": actors_joined("ev"),
+        "SLA_Desfecho_Atingido": f"{ended} AND coalesce(own.last_ms, 0L) <> 0",
         "SLA_Tipo_Desfecho": kind, "SLA_Marco_Autorizada": reached("AUTORIZADA"),
-        "SLA_Marco_Agendada": reached("AGENDADA"), "SLA_Marco_Realizada": kind == "POSITIVO",
-        "dataCadastro": or_blank(first_clinical["when"]),
-        "medicoSolicitante": or_blank(first_clinical["user"]),
-        "historico_quadro_clinico": clinical_fold(events),
-        "historico_evolucoes_completo": full_fold(events), "evolucoes_json": events_json(events),
+        "SLA_Marco_Agendada": reached("AGENDADA"), "SLA_Marco_Realizada": f"{kind} = 'POSITIVO'",
+        "dataCadastro": q.blank("get(clinical, 0).when"),
+        "medicoSolicitante": q.blank("get(clinical, 0).user"),
+        "historico_quadro_clinico": clinical_fold("clinical"),
+        "historico_evolucoes_completo": full_fold("ev"), "evolucoes_json": events_json("ev"),
     }
 
 
 def flatten(raw: DataFrame, as_of, salt: str, text: str = "conteudo_json",
             list_name: str = "origem_lista", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Flat rows in canonical column order; ``keep`` passes further raw columns through.
-
-    Each intermediate value (document, events, ownership fold, snapshot) is a column of
-    its own, so it is computed once per row however many result columns read it.
-    """
-    snapshot_ddl = f"{DETAILS_DDL}, {CORRUPT} STRING"
+    """Flat rows in canonical column order; ``keep`` passes further raw columns through."""
     now_ms = F.unix_millis(F.lit(str(as_of)).cast("timestamp"))
-    staged = (raw.select(*keep, F.col(list_name).alias("__list"), parse_document(F.col(text)).alias("d"))
-              .withColumn("sorted", sorted_events(F.coalesce(F.col("d.evolucoes"), F.array())))
-              .withColumn("x", parse_details(F.get("sorted", 0)["e"]["detalhes"], snapshot_ddl)["entidade"])
-              .withColumn("ev", until_final(with_items(F.col("sorted"))))
-              .withColumn("own", ownership_of(F.col("ev"))))
-    columns = (_root_columns(F.col("d"), F.col("__list"), salt) | _snapshot_columns(F.col("x"))
-               | _history_columns(F.col("ev"), F.col("own"), now_ms))
-    return staged.select(*keep, *[columns[c].alias(c) for c in REQUEST_COLUMNS])
+    staged = (
+        raw.select(*keep, F.col(list_name).alias("__list"), parse_document(F.col(text)).alias("d"))
+        .selectExpr("*", f"{sorted_events('d.evolucoes')} AS sorted")
+        .selectExpr("*", f"{parse_details('get(sorted, 0).e.detalhes', SNAPSHOT_DDL)} AS first",
+                    f"{parsed_events('sorted')} AS parsed")
+        .selectExpr("*", f"{intact('first', 'entidade')} AS x", f"{display_events('parsed')} AS shown")
+        .selectExpr("*", f"{until_final('shown')} AS ev")
+        .withColumns({"own": F.expr(ownership_of("ev")), "clinical": clinical_events(F.col("ev")),
+                      "__salt": F.lit(salt), "__now": now_ms}))
+    columns = _root_columns() | _snapshot_columns() | _history_columns()
+    return staged.selectExpr(*keep, *[f"{columns[c]} AS {c}" for c in REQUEST_COLUMNS])
 
 
 def canonical(df: DataFrame, columns: list[str] = REQUEST_COLUMNS,
-              breaks: Callable[[Column], Column] = normalise_breaks) -> DataFrame:
+              breaks: Callable[[str], str] = q.normalise_breaks) -> DataFrame:
     """Fixed column order; absent columns become '', line breaks in texts are removed."""
     types = dict(df.dtypes)
 
-    def cell(name: str) -> Column:
+    def cell(name: str) -> str:
         if name not in types:
-            return F.lit("")
-        c = F.col(f"`{name}`")
-        return F.coalesce(breaks(c), F.lit("")) if types[name] == "string" else c
+            return f"'' AS `{name}`"
+        c = f"`{name}`"
+        return f"{q.blank(breaks(c))} AS {c}" if types[name] == "string" else c
 
-    return df.select(*[cell(c).alias(c) for c in columns])
+    return df.selectExpr(*[cell(c) for c in columns])
 
 
 def typed(flat: DataFrame) -> DataFrame:
     """Canonical flat rows with their stored types (dates, flags, days, counts, text)."""
-    def convert(name: str, kind) -> Column:
-        c = F.col(name)
+    def convert(name: str) -> str:
+        text = f"CAST({name} AS STRING)"
         if name in DATE_COLUMNS:
             fmt = "dd/MM/yyyy" if name == "usuarioSUS_dataNascimento" else "dd/MM/yyyy HH:mm:ss"
-            return F.try_to_timestamp(c.cast("string"), F.lit(fmt))
+            return f"try_to_timestamp({text}, '{fmt}')"
         if name in BOOLEAN_COLUMNS:
             # any non-empty text counts as true
-            return F.coalesce(~c.cast("string").isin("", "false"), F.lit(False))
-        if name.startswith("entidade_classificacaoRisco_pontos") or name.endswith("totalPontos"):
-            return c.cast("string").try_cast("double")
-        if kind.typeName() in ("double", "long"):
-            return F.coalesce(c.cast("string").try_cast(kind), F.lit(0).cast(kind))
-        return F.coalesce(F.nullif(F.nullif(F.nullif(c.cast("string"), F.lit("None")),
-                                            F.lit("nan")), F.lit("<NA>")), F.lit(""))
-    return flat.select(*[convert(f.name, f.dataType).alias(f.name) for f in REQUEST_SCHEMA])
+            return f"coalesce({text} NOT IN ('', 'false'), FALSE)"
+        if name in POINT_COLUMNS:
+            return f"try_cast({text} AS DOUBLE)"
+        if name in DAY_COLUMNS:
+            return f"coalesce(try_cast({text} AS DOUBLE), 0D)"
+        if name in COUNT_COLUMNS:
+            return f"coalesce(try_cast({text} AS BIGINT), 0L)"
+        return f"CASE WHEN {text} IN ('None', 'nan', '<NA>') THEN '' ELSE coalesce({text}, '') END"
+    return flat.selectExpr(*[f"{convert(c)} AS {c}" for c in REQUEST_COLUMNS])

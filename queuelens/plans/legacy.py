@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import (day_first_timestamp, epoch_date_text, epoch_text, format_key,
-                         key_value_lines, regex_group, strip, unify_breaks)
+from ..functions import day_first_timestamp, key_value_lines, regex_group, sqltext as q, strip
 from ..functions.dates import DAY_FORMAT, MINUTE_FORMAT
-from .flatten import or_blank, parse_details, parse_document, sorted_events
+from .flatten import intact, item_texts, parse_document, parsed_events, sorted_events
 
 # Headings of the 32-column layout.
 COLUMNS_32 = [
@@ -34,74 +33,67 @@ HISTORY_ITEM = r"(?s)\[(.*?)\s*\|\s*(.*?)\s*\|\s*(.*?)\]:\s*(.*)"
 HISTORY_FIELDS = ["Data_Evolucao", "Tipo_Informacao", "Origem_Informacao", "Texto_Evolucao"]
 
 
-def all_items(events: Column) -> Column:
-    """Items of all events in time order, flattened into one list."""
-    return F.flatten(F.transform(events, lambda k: F.coalesce(
-        parse_details(k["e"]["detalhes"])["itensEvolucao"], F.array())))
+def parsed_documents(raw: DataFrame, text: str = "conteudo_json") -> DataFrame:
+    """Add the document struct ``d`` and its parsed ``events``, one stage per parse."""
+    return (raw.withColumn("d", parse_document(F.col(text)))
+            .selectExpr("*", f"{sorted_events('d.evolucoes')} AS __sorted")
+            .selectExpr("*", f"{parsed_events('__sorted')} AS events").drop("__sorted"))
 
 
-def by_code_last(items: Column, code: str) -> Column:
-    """Text of the last item with this code; null where there is none."""
-    return F.try_element_at(F.filter(items, lambda i: i["codigo"] == code), F.lit(-1))["texto"]
+def all_items(events: str = "events") -> str:
+    """Items of all parsed events in time order, flattened into one list."""
+    return f"flatten(transform({events}, k -> coalesce({intact('k.det', 'itensEvolucao')}, array())))"
 
 
-def regional_values(items: Column) -> Column:
-    """'key: value' lines of the regional item as map entries 'Regionalização <key>'."""
-    return F.transform_keys(key_value_lines(or_blank(by_code_last(items, "regionalizacao"))),
-                            lambda k, _: F.concat(F.lit("Regionalização "), k))
+def by_code_last(items: str, code: str) -> str:
+    """Text of the last item with this code; null where there is none."""
+    return f"try_element_at(filter({items}, i -> i.codigo = '{code}'), -1).texto"
 
 
-def _parsed(raw: DataFrame, text: str) -> DataFrame:
-    return (raw.withColumn("d", parse_document(F.col(text)))
-            .withColumn("events", sorted_events(F.coalesce(F.col("d.evolucoes"), F.array()))))
+def regional_values(items: str) -> Column:
+    """'key: value' lines of the regional item as map entries 'Regionalização <key>'."""
+    lines = F.expr(q.blank(by_code_last(items, "regionalizacao")))
+    return F.transform_keys(key_value_lines(lines), lambda k, _: F.concat(F.lit("Regionalização "), k))
 
 
 def flat_32(raw: DataFrame, text: str = "conteudo_json", keep: tuple[str, ...] = ()) -> DataFrame:
-    staged = _parsed(raw, text).withColumn("items", all_items(F.col("events")))
-    d, u = F.col("d"), F.col("d.usuarioSUS")
-    spec, parent = d["especialidade"], d["especialidade"]["especialidadeMae"]
-    doctor, risk = d["usuarioSolicitante"], d["classificacaoRisco"]
+    staged = parsed_documents(raw, text).selectExpr("*", f"{all_items()} AS items")
+    spec, user, doctor = "d.especialidade", "d.usuarioSUS", "d.usuarioSolicitante"
     values = [
-        format_key(d["numeroCMCE"]), parent["descricao"], spec["descricao"],
-        spec["descricaoAuxiliar"], parent["cbo"]["descricao"], d["cidPrincipal"]["codigo"],
-        d["cidPrincipal"]["descricao"], d["situacao"], epoch_text(d["dataSolicitacao"]),
-        epoch_text(d["dataPrimeiroAgendamento"]), risk["totalPontos"], risk["cor"],
-        d["complexidade"], d["corRegulador"], d["unidadeSolicitante"]["nome"], doctor["nome"],
-        doctor["email"], by_code_last(F.col("items"), "anamnese"), u["nomeCompleto"],
-        epoch_date_text(u["dataNascimento"]), u["sexo"], u["racaCor"], u["cpf"], u["nomeMae"],
-        u["cartaoSus"], u["logradouro"], u["numero"], u["complemento"], u["bairro"], u["cep"],
-        u["nacionalidade"], d["liminarOrdemJudicial"]]
-    return staged.select(*keep, *[unify_breaks(or_blank(v)).alias(name)
-                                  for name, v in zip(COLUMNS_32, values, strict=True)])
-
-
-def history_fold(events: Column) -> Column:
+        q.format_key("d.numeroCMCE"), f"{spec}.especialidadeMae.descricao", f"{spec}.descricao",
+        f"{spec}.descricaoAuxiliar", f"{spec}.especialidadeMae.cbo.descricao",
+        "d.cidPrincipal.codigo", "d.cidPrincipal.descricao", "d.situacao",
+        q.epoch_text("d.dataSolicitacao"), q.epoch_text("d.dataPrimeiroAgendamento"),
+        "d.classificacaoRisco.totalPontos", "d.classificacaoRisco.cor", "d.complexidade",
+        "d.corRegulador", "d.unidadeSolicitante.nome", f"{doctor}.nome", f"{doctor}.email",
+        by_code_last("items", "anamnese"), f"{user}.nomeCompleto",
+        q.epoch_text(f"{user}.dataNascimento", DAY_FORMAT),
+        *[f"{user}.{f}" for f in ["sexo", "racaCor", "cpf", "nomeMae", "cartaoSus", "logradouro",
+                                  "numero", "complemento", "bairro", "cep", "nacionalidade"]],
+        "d.liminarOrdemJudicial"]
+    return staged.selectExpr(*keep, *[f"{q.unify_breaks(q.blank(v))} AS `{name}`"
+                                      for name, v in zip(COLUMNS_32, values, strict=True)])
+
+
+def history_fold(events: str = "events") -> str:
     """'[date - label - user]: text' of every non-empty item, joined by ' | '."""
-    def lines(k: Column) -> Column:
-        e = k["e"]
-        items = F.coalesce(parse_details(e["detalhes"])["itensEvolucao"], F.array())
-        texts = F.transform(items, lambda i: F.struct(
-            F.coalesce(i["label"], i["codigo"], F.lit("Informação")).alias("label"),
-            strip(or_blank(i["texto"])).alias("texto")))
-        return F.transform(F.filter(texts, lambda i: i["texto"] != ""), lambda i: F.concat(
-            F.lit("["), epoch_text(e["data"], MINUTE_FORMAT), F.lit(" - "), i["label"], F.lit(" - "),
-            F.coalesce(e["usuario"]["nome"], F.lit("Sistema")), F.lit("]: "), i["texto"]))
-    return F.array_join(F.flatten(F.transform(events, lines)), " | ")
+    return f"""array_join(flatten(transform({events}, k -> transform({item_texts('k.det')}, i ->
+        concat('[', {q.ms_text('k.ms', MINUTE_FORMAT)}, ' - ', i.label, ' - ',
+               coalesce(k.e.usuario.nome, 'Sistema'), ']: ', i.texto)))), ' | ')"""
 
 
 def flat_16(raw: DataFrame, text: str = "conteudo_json", list_name: str = "origem_lista",
             keep: tuple[str, ...] = ()) -> DataFrame:
-    d, u = F.col("d"), F.col("d.usuarioSUS")
-    risk = d["classificacaoRisco"]
+    user, risk = "d.usuarioSUS", "d.classificacaoRisco"
     values = [
-        format_key(d["numeroCMCE"]), d["situacao"], F.col(list_name),
-        epoch_text(d["dataSolicitacao"], MINUTE_FORMAT), epoch_text(u["dataNascimento"], DAY_FORMAT),
-        u["nomeCompleto"], u["cpf"], u["cartaoSus"], d["especialidade"]["descricao"],
-        d["complexidade"], risk["cor"], risk["totalPontos"], d["cidPrincipal"]["codigo"],
-        d["cidPrincipal"]["descricao"], d["unidadeSolicitante"]["nome"],
-        history_fold(F.col("events"))]
-    return _parsed(raw, text).select(*keep, *[or_blank(v).alias(name) for name, v in
-                                              zip(COLUMNS_16, values, strict=True)])
+        q.format_key("d.numeroCMCE"), "d.situacao", list_name,
+        q.epoch_text("d.dataSolicitacao", MINUTE_FORMAT),
+        q.epoch_text(f"{user}.dataNascimento", DAY_FORMAT), f"{user}.nomeCompleto", f"{user}.cpf",
+        f"{user}.cartaoSus", "d.especialidade.descricao", "d.complexidade", f"{risk}.cor",
+        f"{risk}.totalPontos", "d.cidPrincipal.codigo", "d.cidPrincipal.descricao",
+        "d.unidadeSolicitante.nome", history_fold()]
+    return parsed_documents(raw, text).selectExpr(
+        *keep, *[f"{q.blank(v)} AS `{name}`" for name, v in zip(COLUMNS_16, values, strict=True)])
 
 
 def explode_history(df: DataFrame, column: str = HISTORY_COLUMN) -> DataFrame:

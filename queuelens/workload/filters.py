@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from ..functions import sqltext
 from ..operators import access, predicates as p
 from ..rules import DEFAULT_RULES
 from .views import (AS_OF_EVENTS, AS_OF_ORDERS, REQUESTS, REQUESTS_PLACE, duck, requests,
@@ -328,13 +329,13 @@ def truthy(spark, sf):
     e = table(spark, sf, "events")
     word = F.element_at(F.array(*[F.lit(w) for w in ["true", " SIM ", "0", "s", "no", "", "Yes", "1", "x"]]),
                         (C("event_id") % 9 + 1).cast("int"))
+    e = e.withColumns({
+        "object": F.try_parse_json(F.expr("concat('{\"v\":', event_id % 3, '}')")),
+        "number": F.try_variant_get(F.try_parse_json("props"), "$.k", "variant")})
     return e.select("event_id", fn.truthy_text(word).alias("flag"),
                     fn.truthy_text(F.get_json_object("props", "$.none")).alias("missing"),
-                    fn.truthy_variant(F.try_parse_json(F.concat(
-                        F.lit('{"v":'), F.expr("cast(event_id % 3 as string)"), F.lit("}"))).alias("x"))
-                    .alias("object"),
-                    fn.truthy_variant(F.try_variant_get(F.try_parse_json("props"), "$.k", "variant"))
-                    .alias("number"))
+                    F.expr(sqltext.truthy_variant("object")).alias("object"),
+                    F.expr(sqltext.truthy_variant("number")).alias("number"))
 
 
 TRUTHY_SQL = """SELECT event_id, (event_id % 9) IN (0, 1, 3, 6, 7) AS flag, FALSE AS missing, TRUE AS object,

@@ -13,6 +13,7 @@ from ..operators import contract
 from ..operators.jsonshape import flatten_struct, millis_to_timestamps
 from ..plans import flatten as fl, legacy
 from ..schema import REQUEST_COLUMNS
+from ..session import spread
 from .views import table, view
 
 C = F.col
@@ -44,7 +45,7 @@ DOC_DUCK = DOC.format(ms="epoch_ms(o_orderdate)")
 
 def documents(spark, sf):
     """(protocolo, conteudo_json, origem_lista) with a four-event history out of order."""
-    s = view(spark, sf, DOC_SPARK)
+    s = spread(view(spark, sf, DOC_SPARK))
 
     def items(*pairs):
         return F.array(*[F.struct(F.lit(code).alias("codigo"), F.lit(label).alias("label"), text.alias("texto"))
@@ -230,7 +231,7 @@ def actors_joined(spark, sf):
 def chronological_sort(spark, sf):
     """Events of each document in time order, ties in document order."""
     d = documents(spark, sf).select("protocolo", fl.parse_document(C("conteudo_json")).alias("d"))
-    return d.select("protocolo", F.posexplode(fl.sorted_events(C("d.evolucoes"))).alias("pos", "e")).select(
+    return d.select("protocolo", F.posexplode(F.expr(fl.sorted_events("d.evolucoes"))).alias("pos", "e")).select(
         "protocolo", "pos", C("e.ms").alias("ms"), C("e.e.situacaoAtual").alias("state"))
 
 
@@ -260,9 +261,8 @@ def _damaged(spark, sf):
 
 def contract_split(spark, sf):
     """Every document is good or has its violations listed."""
-    good, dead = contract.split_documents(_damaged(spark, sf))
-    return good.select("protocolo", F.lit("").alias("problems")).unionByName(
-        dead.select("protocolo", F.array_join("errors", "; ").alias("problems")))
+    return contract.with_errors(_damaged(spark, sf)).select(
+        "protocolo", F.array_join("errors", "; ").alias("problems"))
 
 
 CONTRACT_SQL = f"""WITH d AS ({DOC_DUCK})
@@ -317,18 +317,18 @@ L16_SQL = f"WITH d AS ({DOC_DUCK}) SELECT " + ", ".join(
 
 def by_code_last(spark, sf):
     """last item text per code."""
-    d = documents(spark, sf).select("protocolo", fl.parse_document(C("conteudo_json")).alias("d"))
-    items = d.select("protocolo", legacy.all_items(fl.sorted_events(C("d.evolucoes"))).alias("items"))
+    items = legacy.parsed_documents(documents(spark, sf)).select(
+        "protocolo", F.expr(legacy.all_items()).alias("items"))
     return items.select("protocolo", F.size("items").cast("bigint").alias("n_items"),
-                        *[legacy.by_code_last(C("items"), code).alias(code)
+                        *[F.expr(legacy.by_code_last("items", code)).alias(code)
                           for code in ["anamnese", "nota", "unidadeIndicada"]])
 
 
 def kv_lines(spark, sf):
     """'key: value' lines as columns."""
-    d = documents(spark, sf).select("protocolo", fl.parse_document(C("conteudo_json")).alias("d"))
-    values = d.select("protocolo", legacy.regional_values(
-        legacy.all_items(fl.sorted_events(C("d.evolucoes")))).alias("m"))
+    items = legacy.parsed_documents(documents(spark, sf)).select(
+        "protocolo", F.expr(legacy.all_items()).alias("items"))
+    values = items.select("protocolo", legacy.regional_values("items").alias("m"))
     return values.select("protocolo", F.explode("m").alias("name", "value"))
 
 
@@ -388,8 +388,8 @@ def json_nested(spark, sf):
         F.concat(F.lit("  "), C("props")))
     text = F.to_json(F.struct(F.struct(inner.alias("detalhes")).alias("a")))
     outer = e.select("event_id", F.from_json(text, "a STRUCT<detalhes: STRING>").alias("o"))
-    details = fl.parse_details(C("o.a.detalhes"), f"k BIGINT, {fl.CORRUPT} STRING")
-    return outer.select("event_id", F.coalesce(details["k"], F.lit(-1)).alias("k"))
+    inside = outer.withColumn("d", F.expr(fl.parse_details("o.a.detalhes", f"k BIGINT, {fl.CORRUPT} STRING")))
+    return inside.selectExpr("event_id", f"coalesce({fl.intact('d', 'k')}, -1) AS k")
 
 
 QUERIES = {
