@@ -68,7 +68,7 @@ def _fits(fact: str, check: str) -> str:
     if check == NUMBER:
         return f"({numeric} OR ({kind} = 'STRING' AND try_cast({text} AS DOUBLE) IS NOT NULL))"
     return (f"({kind} IN ('BIGINT', 'BOOLEAN') OR ({numeric} AND try_cast({text} AS DOUBLE) % 1 = 0) "
-            f"OR ({kind} = 'STRING' AND {q.strip(text)} RLIKE r'^[+-]?[0-9]+(\.0+)?$'))")
+            rf"OR ({kind} = 'STRING' AND {q.strip(text)} RLIKE r'^[+-]?[0-9]+(\.0+)?$'))")
 
 
 def _rule(fact: str, name: str, check: str, required: bool) -> str:
@@ -77,45 +77,57 @@ def _rule(fact: str, name: str, check: str, required: bool) -> str:
             f"WHEN NOT coalesce({_fits(fact, check)}, FALSE) THEN '{name}: wrong type' END")
 
 
-def with_errors(raw: DataFrame, text: str = "conteudo_json") -> DataFrame:
-    """Add ``errors``: contract violations of a JSON document, empty for a good one.
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is worked out once.
+
+    A helper column would do the same, but a filter on the result is pushed through the
+    projections below it, and every reference to a helper column would then be replaced by
+    a copy of its expression.
+    """
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def errors_expression(text: str) -> str:
+    """Contract violations of a JSON document, an empty array for a good one.
 
     Types are checked on the parsed value itself, since a typed parse would turn a number
     into text silently. Unknown keys are fine. Null items and items that report a fetch
-    error count as corrupt. The parse and the type facts are columns of their own, so
-    each is worked out once per document.
+    error count as corrupt.
     """
     names = [n for n, _, _ in ROOT_FIELDS] + list(BLOCKS) + ["evolucoes", "error"]
-    facts = [f"{_facts(f'__p.{n}')} AS {n}" for n in names]
-    facts += [f"{_facts(_part(f'__p.{b}', n))} AS {b}_{n}" for b, fields in BLOCKS.items()
+    parts = ", ".join(f"{_part('v', n)} AS {n}" for n in names)
+    facts = [f"{_facts(f'p.{n}')} AS {n}" for n in names]
+    facts += [f"{_facts(_part(f'p.{b}', n))} AS {b}_{n}" for b, fields in BLOCKS.items()
               for n, _, _ in fields]
     event_facts = ", ".join(f"{_facts(_part('e', n))} AS {n}" for n, _, _ in EVENT_FIELDS)
-    facts.append("transform(coalesce(try_variant_get(__p.evolucoes, '$', 'array<variant>'), array()), "
+    facts.append("transform(coalesce(try_variant_get(p.evolucoes, '$', 'array<variant>'), array()), "
                  f"e -> struct({_facts('e')} AS event, {event_facts})) AS events")
 
-    rules = [_rule(f"__f.{n}", n, check, need) for n, check, need in ROOT_FIELDS]
+    rules = [_rule(f"f.{n}", n, check, need) for n, check, need in ROOT_FIELDS]
     for block, fields in BLOCKS.items():
-        fact = f"__f.{block}"
+        fact = f"f.{block}"
         rules.append(f"CASE WHEN NOT {_absent(fact)} AND {fact}.kind <> 'OBJECT' "
                      f"THEN '{block}: wrong type' END")
         rules += [f"CASE WHEN {fact}.kind = 'OBJECT' "
-                  f"THEN {_rule(f'__f.{block}_{n}', f'{block}.{n}', check, need)} END"
+                  f"THEN {_rule(f'f.{block}_{n}', f'{block}.{n}', check, need)} END"
                   for n, check, need in fields]
-    rules.append(f"CASE WHEN NOT {_absent('__f.evolucoes')} AND __f.evolucoes.kind <> 'ARRAY' "
+    rules.append(f"CASE WHEN NOT {_absent('f.evolucoes')} AND f.evolucoes.kind <> 'ARRAY' "
                  "THEN 'evolucoes: wrong type' END")
     event_rule = ", ".join(_rule(f"e.{n}", f"evolucoes.{n}", check, need)
                            for n, check, need in EVENT_FIELDS)
-    event_rules = ("array_distinct(transform(__f.events, e -> CASE WHEN coalesce(e.event.kind, '') "
+    event_rules = ("array_distinct(transform(f.events, e -> CASE WHEN coalesce(e.event.kind, '') "
                    f"<> 'OBJECT' THEN 'evolucoes: wrong type' ELSE coalesce({event_rule}) END))")
-    errors = f"""CASE
-        WHEN __v IS NULL OR is_variant_null(__v) OR __p.error IS NOT NULL THEN array('payload: corrupt')
+    listed = f"array_compact(concat(array({', '.join(rules)}), {event_rules}))"
+    checked = (f"CASE WHEN p.error IS NOT NULL THEN array('payload: corrupt') "
+               f"ELSE {_let('f', 'struct(' + ', '.join(facts) + ')', listed)} END")
+    return _let("v", f"try_parse_json({text})", rf"""CASE
+        WHEN v IS NULL OR is_variant_null(v) THEN array('payload: corrupt')
         WHEN NOT {text} RLIKE r'^\s*\{{' THEN array('document: wrong type')
-        ELSE array_compact(concat(array({', '.join(rules)}), {event_rules})) END"""
-    parts = ", ".join(f"{_part('__v', n)} AS {n}" for n in names)
-    return (raw.withColumn("__v", F.try_parse_json(F.col(text)))
-            .selectExpr("*", f"struct({parts}) AS __p")
-            .selectExpr("*", f"struct({', '.join(facts)}) AS __f")
-            .selectExpr("*", f"{errors} AS errors").drop("__v", "__p", "__f"))
+        ELSE {_let('p', f'struct({parts})', checked)} END""")
+
+
+def with_errors(raw: DataFrame, text: str = "conteudo_json") -> DataFrame:
+    return raw.selectExpr("*", f"{errors_expression(text)} AS errors")
 
 
 def split_documents(raw: DataFrame, text: str = "conteudo_json") -> tuple[DataFrame, DataFrame]:

@@ -111,6 +111,7 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", quote_all: bool = False,
     if bom:
         df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
     df.write.mode(mode).options(header=True, sep=sep, quoteAll=quote_all, escape='"',
+                                ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
                                 encoding="UTF-8").csv(path)
 
 

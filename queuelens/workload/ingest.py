@@ -193,7 +193,7 @@ def drop_and_rename(spark, sf):
 # --- incremental --------------------------------------------------------------------
 
 _RAW_SQL = """SELECT CAST(user_id AS VARCHAR) AS protocolo, CASE WHEN event_id % 50 = 0 THEN NULL
-  ELSE CAST(epoch_ms(ts) AS BIGINT) END AS data_alteracao, event_type AS origem_lista, event_id, value FROM events"""
+  ELSE epoch_us(ts) // 1000 END AS data_alteracao, event_type AS origem_lista, event_id, value FROM events"""
 
 
 def _raw(spark, sf):

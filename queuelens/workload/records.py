@@ -13,7 +13,8 @@ from ..operators import contract
 from ..operators.jsonshape import flatten_struct, millis_to_timestamps
 from ..plans import flatten as fl, legacy
 from ..schema import REQUEST_COLUMNS
-from ..session import spread
+from ..session import scratch_dir, spread
+from ..sources.files import write_parquet
 from .views import table, view
 
 C = F.col
@@ -244,7 +245,7 @@ UNION ALL SELECT cmce, 3, t3, 'AGUARDA_REAVALIACAO' FROM d"""
 # --- contract ---------------------------------------------------------------------
 
 def _damaged(spark, sf):
-    """Documents with several kinds of damage, chosen by key."""
+    """Documents with several kinds of damage, chosen by key, stored as a raw dataset."""
     k = C("protocolo").cast("bigint") % 12
     j = C("conteudo_json")
     broken = (F.when(k == 1, F.replace(j, F.lit('"numeroCMCE":'), F.lit('"outro":')))
@@ -256,7 +257,9 @@ def _damaged(spark, sf):
               .when(k == 7, F.regexp_replace(j, '"dataNascimento":[0-9]+', '"dataNascimento":"ontem"'))
               .when(k == 8, F.regexp_replace(j, '"detalhes":"no json"', '"detalhes":7'))
               .when(k == 9, F.lit("null")).otherwise(j))
-    return documents(spark, sf).withColumn("conteudo_json", broken)
+    path = scratch_dir(spark, "raw")
+    write_parquet(documents(spark, sf).withColumn("conteudo_json", broken), path)
+    return spark.read.parquet(path)
 
 
 def contract_split(spark, sf):
