@@ -1 +1,174 @@
-QUERIES = {}
+"""Streams over the event table; each is drained and its result read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_dir
+from ..sources import stores
+from ..streaming import alerts, ingest, ownership, register
+from ..streaming.run import drain, to_table
+from .history import OWNERSHIP_SQL
+from .records import AS_OF, DOC_DUCK, SALT, _damaged
+from .views import AS_OF_EVENTS, history, table
+
+C = F.col
+
+
+def _stream(spark, sf):
+    """The event file as a stream with a zoned timestamp and a list number."""
+    schema = table(spark, sf, "events").schema
+    # a pattern, because a stream takes a plain path for a folder
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    return raw.withColumns({"ts": C("ts").cast("timestamp"), "lista": C("user_id") % 3})
+
+
+def _minute(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm")
+
+
+def stream_sliding_errors(spark, sf):
+    """Sliding error rate per list."""
+    path = scratch_dir(spark, "sliding")
+    to_table(alerts.error_rate(_stream(spark, sf), C("event_type") == "error", "lista"), path)
+    return spark.read.parquet(path).select(_minute("start").alias("start"), "lista", "n", "errors", "alert")
+
+
+SLIDING_SQL = """WITH w AS (SELECT unnest([0, 5, 10]) AS back), e AS (SELECT user_id % 3 AS lista, event_type,
+  time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(back) AS start FROM events, w)
+SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, lista, COUNT(*) AS n,
+  COUNT(*) FILTER (event_type = 'error') AS errors, COUNT(*) FILTER (event_type = 'error') / COUNT(*) > 0.1 AS alert
+FROM e GROUP BY 1, 2"""
+
+
+def stream_tumbling_p90(spark, sf):
+    """P90 per hour."""
+    path = scratch_dir(spark, "p90")
+    to_table(alerts.duration_p90(_stream(spark, sf), "value", limit=30.0), path)
+    return spark.read.parquet(path).select(_minute("start").alias("start"), "n", "p90", "alert")
+
+
+P90_SQL = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, COUNT(*) AS n,
+  list_sort(list(value))[CAST(ceil(0.9 * COUNT(*)) AS BIGINT)] AS p90,
+  list_sort(list(value))[CAST(ceil(0.9 * COUNT(*)) AS BIGINT)] > 30.0 AS alert FROM events GROUP BY 1"""
+
+
+def stream_counters(spark, sf):
+    """Counters by day, type, list and duration bucket."""
+    path = scratch_dir(spark, "counters")
+    to_table(alerts.counters(_stream(spark, sf), "event_type", "lista", "value"), path)
+    return spark.read.parquet(path).select(_minute("start").alias("start"), "event_type", "lista", "bucket", "n",
+                                           F.round("seconds", 4).alias("seconds"))
+
+
+COUNTERS_SQL = """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS start, event_type, user_id % 3 AS lista,
+  CASE WHEN value <= 1 THEN '1.0' WHEN value <= 5 THEN '5.0' WHEN value <= 10 THEN '10.0' WHEN value <= 30 THEN '30.0'
+    WHEN value <= 60 THEN '60.0' WHEN value <= 120 THEN '120.0' WHEN value <= 240 THEN '240.0' ELSE '+Inf' END AS bucket,
+  COUNT(*) AS n, ROUND(SUM(value), 4) AS seconds FROM events GROUP BY 1, 2, 3, 4"""
+
+
+def stream_heartbeat(spark, sf):
+    """Heartbeat, freshness, stall and high-risk flags."""
+    path = scratch_dir(spark, "heartbeat")
+    to_table(alerts.last_seen(_stream(spark, sf), "lista", C("event_type") == "purchase", C("value") > 20), path)
+    beat = alerts.heartbeat(spark.read.parquet(path), "2024-01-31 02:00:00")
+    return beat.select("lista", "high_risk", "stale", "not_fresh", "stalled", "risk_surge")
+
+
+HEARTBEAT_SQL = """WITH s AS (SELECT user_id % 3 AS lista, MAX(ts) AS t, MAX(ts) FILTER (event_type = 'purchase') AS ok,
+  COUNT(*) FILTER (value > 20) AS high_risk FROM events GROUP BY 1)
+SELECT lista, high_risk, TIMESTAMP '2024-01-31 02:00:00' - ok > INTERVAL 100000 SECOND AS stale,
+  TIMESTAMP '2024-01-31 02:00:00' - t > INTERVAL 2 HOUR AS not_fresh,
+  TIMESTAMP '2024-01-31 02:00:00' - ok >= INTERVAL 6 HOUR AS stalled, high_risk > 500 AS risk_surge FROM s"""
+
+
+def _register_stream(spark, sf):
+    """Register messages made from the event stream; every message comes twice."""
+    s = _stream(spark, sf)
+    crm = F.when(C("event_id") % 4 == 0, None).otherwise(F.struct(
+        F.when(C("event_id") % 10 == 1, "00000").when(C("event_id") % 10 == 3, "12x")
+        .otherwise(C("user_id").cast("string")).alias("crm_numero"),
+        F.when(C("event_id") % 14 == 2, "R1").otherwise("rs").alias("crm_uf")))
+    value = F.to_json(F.struct(
+        C("event_id").cast("string").alias("id"),
+        F.when(C("event_type") == "signup", "REGISTER").otherwise("LOGIN").alias("type"),
+        C("user_id").cast("string").alias("userId"), crm.alias("details")))
+    messages = s.select(value.alias("value"), C("ts").alias("timestamp"))
+    return messages.union(messages)
+
+
+def stream_dedup(spark, sf):
+    """Every event id once."""
+    path = scratch_dir(spark, "dedup")
+    to_table(register.distinct_events(_register_stream(spark, sf), "60 days"), path, "append")
+    return spark.read.parquet(path).groupBy("type").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+
+
+def dead_letter_sink(spark, sf):
+    """Register events split into profiles and dead letters."""
+    path = scratch_dir(spark, "register")
+
+    def write(batch, batch_id):
+        good, dead = register.split(batch, blocked=("00000",))
+        stores.append_batch(good, f"{path}/profiles", batch_id)
+        stores.append_batch(dead, f"{path}/dead", batch_id)
+
+    drain(register.registrations(register.distinct_events(_register_stream(spark, sf), "60 days")), write)
+    good = spark.read.parquet(f"{path}/profiles").select("id", F.lit("profile").alias("kind"))
+    dead = spark.read.parquet(f"{path}/dead").select(
+        F.get_json_object("original_payload", "$.id").alias("id"), C("error").alias("kind"))
+    return good.unionByName(dead)
+
+
+DEAD_SQL = f"""SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 4 <> 0 AND (event_id % 10 IN (1, 3)
+  OR event_id % 14 = 2) THEN '{register.FAILED}' ELSE 'profile' END AS kind FROM events WHERE event_type = 'signup'"""
+
+
+def landing_stream(spark, sf):
+    """Documents from a landing folder into the stores, in several batches."""
+    base = scratch_dir(spark, "ingest")
+    damaged = _damaged(spark, sf).withColumn("conteudo_json", F.when(
+        C("protocolo").cast("bigint") % 12 == 0, C("conteudo_json")).when(
+        C("protocolo").cast("bigint") % 120 == 3, C("conteudo_json")).when(
+        C("protocolo").cast("bigint") % 12 > 9, C("conteudo_json")))
+    damaged = damaged.filter("conteudo_json IS NOT NULL")
+    damaged.select("conteudo_json", "origem_lista").repartition(3, "origem_lista").write.json(f"{base}/landing")
+    paths = ingest.IngestPaths(f"{base}/stores")
+    ingest.ingest(spark, f"{base}/landing", paths, AS_OF, SALT, max_files=2)
+    good = ingest.current_requests(spark, paths).select(
+        C("numeroCMCE").alias("key"), "origem_lista", C("SLA_Tipo_Desfecho").alias("result"))
+    dead = spark.read.parquet(paths.dead_letters).select(
+        F.lit("dead").alias("key"), "origem_lista", F.array_join("errors", "; ").alias("result"))
+    return good.unionByName(dead)
+
+
+LANDING_SQL = f"""WITH d AS ({DOC_DUCK}), m AS (SELECT *, CAST(cmce AS BIGINT) % 12 AS r FROM d)
+SELECT cmce AS key, pr AS origem_lista, CASE WHEN st <> 'F' THEN '' WHEN s2 = 'REALIZADA' THEN 'POSITIVO'
+  WHEN s2 = 'CANCELADA' THEN 'NEGATIVO' ELSE 'ABANDONO' END AS result FROM m WHERE r = 0 OR r > 9
+UNION ALL SELECT 'dead', pr, 'payload: corrupt' FROM m WHERE CAST(cmce AS BIGINT) % 120 = 3"""
+
+
+def stream_ownership(spark, sf):
+    """Ownership figures after three micro-batches in no particular order."""
+    base = scratch_dir(spark, "ownership")
+    events = history(spark, sf)
+    events.repartition(3, "seq").write.parquet(f"{base}/landing")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
+    drain(stream, lambda batch, n: ownership.update(batch, n, f"{base}/state", AS_OF_EVENTS))
+    return ownership.current(spark, f"{base}/state").select(
+        "request", "SLA_Tempo_Solicitante_Dias", "SLA_Tempo_Regulador_Dias", "SLA_Lead_Time_Total_Dias",
+        "SLA_Interacoes_Regulacao", "SLA_Atores_Envolvidos")
+
+
+QUERIES = {
+    "stream_sliding_errors": (stream_sliding_errors, SLIDING_SQL),
+    "stream_tumbling_p90": (stream_tumbling_p90, P90_SQL),
+    "stream_counters": (stream_counters, COUNTERS_SQL),
+    "stream_heartbeat": (stream_heartbeat, HEARTBEAT_SQL),
+    "stream_dedup": (stream_dedup, """SELECT CASE WHEN event_type = 'signup' THEN 'REGISTER' ELSE 'LOGIN' END AS type,
+        COUNT(*) AS n, COUNT(*) AS ids FROM events GROUP BY 1"""),
+    "dead_letter_sink": (dead_letter_sink, DEAD_SQL),
+    "landing_stream": (landing_stream, LANDING_SQL),
+    "stream_ownership": (stream_ownership, OWNERSHIP_SQL),
+}
