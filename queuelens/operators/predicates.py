@@ -7,7 +7,7 @@ combine predicates with SQL's three-valued logic.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -103,31 +103,36 @@ def date_range(c: Column, start=None, end=None, as_of=None, default_days: int =
 
 # --- text -------------------------------------------------------------------------
 
-def matches(c: Column, pattern: str, folded: bool = False) -> Column:
-    """Accent-blind, case-blind LIKE; a backslash in the pattern is a plain character."""
-    text = c if folded else fold_accents(c)
-    return text.ilike(_fold_literal(pattern).replace("\\", "\\\\"))
+def matches(folded: Column, pattern: str) -> Column:
+    """LIKE on text that went through ``folded_text``; a backslash is a plain character."""
+    bare = "".join(x for x in unicodedata.normalize("NFD", pattern.lower())
+                   if not unicodedata.category(x).startswith("M"))
+    return folded.like(unicodedata.normalize("NFC", bare).replace("\\", "\\\\"))
 
 
-def _fold_literal(pattern: str) -> str:
-    bare = "".join(x for x in unicodedata.normalize("NFD", pattern)
-                   if not unicodedata.category(x).startswith("M"))
-    return unicodedata.normalize("NFC", bare)
+def folded_text(c: Column) -> Column:
+    """Lower case without accents, the form search terms are compared in."""
+    return fold_accents(F.lower(c))
+
+
+def _on_folded(c: Column, test: Callable[[Column], Column]) -> Column:
+    """``test`` of the folded text, folding a long text once for all its terms."""
+    return F.element_at(F.transform(F.array(folded_text(c)), test), 1)
 
 
 def text_any(c: Column, terms: str) -> Column | None:
     patterns = search_terms(terms)
-    return any_of([matches(c, p) for p in patterns]) if patterns else None
+    return _on_folded(c, lambda t: any_of([matches(t, p) for p in patterns])) if patterns else None
 
 
 def text_all(c: Column, terms: str) -> Column | None:
     patterns = search_terms(terms)
-    return all_of([matches(c, p) for p in patterns]) if patterns else None
+    return _on_folded(c, lambda t: all_of([matches(t, p) for p in patterns])) if patterns else None
 
 
 def text_none(c: Column, terms: str) -> Column | None:
     patterns = search_terms(terms)
-    return all_of([~matches(c, p) for p in patterns]) if patterns else None
+    return _on_folded(c, lambda t: all_of([~matches(t, p) for p in patterns])) if patterns else None
 
 
 def contains_ignoring_case(c: Column, text: str) -> Column:
@@ -143,7 +148,7 @@ def entity_text(df: DataFrame, key: str, column: str, any_terms: str = "", all_t
     are all null satisfy neither a positive nor a negative term.
     """
     def hits(terms: str) -> list[Column]:
-        return [F.bool_or(matches(F.col("__text"), p, folded=True)) for p in search_terms(terms)]
+        return [F.bool_or(matches(F.col("__text"), p)) for p in search_terms(terms)]
 
     flags: list[Column] = []
     clauses: list[Column] = []
@@ -159,7 +164,7 @@ def entity_text(df: DataFrame, key: str, column: str, any_terms: str = "", all_t
     clauses += [flag(h) == F.lit(False) for h in hits(no_terms)]
     if not clauses:
         return df
-    keys = (df.select(key, fold_accents(F.col(column)).alias("__text"))
+    keys = (df.select(key, folded_text(F.col(column)).alias("__text"))
             .groupBy(key).agg(*flags).filter(all_of(clauses)).select(key))
     return df.join(keys, key, "left_semi")
 
