@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 SECOND_FORMAT = "dd/MM/yyyy HH:mm:ss"
 MINUTE_FORMAT = "dd/MM/yyyy HH:mm"
 DAY_FORMAT = "dd/MM/yyyy"
+DAY_FIRST_PATTERN = "d/M/yyyy[ H:mm[:ss]]"
 # Epoch milliseconds of the years 1 to 9999, the range the text form can hold.
 EPOCH_MS_MIN, EPOCH_MS_MAX = -62135596800000, 253402300799999
 
@@ -53,9 +54,7 @@ def day_first_timestamp(c: Column) -> Column:
     """Day-first text (with or without time) or ISO text as timestamp, bad text null."""
     text = F.trim(c)
     return F.coalesce(
-        F.try_to_timestamp(text, F.lit(SECOND_FORMAT)),
-        F.try_to_timestamp(text, F.lit(MINUTE_FORMAT)),
-        F.try_to_timestamp(text, F.lit(DAY_FORMAT)),
+        F.try_to_timestamp(text, F.lit(DAY_FIRST_PATTERN)),
         text.try_cast("timestamp"),
     )
 

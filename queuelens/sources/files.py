@@ -46,10 +46,16 @@ def with_lineage(df: DataFrame) -> DataFrame:
                            "ingestion_at": F.current_timestamp()})
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path object) of the cluster's storage for a path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths that match a glob; only the listing is read, not the contents."""
-    files = spark.read.format("binaryFile").load(pattern).select("path")
-    return sorted(r.path for r in files.collect())
+    """Files that match a glob, empty ones included; nothing is opened."""
+    fs, where = _file_system(spark, pattern)
+    return sorted(s.getPath().toString() for s in fs.globStatus(where) or [] if s.isFile())
 
 
 def _header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
@@ -130,8 +136,7 @@ def swap_in(df: DataFrame, path: str) -> None:
     staged, retired = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.retired-{uuid.uuid4().hex}"
     write_parquet(df, staged, "errorifexists")
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    target = fs_path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, target = _file_system(spark, path)
     if fs.exists(target) and not fs.rename(target, fs_path(retired)):
         raise OSError(f"cannot move {path} aside")
     if not fs.rename(fs_path(staged), target):
