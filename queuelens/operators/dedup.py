@@ -38,10 +38,12 @@ def not_yet_processed(new: DataFrame, processed: DataFrame, key: str) -> DataFra
     return new.join(processed.select(key), key, "left_anti")
 
 
-def watermarks(raw: DataFrame) -> DataFrame:
-    """Highest change stamp per list; 0 where there is none."""
+def watermarks(raw: DataFrame, as_of=None, days_back: int = 7) -> DataFrame:
+    """Highest change stamp per list. Without one: 0, or ``days_back`` days before ``as_of``."""
+    fallback = F.lit(0) if as_of is None else F.unix_millis(
+        F.date_sub(F.lit(str(as_of)).cast("date"), days_back).cast("timestamp"))
     return raw.groupBy("origem_lista").agg(
-        F.coalesce(F.max("data_alteracao"), F.lit(0)).cast("bigint").alias("watermark"))
+        F.coalesce(F.max("data_alteracao"), fallback).cast("bigint").alias("watermark"))
 
 
 def incremental_cut(rows: DataFrame, marks: DataFrame, full_sync_done: bool = True) -> DataFrame:

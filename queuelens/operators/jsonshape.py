@@ -21,11 +21,6 @@ def millis_to_timestamps(df: DataFrame, hints: tuple[str, ...] = ("data", "versa
     return df.withColumns(found) if found else df
 
 
-def explode_records(df: DataFrame, column: str) -> DataFrame:
-    """List of lists of structs to one flat row per inner struct."""
-    return df.select(F.inline(F.flatten(F.col(column))))
-
-
 def record_lines(df: DataFrame, key: str) -> DataFrame:
     """Record set turned on its side: one row per (key, column, value as text)."""
     rest = [c for c in df.columns if c != key]

@@ -24,10 +24,13 @@ def object_store_options(region: str, endpoint: str | None = None) -> dict[str,
     return options | ({"fs.s3a.endpoint": endpoint} if endpoint else {})
 
 
-def read_requests(spark: SparkSession, path: str, view: str | None = None,
-                  check: bool = True) -> DataFrame:
-    """Open a request dataset (local or object store), check its columns, name it as a view."""
-    df = spark.read.parquet(path)
+def read_requests(spark: SparkSession, path: str, view: str | None = None, check: bool = True,
+                  options: dict[str, str] | None = None) -> DataFrame:
+    """Open a request dataset, check its columns, name it as a view.
+
+    For an object store pass ``object_store_options`` as ``options``.
+    """
+    df = spark.read.options(**(options or {})).parquet(path)
     if check:
         require_columns(df)
     if view:

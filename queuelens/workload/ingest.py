@@ -35,13 +35,17 @@ def row_count(spark, sf):
 
 
 def schema_table(spark, sf):
-    """Columns and types of a file."""
-    return files.schema_table(table(spark, sf, "orders"))
+    """Columns and types of a file, with the number of filled cells."""
+    orders = table(spark, sf, "orders")
+    filled = orders.agg(*[F.count(c).alias(c) for c in orders.columns]).unpivot(
+        [], orders.columns, "column_name", "filled")
+    return files.schema_table(orders).join(filled, "column_name")
 
 
-SCHEMA_SQL = """SELECT column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
-  WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE data_type END
-  AS type FROM duckdb_columns() WHERE table_name = 'orders'"""
+SCHEMA_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{kind}' AS type, COUNT({c}) AS filled FROM orders" for c, kind in [
+        ("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+        ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")])
 
 
 def lineage_cols(spark, sf):

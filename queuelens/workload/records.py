@@ -327,6 +327,20 @@ def by_code_last(spark, sf):
                           for code in ["anamnese", "nota", "unidadeIndicada"]])
 
 
+def nested_items(spark, sf):
+    """the items of all events of all documents, one row each."""
+    items = legacy.parsed_documents(documents(spark, sf)).select("protocolo", F.expr(legacy.all_items()).alias("items"))
+    return items.select("protocolo", F.inline("items")).select("protocolo", "codigo", "label", F.md5("texto").alias("texto"))
+
+
+ITEMS_SQL = f"""WITH d AS ({DOC_DUCK}), i AS (
+  SELECT cmce, 'anamnese' AS codigo, 'Anamnese' AS label, ' ' || pain || ' forte' || chr(13) || chr(10) || 'ha dias ' AS t FROM d
+  UNION ALL SELECT cmce, 'regionalizacao', 'Regiao', 'Especialidade: Esp:1' || chr(10) || 'Referencia :  ' || pr FROM d
+  UNION ALL SELECT cmce, 'vazio', 'Vazio', '   ' FROM d UNION ALL SELECT cmce, 'evolucao', 'Evolução', pain FROM d
+  UNION ALL SELECT cmce, 'nota', 'Nota', regulator FROM d UNION ALL SELECT cmce, 'anamnese', 'Outra', 'nova ' || pain FROM d)
+SELECT cmce AS protocolo, codigo, label, md5(t) AS texto FROM i"""
+
+
 def kv_lines(spark, sf):
     """'key: value' lines as columns."""
     items = legacy.parsed_documents(documents(spark, sf)).select(
@@ -409,6 +423,7 @@ QUERIES = {
     "legacy_flat_16": (legacy_flat_16, L16_SQL),
     "by_code_last": (by_code_last, f"""WITH d AS ({DOC_DUCK}) SELECT cmce AS protocolo, CAST(6 AS BIGINT) AS n_items,
         'nova ' || pain AS anamnese, regulator AS nota, CAST(NULL AS VARCHAR) AS "unidadeIndicada" FROM d"""),
+    "nested_items": (nested_items, ITEMS_SQL),
     "kv_lines": (kv_lines, f"""WITH d AS ({DOC_DUCK}) SELECT cmce AS protocolo,
         'Regionalização Especialidade' AS name, 'Esp:1' AS value FROM d
         UNION ALL SELECT cmce, 'Regionalização Referencia', pr FROM d"""),
