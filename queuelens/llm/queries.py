@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, perplexity, simhash
+from . import langid, mixing, packing, perplexity, simhash, tokenfile
 from .common import read_table
 
 
@@ -15,6 +15,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def tokenizer_path() -> str:
+    """The byte-level vocabulary file of the public tokenizers package (installed on every node)."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = tokenfile.read_tokens(spark, tokenfile.write_tokens(docs, tokenizer_path(), end_id=2))
+    return tokenfile.starts(tokenfile.checksums(files), files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
@@ -26,6 +38,19 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces, assignment = packing.packed(docs, tokenizer_path(), end_id=1, length=2048)
+    return packing.checksums(pieces).join(assignment, "piece_id").select(
+        F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return mixing.replicated(docs).select(
+        "row.doc_id", "row.source", "copy", "shuffle_key", F.md5(F.col("row.text").cast("binary")).alias("text_md5"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return perplexity.judged(docs, keep=False).select(
@@ -35,6 +60,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": (op2_simhash, None),
+    "op3_token_files": (op3_token_files, None),
     "op6_language": (op6_language, None),
+    "op7_packing": (op7_packing, None),
+    "op9_mixing": (op9_mixing, mixing.SQL),
     "op10_quality": (op10_quality, None),
 }
