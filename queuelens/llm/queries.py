@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, perplexity, simhash, tokenfile
+from . import langid, mixing, neighbours, packing, perplexity, simhash, tokenfile
 from .common import read_table
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20).withColumnRenamed("id", "vec_id")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicate_classes(docs, shingle=4, budget=4).select(
@@ -59,6 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_neighbours": (op1_neighbours, None),
     "op2_simhash": (op2_simhash, None),
     "op3_token_files": (op3_token_files, None),
     "op6_language": (op6_language, None),
