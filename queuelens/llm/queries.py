@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neighbours, packing, perplexity, simhash, tokenfile
+from . import langid, mixing, neighbours, packing, perplexity, simhash, tokenfile, urlfilter
 from .common import read_table
 
 
@@ -32,6 +32,37 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.starts(tokenfile.checksums(files), files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = """
+WITH rules AS (
+  SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+                        ('org', '/fr/', 'allow')) r(rule_host, rule_path, rule_verdict)
+), rest AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), hosts AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM rest
+), parsed AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts
+), fits AS (
+  SELECT page_id, rule_host || rule_path AS rule, rule_verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS place
+  FROM parsed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM parsed LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (page_id)
+"""
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
@@ -67,6 +98,7 @@ QUERIES = {
     "op1_neighbours": (op1_neighbours, None),
     "op2_simhash": (op2_simhash, None),
     "op3_token_files": (op3_token_files, None),
+    "op5_url_filter": (op5_url_filter, OP5_SQL),
     "op6_language": (op6_language, None),
     "op7_packing": (op7_packing, None),
     "op9_mixing": (op9_mixing, mixing.SQL),
