@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neighbours, packing, perplexity, simhash, tokenfile, urlfilter
+from . import langid, licences, mixing, neighbours, packing, perplexity, simhash, tokenfile, urlfilter
 from .common import read_table
 
 
@@ -81,6 +81,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.by_document(docs, licences.Classifier.fit(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return mixing.replicated(docs).select(
@@ -101,6 +106,7 @@ QUERIES = {
     "op5_url_filter": (op5_url_filter, OP5_SQL),
     "op6_language": (op6_language, None),
     "op7_packing": (op7_packing, None),
+    "op8_licences": (op8_licences, None),
     "op9_mixing": (op9_mixing, mixing.SQL),
     "op10_quality": (op10_quality, None),
 }
