@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licences, mixing, neighbours, packing, perplexity, simhash, tokenfile, urlfilter
+from . import (htmltext, langid, licences, mixing, neighbours, packing, perplexity, simhash, tokenfile,
+               urlfilter)
 from .common import read_table
 
 
@@ -32,6 +33,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.starts(tokenfile.checksums(files), files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract(pages, htmltext.fit(), keep=False).select(
+        "row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
              ("org", "/fr/", "allow")]
 
@@ -103,6 +110,7 @@ QUERIES = {
     "op1_neighbours": (op1_neighbours, None),
     "op2_simhash": (op2_simhash, None),
     "op3_token_files": (op3_token_files, None),
+    "op4_main_text": (op4_main_text, None),
     "op5_url_filter": (op5_url_filter, OP5_SQL),
     "op6_language": (op6_language, None),
     "op7_packing": (op7_packing, None),
