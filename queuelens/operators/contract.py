@@ -91,8 +91,9 @@ def errors_expression(text: str) -> str:
     """Contract violations of a JSON document, an empty array for a good one.
 
     Types are checked on the parsed value itself, since a typed parse would turn a number
-    into text silently. Unknown keys are fine. Null items and items that report a fetch
-    error count as corrupt.
+    into text silently. Unknown keys are fine, and a document may lack the history, but a
+    history that is null is a violation. Null items and items that report a fetch error
+    count as corrupt.
     """
     names = [n for n, _, _ in ROOT_FIELDS] + list(BLOCKS) + ["evolucoes", "error"]
     parts = ", ".join(f"{_part('v', n)} AS {n}" for n in names)
@@ -113,6 +114,7 @@ def errors_expression(text: str) -> str:
                   for n, check, need in fields]
     rules.append(f"CASE WHEN NOT {_absent('f.evolucoes')} AND f.evolucoes.kind <> 'ARRAY' "
                  "THEN 'evolucoes: wrong type' END")
+    rules.append("CASE WHEN is_variant_null(p.evolucoes) THEN 'evolucoes: null' END")
     event_rule = ", ".join(_rule(f"e.{n}", f"evolucoes.{n}", check, need)
                            for n, check, need in EVENT_FIELDS)
     event_rules = ("array_distinct(transform(f.events, e -> CASE WHEN coalesce(e.event.kind, '') "
@@ -141,7 +143,7 @@ def split_documents(raw: DataFrame, text: str = "conteudo_json") -> tuple[DataFr
 # --- breaker --------------------------------------------------------------------------
 
 def breaker_open(errors: int, total: int, rules: Rules = DEFAULT_RULES) -> bool:
-    """Batch form of the breaker: too many failures among enough rows."""
+    """Too many failures among enough rows; pass the totals of the run so far."""
     return total >= rules.breaker_min_rows and errors / total > rules.breaker_ratio
 
 

@@ -46,13 +46,14 @@ def watermarks(raw: DataFrame, as_of=None, days_back: int = 7) -> DataFrame:
         F.coalesce(F.max("data_alteracao"), fallback).cast("bigint").alias("watermark"))
 
 
-def incremental_cut(rows: DataFrame, marks: DataFrame, full_sync_done: bool = True) -> DataFrame:
+def incremental_cut(rows: DataFrame, marks: DataFrame, full_sync_done: bool = True,
+                    mark_only: str | None = None) -> DataFrame:
     """Rows newer than their list's watermark; rows without a stamp always stay.
 
     Before the first full sync nothing is cut. The watermark frame has one row per list.
+    ``mark_only`` names a flag column for the rows to cut, which then stay as well.
     """
-    if not full_sync_done:
-        return rows
     stamp, mark = F.coalesce("data_alteracao", F.lit(0)), F.coalesce("watermark", F.lit(0))
-    seen = (mark > 0) & (stamp > 0) & (stamp <= mark)
-    return rows.join(marks, "origem_lista", "left").filter(~seen).drop("watermark")
+    seen = (mark > 0) & (stamp > 0) & (stamp <= mark) & F.lit(full_sync_done)
+    flagged = rows.join(marks, "origem_lista", "left").withColumn(mark_only or "__seen", seen).drop("watermark")
+    return flagged if mark_only else flagged.filter("NOT __seen").drop("__seen")

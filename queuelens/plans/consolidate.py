@@ -59,17 +59,22 @@ def convert_raw(raw: DataFrame, as_of, salt: str) -> tuple[DataFrame, DataFrame]
 
     A row fails when it is no JSON object, its history is no list, or it has no key.
     """
-    checked = with_errors(raw)
+    checked = _convertible(raw)
+    return (typed(canonical(flatten(checked.filter("usable"), as_of, salt))),
+            checked.filter("NOT usable").drop("usable"))
+
+
+def _convertible(raw: DataFrame) -> DataFrame:
     unusable = F.exists("errors", lambda e: e.startswith("payload") | e.startswith("document")
-                        | e.startswith("numeroCMCE: missing") | (e == "evolucoes: wrong type"))
-    no_history = F.get_json_object("conteudo_json", "$.evolucoes").isNull() \
-        & F.col("conteudo_json").rlike(r'"evolucoes"\s*:\s*null')
-    bad = unusable | no_history
-    return typed(canonical(flatten(checked.filter(~bad), as_of, salt))), checked.filter(bad)
+                        | e.startswith("numeroCMCE: missing") | (e == "evolucoes: wrong type")
+                        | (e == "evolucoes: null"))
+    return with_errors(raw).withColumn("usable", ~unusable)
 
 
 def run_conversion(raw: DataFrame, target: str, as_of, salt: str) -> dict[str, int]:
-    rows, failed = convert_raw(raw, as_of, salt)
+    """Convert and write; both counters come from the one pass that writes."""
     done = Observation("converted")
-    write_parquet(rows.observe(done, F.count(F.lit(1)).alias("rows")), target)
-    return {"converted": done.get["rows"], "errors": failed.count()}
+    checked = _convertible(raw).observe(done, F.count_if("usable").alias("rows"),
+                                        F.count_if(~F.col("usable")).alias("errors"))
+    write_parquet(typed(canonical(flatten(checked.filter("usable"), as_of, salt))), target)
+    return {"converted": done.get["rows"], "errors": done.get["errors"]}

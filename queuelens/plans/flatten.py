@@ -256,8 +256,9 @@ def canonical(df: DataFrame, columns: list[str] = REQUEST_COLUMNS,
     return df.selectExpr(*[cell(c) for c in columns])
 
 
-def typed(flat: DataFrame) -> DataFrame:
-    """Canonical flat rows with their stored types (dates, flags, days, counts, text)."""
+def typed(flat: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical flat rows with their stored types (dates, flags, days, counts, text);
+    ``keep`` passes further columns through."""
     def convert(name: str) -> str:
         text = f"CAST({name} AS STRING)"
         if name in DATE_COLUMNS:
@@ -273,4 +274,4 @@ def typed(flat: DataFrame) -> DataFrame:
         if name in COUNT_COLUMNS:
             return f"coalesce(try_cast({text} AS BIGINT), 0L)"
         return f"CASE WHEN {text} IN ('None', 'nan', '<NA>') THEN '' ELSE coalesce({text}, '') END"
-    return flat.selectExpr(*[f"{convert(c)} AS {c}" for c in REQUEST_COLUMNS])
+    return flat.selectExpr(*[f"{convert(c)} AS {c}" for c in REQUEST_COLUMNS], *keep)

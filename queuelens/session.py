@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "queuelens", master: str | None = None,
@@ -37,18 +38,11 @@ def use_utc(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) a local folder is used.
+    A session inside one process may do without that setting and gets a local folder. On a
+    cluster every executor would write to a disk of its own, so there it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="queuelens-")
     return f"{base}/{label}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work over a scan of only a few file splits.
-
-    A scan with at least one split per core (every large table) comes back unchanged, so
-    nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -55,6 +55,11 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
     """Files that match a glob, empty ones included; nothing is opened."""
     fs, where = _file_system(spark, pattern)

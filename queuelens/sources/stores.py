@@ -8,18 +8,28 @@ batch leaves no duplicates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.dedup import latest_per_key
 from ..schema import RUN_LOG_SCHEMA
+from .files import exists
 
 # Run states.
 SUCCESS, PARTIAL, FAILURE, CIRCUIT_BREAKER = "SUCCESS", "PARTIAL", "FAILURE", "CIRCUIT_BREAKER"
 NO_KEY = "SEM_PROTOCOLO_"
 
 
-def raw_rows(documents: DataFrame, text: str = "conteudo_json", list_name: str = "origem_lista") -> DataFrame:
-    """Store rows of captured documents; corrupt ones are left out.
+#: Key and change stamp of a parsed document ``__v``.
+KEY_OF = "try_variant_get(__v, '$.numeroCMCE', 'string')"
+STAMP_OF = "coalesce(try_variant_get(__v, '$.dataAlterouUltimaSituacao', 'bigint'), 0L)"
+RAW_SCHEMA = ("protocolo STRING, data_captura TIMESTAMP, data_alteracao BIGINT, conteudo_json STRING, "
+              "origem_lista STRING, batch_id BIGINT")
+DEAD_SCHEMA = "raw STRING, errors ARRAY<STRING>, origem_lista STRING, batch_id BIGINT"
+
+
+def raw_rows(documents: DataFrame, text: str = "conteudo_json", list_name: str = "origem_lista",
+             keep: tuple[str, ...] = ()) -> DataFrame:
+    """Store rows of captured documents; corrupt ones are left out, ``keep`` passes columns.
 
     A document without a key gets one made from its content, so capturing it again meets
     the same key.
@@ -28,12 +38,10 @@ def raw_rows(documents: DataFrame, text: str = "conteudo_json", list_name: str =
     v = F.try_parse_json(j)
     staged = documents.withColumn("__v", v).filter(
         "__v IS NOT NULL AND NOT is_variant_null(__v) AND try_variant_get(__v, '$.error', 'variant') IS NULL")
-    key = F.coalesce(F.expr("try_variant_get(__v, '$.numeroCMCE', 'string')"),
-                     F.concat(F.lit(NO_KEY), F.sha2(j, 256)))
-    stamp = F.expr("coalesce(try_variant_get(__v, '$.dataAlterouUltimaSituacao', 'bigint'), 0L)")
+    key = F.coalesce(F.expr(KEY_OF), F.concat(F.lit(NO_KEY), F.sha2(j, 256)))
     return staged.select(key.alias("protocolo"), F.current_timestamp().alias("data_captura"),
-                         stamp.alias("data_alteracao"), j.alias("conteudo_json"),
-                         F.col(list_name).alias("origem_lista"))
+                         F.expr(STAMP_OF).alias("data_alteracao"), j.alias("conteudo_json"),
+                         F.col(list_name).alias("origem_lista"), *keep)
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -43,9 +51,19 @@ def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
      .partitionBy("batch_id").parquet(path))
 
 
-def latest(spark: SparkSession, path: str, key: str, order: list[Column] | None = None) -> DataFrame:
-    """Current rows of an append-only store: the newest batch wins per key."""
-    return latest_per_key(spark.read.parquet(path), key, [F.desc("batch_id"), *(order or [])])
+def read_store(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Rows of a store. With a schema, a store without any row yet is an empty frame."""
+    if schema is not None and not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
+
+
+def latest(spark: SparkSession, path: str, key: str, order: list[Column] | None = None,
+           schema: T.StructType | str | None = None) -> DataFrame:
+    """Current rows of an append-only store: per key the first in ``order``, by default the
+    newest batch's."""
+    return latest_per_key(read_store(spark, path, schema), key, order or [F.desc("batch_id")])
 
 
 def compact(spark: SparkSession, path: str, target: str, key: str, batch_id: int) -> None:
@@ -61,12 +79,21 @@ def run_status(failed: int, breaker: bool = False, error: str = "") -> str:
     return FAILURE if error else PARTIAL if failed else SUCCESS
 
 
-def log_run(spark: SparkSession, path: str, timestamp: float, duration_seconds: float, status: str,
-            items_ingested: int = 0, items_failed: int = 0, bytes_processed: int = 0,
+RUNS_SCHEMA = T.StructType([*RUN_LOG_SCHEMA.fields, T.StructField("run_id", T.StringType())])
+
+
+def log_run(spark: SparkSession, path: str, run_id: str, timestamp: float, duration_seconds: float,
+            status: str, items_ingested: int = 0, items_failed: int = 0, bytes_processed: int = 0,
             target_lists: list[str] | None = None, error_message: str = "") -> None:
+    """The audit row of a run; writing it again replaces it."""
     row = (timestamp, round(duration_seconds, 2), status, items_ingested, items_failed,
-           bytes_processed, target_lists or [], error_message)
-    spark.createDataFrame([row], RUN_LOG_SCHEMA).write.mode("append").parquet(path)
+           bytes_processed, target_lists or [], error_message, run_id)
+    (spark.createDataFrame([row], RUNS_SCHEMA).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    return read_store(spark, path, RUNS_SCHEMA)
 
 
 def last_runs(runs: DataFrame, n: int = 10) -> DataFrame:

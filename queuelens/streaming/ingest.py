@@ -1,20 +1,35 @@
-"""Document ingest: landing folder to raw store, request table, dead letters and run log."""
+"""Document ingest: landing folder to raw store, request table, dead letters and run log.
+
+A run is one call of ``ingest``: it takes in what lies in the landing folder, in one or more
+micro-batches, and leaves one row in the run log. Documents of a list whose first full sync
+has ended are cut at the list's watermark, the highest change stamp that was published before
+the run. The circuit breaker counts over the whole run.
+"""
 
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.contract import ContractError, breaker_open, with_errors
+from ..operators.dedup import incremental_cut, latest_per_key
 from ..plans.flatten import canonical, flatten, typed
 from ..rules import DEFAULT_RULES, Rules
+from ..schema import REQUEST_COLUMNS, REQUEST_SCHEMA
 from ..sources import stores
+from ..sources.files import write_parquet
 from .run import drain
 
 LANDING_SCHEMA = "conteudo_json STRING, origem_lista STRING"
+MARKS_SCHEMA = "origem_lista STRING, watermark BIGINT"
+SYNC_SCHEMA = "origem_lista STRING, run_id STRING"
+STORED_REQUEST = T.StructType([*REQUEST_SCHEMA.fields, T.StructField("data_alteracao", T.LongType()),
+                               T.StructField("batch_id", T.LongType())])
+STARTED = "the run did not end"
 
 
 @dataclass(frozen=True)
@@ -29,62 +44,136 @@ class IngestPaths:
         return f"{self.base}/{name}"
 
 
+@dataclass
+class Run:
+    """Counters of one run; they grow with every micro-batch."""
+
+    marks: DataFrame
+    run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
+    start: float = field(default_factory=time.time)
+    total: int = 0
+    failed: int = 0
+    ingested: int = 0
+    bytes: int = 0
+    lists: set[str] = field(default_factory=set)
+    opened: bool = False
+
+    def log(self, spark: SparkSession, paths: IngestPaths, status: str, message: str = "") -> None:
+        stores.log_run(spark, paths.runs, self.run_id, self.start, time.time() - self.start, status,
+                       self.ingested, self.failed, self.bytes, sorted(self.lists), message)
+
+
 def landing_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Captured documents as JSON lines ``{conteudo_json, origem_lista}``; a page of the
-    source is a file, ``max_files`` bounds how many make one micro-batch."""
+    """Captured documents as JSON lines ``{conteudo_json, origem_lista}`` with their place in
+    the source; a page of the source is a file, ``max_files`` bounds how many make one
+    micro-batch."""
     reader = spark.readStream.schema(LANDING_SCHEMA)
-    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(path)
+    lines = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(path)
+    return lines.select("conteudo_json", "origem_lista", F.struct(
+        "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias("file"))
+
+
+def _staged(batch: DataFrame, marks: DataFrame) -> DataFrame:
+    """A batch with errors, key, stamp, place, and ``taken``: good and not below the watermark."""
+    checked = (with_errors(batch).withColumn("place", F.struct("file", F.monotonically_increasing_id().alias("row")))
+               .withColumn("__v", F.try_parse_json("conteudo_json"))
+               .withColumns({"key": F.expr(stores.KEY_OF), "data_alteracao": F.expr(stores.STAMP_OF)}).drop("__v", "file"))
+    cut = incremental_cut(checked.withColumn("taken", F.size("errors") == 0), marks, mark_only="old")
+    return cut.withColumn("taken", F.col("taken") & ~F.col("old")).drop("old")
 
 
-def publish(batch: DataFrame, batch_id: int, paths: IngestPaths, as_of, salt: str,
+def publish(batch: DataFrame, batch_id: int, run: Run, paths: IngestPaths, as_of, salt: str,
             rules: Rules = DEFAULT_RULES) -> None:
-    """One micro-batch: raw rows, breaker, request rows, dead letters, run log row.
+    """One micro-batch: raw rows, breaker, request rows, dead letters.
 
-    Every write replaces the output of an earlier try of the same batch. When the breaker
-    opens, the raw rows stay, nothing else is published and the run stops.
+    Every write replaces the output of an earlier try of the same batch and has one row per
+    key: the one with the highest change stamp, of equal or missing stamps the last in the
+    source. When the breaker opens, the raw rows stay, nothing else of the batch is
+    published and the run stops.
     """
-    spark, start = batch.sparkSession, time.time()
-    checked = with_errors(batch).persist(StorageLevel.MEMORY_AND_DISK)
+    newest = [F.desc("data_alteracao"), F.desc("place")]
+    staged = _staged(batch, run.marks).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        figures = checked.agg(
+        figures = staged.agg(
             F.count(F.lit(1)).alias("total"), F.count_if(F.size("errors") > 0).alias("failed"),
+            F.count_if("taken").alias("taken"),
             F.coalesce(F.sum(F.octet_length("conteudo_json")), F.lit(0)).alias("bytes"),
             F.collect_set("origem_lista").alias("lists")).first()
-        stores.append_batch(stores.raw_rows(checked), paths.raw, batch_id)
-        opened = breaker_open(figures.failed, figures.total, rules)
-        if not opened:
-            good = checked.filter(F.size("errors") == 0)
-            stores.append_batch(typed(canonical(flatten(good, as_of, salt))), paths.requests, batch_id)
-            stores.append_batch(checked.filter(F.size("errors") > 0)
-                                .select(F.col("conteudo_json").alias("raw"), "errors", "origem_lista"),
-                                paths.dead_letters, batch_id)
-        message = f"{figures.failed} of {figures.total} documents failed" if opened else ""
-        stores.log_run(spark, paths.runs, start, time.time() - start,
-                       stores.run_status(figures.failed, opened),
-                       0 if opened else figures.total - figures.failed, figures.failed,
-                       figures.bytes, sorted(x for x in figures.lists if x), message)
-        if opened:
-            raise ContractError(message)
+        run.total += figures.total
+        run.failed += figures.failed
+        run.bytes += figures.bytes
+        run.lists |= set(figures.lists)
+        raw = stores.raw_rows(staged.drop("data_alteracao"), keep=("place",))
+        stores.append_batch(latest_per_key(raw, "protocolo", newest).drop("place"), paths.raw, batch_id)
+        if breaker_open(run.failed, run.total, rules):
+            run.opened = True
+            raise ContractError(f"{run.failed} of {run.total} documents failed")
+        good = latest_per_key(staged.filter("taken"), "key", newest)
+        flat = flatten(good, as_of, salt, keep=("data_alteracao",))
+        stores.append_batch(typed(canonical(flat, [*REQUEST_COLUMNS, "data_alteracao"]), keep=("data_alteracao",)),
+                            paths.requests, batch_id)
+        stores.append_batch(staged.filter(F.size("errors") > 0)
+                            .select(F.col("conteudo_json").alias("raw"), "errors", "origem_lista"),
+                            paths.dead_letters, batch_id)
+        run.ingested += figures.taken
     finally:
-        checked.unpersist()
+        staged.unpersist()
 
 
 def ingest(spark: SparkSession, landing: str, paths: IngestPaths, as_of, salt: str,
            rules: Rules = DEFAULT_RULES, max_files: int | None = None,
-           checkpoint: str | None = None) -> None:
-    """Take in everything that is in the landing folder now."""
-    drain(landing_stream(spark, landing, max_files),
-          lambda batch, n: publish(batch, n, paths, as_of, salt, rules),
-          checkpoint=checkpoint or f"{paths.base}/checkpoint")
+           checkpoint: str | None = None) -> str:
+    """Take in everything that is in the landing folder now; returns the run's id.
+
+    The run's audit row is written when it starts and replaced when it ends: SUCCESS, PARTIAL
+    (some documents failed), CIRCUIT_BREAKER or FAILURE, the last two with the error's text
+    and followed by the error. A batch on which the breaker opened is tried again by the
+    next run; to get past it, mend the landing files or pass rules with a higher
+    ``breaker_ratio``. A run that ends well completes the full sync of its lists.
+    """
+    run = Run(_marks(spark, paths))
+    run.log(spark, paths, stores.FAILURE, STARTED)
+    try:
+        drain(landing_stream(spark, landing, max_files),
+              lambda batch, n: publish(batch, n, run, paths, as_of, salt, rules),
+              checkpoint=checkpoint or f"{paths.base}/checkpoint")
+    except Exception as error:
+        message = f"{run.failed} of {run.total} documents failed" if run.opened else str(error)
+        run.log(spark, paths, stores.run_status(run.failed, run.opened, message), message)
+        raise
+    synced = spark.createDataFrame([(name, run.run_id) for name in run.lists if name is not None], SYNC_SCHEMA)
+    (synced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
+     .parquet(paths.full_syncs))
+    run.log(spark, paths, stores.run_status(run.failed))
+    return run.run_id
+
+
+def _marks(spark: SparkSession, paths: IngestPaths) -> DataFrame:
+    """Watermarks of the lists with a full sync as they stand now, kept apart from the store."""
+    path = f"{paths.marks}/{uuid.uuid4().hex}"
+    write_parquet(resume_state(spark, paths).filter("full_sync_completed").select("origem_lista", "watermark"), path)
+    return spark.read.schema(MARKS_SCHEMA).parquet(path)
 
 
 def current_requests(spark: SparkSession, paths: IngestPaths) -> DataFrame:
-    """The request table: newest version per key."""
-    return stores.latest(spark, paths.requests, "numeroCMCE").drop("batch_id")
+    """The request table: newest version per key, by change stamp and then by batch."""
+    return stores.latest(spark, paths.requests, "numeroCMCE", [F.desc("data_alteracao"), F.desc("batch_id")],
+                         STORED_REQUEST).drop("batch_id", "data_alteracao")
+
+
+def dead_letters(spark: SparkSession, paths: IngestPaths) -> DataFrame:
+    return stores.read_store(spark, paths.dead_letters, stores.DEAD_SCHEMA)
 
 
 def resume_state(spark: SparkSession, paths: IngestPaths) -> DataFrame:
-    """Per list: highest change stamp and last batch taken in."""
-    return spark.read.parquet(paths.raw).groupBy("origem_lista").agg(
-        F.coalesce(F.max("data_alteracao"), F.lit(0)).alias("watermark"),
-        F.max("batch_id").alias("last_batch"), F.lit(True).alias("full_sync_completed"))
+    """Per list: highest published change stamp, last batch, and whether a run over it has ended well.
+
+    Raw rows of a batch that the breaker refused do not count, or the next run would cut them.
+    """
+    done = (stores.read_store(spark, paths.full_syncs, SYNC_SCHEMA).select("origem_lista").distinct()
+            .withColumn("done", F.lit(True)))
+    stored = stores.read_store(spark, paths.requests, STORED_REQUEST)
+    return (stored.groupBy("origem_lista").agg(F.coalesce(F.max("data_alteracao"), F.lit(0)).alias("watermark"),
+                                               F.max("batch_id").alias("last_batch"))
+            .join(done, "origem_lista", "left")
+            .select("origem_lista", "watermark", "last_batch", F.coalesce("done", F.lit(False)).alias("full_sync_completed")))

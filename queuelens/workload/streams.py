@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from dataclasses import replace
 
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Window, functions as F
+
+from ..rules import DEFAULT_RULES
 from ..session import scratch_dir
 from ..sources import stores
 from ..streaming import alerts, ingest, ownership, register
 from ..streaming.run import drain, to_table
 from .history import OWNERSHIP_SQL
-from .records import AS_OF, DOC_DUCK, SALT, _damaged
+from .records import AS_OF, DOC_DUCK, SALT, documents
 from .views import AS_OF_EVENTS, history, table
 
 C = F.col
@@ -125,28 +129,134 @@ DEAD_SQL = f"""SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 4 <>
   OR event_id % 14 = 2) THEN '{register.FAILED}' ELSE 'profile' END AS kind FROM events WHERE event_type = 'signup'"""
 
 
+def _land(docs, path, max_rows=None):
+    """Write documents as landing files, each key in one file and in the order of ``order``."""
+    writer = docs.repartition("key").sortWithinPartitions("key", "order").select("conteudo_json", "origem_lista").write
+    (writer.option("maxRecordsPerFile", max_rows) if max_rows else writer).mode("append").json(path)
+
+
 def landing_stream(spark, sf):
-    """Documents from a landing folder into the stores, in several batches."""
+    """All documents from a landing folder into the stores, in several batches."""
     base = scratch_dir(spark, "ingest")
-    damaged = _damaged(spark, sf).withColumn("conteudo_json", F.when(
-        C("protocolo").cast("bigint") % 12 == 0, C("conteudo_json")).when(
-        C("protocolo").cast("bigint") % 120 == 3, C("conteudo_json")).when(
-        C("protocolo").cast("bigint") % 12 > 9, C("conteudo_json")))
-    damaged = damaged.filter("conteudo_json IS NOT NULL")
-    damaged.select("conteudo_json", "origem_lista").repartition(3, "origem_lista").write.json(f"{base}/landing")
+    key = C("protocolo").cast("bigint")
+    docs = documents(spark, sf).withColumn("conteudo_json", F.when(key % 80 == 3, "not json").when(
+        key % 160 == 23, F.concat(F.lit('{"situacao":"A","evolucoes":null,"numeroCMCE":'), "protocolo", F.lit("}")))
+        .otherwise(C("conteudo_json")))
+    _land(docs.withColumns({"key": C("protocolo"), "order": F.lit(0)}), f"{base}/landing")
     paths = ingest.IngestPaths(f"{base}/stores")
-    ingest.ingest(spark, f"{base}/landing", paths, AS_OF, SALT, max_files=2)
+    ingest.ingest(spark, f"{base}/landing", paths, AS_OF, SALT, max_files=3)
     good = ingest.current_requests(spark, paths).select(
         C("numeroCMCE").alias("key"), "origem_lista", C("SLA_Tipo_Desfecho").alias("result"))
-    dead = spark.read.parquet(paths.dead_letters).select(
+    dead = ingest.dead_letters(spark, paths).select(
         F.lit("dead").alias("key"), "origem_lista", F.array_join("errors", "; ").alias("result"))
     return good.unionByName(dead)
 
 
-LANDING_SQL = f"""WITH d AS ({DOC_DUCK}), m AS (SELECT *, CAST(cmce AS BIGINT) % 12 AS r FROM d)
+LANDING_SQL = f"""WITH d AS ({DOC_DUCK}), m AS (SELECT *, CAST(cmce AS BIGINT) AS r FROM d)
 SELECT cmce AS key, pr AS origem_lista, CASE WHEN st <> 'F' THEN '' WHEN s2 = 'REALIZADA' THEN 'POSITIVO'
-  WHEN s2 = 'CANCELADA' THEN 'NEGATIVO' ELSE 'ABANDONO' END AS result FROM m WHERE r = 0 OR r > 9
-UNION ALL SELECT 'dead', pr, 'payload: corrupt' FROM m WHERE CAST(cmce AS BIGINT) % 120 = 3"""
+  WHEN s2 = 'CANCELADA' THEN 'NEGATIVO' ELSE 'ABANDONO' END AS result FROM m WHERE r % 80 <> 3 AND r % 160 <> 23
+UNION ALL SELECT 'dead', pr, CASE WHEN r % 80 = 3 THEN 'payload: corrupt' ELSE 'evolucoes: null' END FROM m
+  WHERE r % 80 = 3 OR r % 160 = 23"""
+
+
+def _small_docs(rows, key, state, stamp, list_name, order, bad=None):
+    """Documents with an empty history: (key, order, conteudo_json, origem_lista)."""
+    text = F.to_json(F.struct(key.alias("numeroCMCE"), state.alias("situacao"),
+                              stamp.alias("dataAlterouUltimaSituacao"), F.array().alias("evolucoes")))
+    text = text if bad is None else F.when(bad, "{}").otherwise(text)
+    return rows.select(key.alias("key"), order.alias("order"), text.alias("conteudo_json"), list_name.alias("origem_lista"))
+
+
+def ingest_duplicate_keys(spark, sf):
+    """Three versions of every request within one batch; the newest one counts.
+
+    Every third key has its highest stamp on the second version, the others have no stamp
+    or the same one on all versions, so there the last in the source wins.
+    """
+    base = scratch_dir(spark, "duplicates")
+    k = C("o_orderkey")
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.explode(
+        F.sequence(F.lit(1), F.lit(3))).alias("v"))
+    stamp = F.when(k % 3 == 0, F.when(C("v") == 2, 9000).otherwise(C("v") * 1000)).when(k % 3 == 1, 5000)
+    _land(_small_docs(rows, k, F.concat(F.lit("S"), C("v")), stamp, C("o_orderpriority"), C("v")), f"{base}/landing")
+    paths = ingest.IngestPaths(f"{base}/stores")
+    ingest.ingest(spark, f"{base}/landing", paths, AS_OF, SALT)
+    return ingest.current_requests(spark, paths).select("numeroCMCE", "situacao", "origem_lista")
+
+
+def ingest_incremental(spark, sf):
+    """A second run takes in only what lies above the watermark of its list."""
+    base = scratch_dir(spark, "incremental")
+    o = table(spark, sf, "orders")
+    day = F.unix_millis(C("o_orderdate").cast("timestamp"))
+    paths = ingest.IngestPaths(f"{base}/stores")
+    first = _small_docs(o.filter("o_orderkey % 2 = 0"), C("o_orderkey"), F.lit("A"), day, C("o_orderpriority"), F.lit(0))
+    _land(first, f"{base}/landing")
+    ingest.ingest(spark, f"{base}/landing", paths, AS_OF, SALT)
+    later = day + (C("o_orderkey") % 5) * 86_400_000 * 700
+    second = _small_docs(o, C("o_orderkey"), F.lit("B"), later, C("o_orderpriority"), F.lit(0))
+    _land(second, f"{base}/landing")
+    ingest.ingest(spark, f"{base}/landing", paths, AS_OF, SALT)
+    state = ingest.resume_state(spark, paths).select(
+        C("origem_lista").alias("numeroCMCE"), F.when(C("full_sync_completed"), "synced").alias("situacao"), "watermark")
+    return ingest.current_requests(spark, paths).select(
+        "numeroCMCE", "situacao", F.lit(0).cast("bigint").alias("watermark")).unionByName(state)
+
+
+INCREMENTAL_SQL = """WITH o AS (SELECT *, epoch_ms(o_orderdate) AS t, epoch_ms(o_orderdate)
+    + (o_orderkey % 5) * 86400000::BIGINT * 700 AS t2 FROM orders),
+  m AS (SELECT o_orderpriority, MAX(t) AS wm FROM o WHERE o_orderkey % 2 = 0 GROUP BY 1),
+  j AS (SELECT o.*, t2 > wm AS fresh FROM o JOIN m USING (o_orderpriority))
+SELECT CAST(o_orderkey AS VARCHAR) AS "numeroCMCE", CASE WHEN fresh THEN 'B' ELSE 'A' END AS situacao,
+  CAST(0 AS BIGINT) AS watermark FROM j WHERE fresh OR o_orderkey % 2 = 0
+UNION ALL SELECT o_orderpriority, 'synced', CAST(MAX(t2) AS BIGINT) FROM o GROUP BY 1"""
+
+
+def ingest_breaker_small_batches(spark, sf):
+    """Batches of fewer rows than the breaker needs; it counts over the run and opens."""
+    base = scratch_dir(spark, "breaker")
+    p = table(spark, sf, "part")
+    docs = _small_docs(p, C("p_partkey"), F.lit("A"), C("p_partkey"), C("p_brand"), F.lit(0), C("p_partkey") % 5 == 0)
+    _land(docs, f"{base}/landing", max_rows=20)
+    paths = ingest.IngestPaths(f"{base}/stores")
+    try:
+        ingest.ingest(spark, f"{base}/landing", paths, AS_OF, SALT, max_files=1)
+    except StreamingQueryException:
+        pass  # the run log tells
+    taken = ingest.current_requests(spark, paths).agg(F.count(F.lit(1)).alias("published"))
+    run = stores.read_runs(spark, paths.runs)
+    return run.select("status", (C("items_failed") < 60).alias("early"), F.regexp_replace(
+        "error_message", "[0-9]+", "N").alias("message")).unionByName(
+        taken.select(F.lit("published below 120").alias("status"), (C("published") < 120).alias("early"), F.lit("").alias("message")))
+
+
+def ingest_run_log(spark, sf):
+    """One row per run in all four states, through the ingest itself."""
+    base = scratch_dir(spark, "run-log")
+    p = table(spark, sf, "part")
+    paths = ingest.IngestPaths(f"{base}/stores")
+    tolerant = replace(DEFAULT_RULES, breaker_ratio=1.0)
+    steps = [(None, DEFAULT_RULES, AS_OF), (C("p_partkey") % 50 == 0, DEFAULT_RULES, AS_OF),
+             (C("p_partkey") % 2 == 0, DEFAULT_RULES, AS_OF), (False, tolerant, "no day"), (False, tolerant, AS_OF)]
+    for n, (bad, rules, as_of) in enumerate(steps):
+        if bad is not False:  # the last two runs meet the batch that the breaker left
+            _land(_small_docs(p, C("p_partkey"), F.lit("A"), F.lit(n + 1), F.lit("fila"), F.lit(0), bad), f"{base}/landing")
+        try:
+            ingest.ingest(spark, f"{base}/landing", paths, as_of, SALT, rules)
+        except StreamingQueryException:
+            pass  # the run log tells
+    runs = stores.last_runs(stores.read_runs(spark, paths.runs), 10)
+    place = F.row_number().over(Window.orderBy("timestamp")).alias("run")  # five rows
+    return runs.select(place, "status", "items_ingested", "items_failed",
+                       F.to_json("target_lists").alias("target_lists"), (C("error_message") != "").alias("explained"))
+
+
+RUN_LOG_SQL = """SELECT run, status, CASE run WHEN 1 THEN COUNT(*) WHEN 2 THEN COUNT(*) - COUNT(*) FILTER (p_partkey % 50 = 0)
+    WHEN 5 THEN COUNT(*) - COUNT(*) FILTER (p_partkey % 2 = 0) ELSE 0 END AS items_ingested,
+  CASE run WHEN 1 THEN 0 WHEN 2 THEN COUNT(*) FILTER (p_partkey % 50 = 0) ELSE COUNT(*) FILTER (p_partkey % 2 = 0) END
+    AS items_failed, '["fila"]' AS target_lists, run IN (3, 4) AS explained
+FROM part, (VALUES (1, 'SUCCESS'), (2, 'PARTIAL'), (3, 'CIRCUIT_BREAKER'), (4, 'FAILURE'), (5, 'PARTIAL')) r(run, status)
+GROUP BY run, status"""
 
 
 def stream_ownership(spark, sf):
@@ -170,5 +280,11 @@ QUERIES = {
         COUNT(*) AS n, COUNT(*) AS ids FROM events GROUP BY 1"""),
     "dead_letter_sink": (dead_letter_sink, DEAD_SQL),
     "landing_stream": (landing_stream, LANDING_SQL),
+    "ingest_duplicate_keys": (ingest_duplicate_keys, """SELECT CAST(o_orderkey AS VARCHAR) AS "numeroCMCE",
+        CASE WHEN o_orderkey % 3 = 0 THEN 'S2' ELSE 'S3' END AS situacao, o_orderpriority AS origem_lista FROM orders"""),
+    "ingest_incremental": (ingest_incremental, INCREMENTAL_SQL),
+    "ingest_breaker_small_batches": (ingest_breaker_small_batches, """SELECT 'CIRCUIT_BREAKER' AS status, COUNT(*) > 99 AS early,
+        'N of N documents failed' AS message FROM part UNION ALL SELECT 'published below 120', COUNT(*) > 99, '' FROM part"""),
+    "ingest_run_log": (ingest_run_log, RUN_LOG_SQL),
     "stream_ownership": (stream_ownership, OWNERSHIP_SQL),
 }
