@@ -7,6 +7,7 @@ combine predicates with SQL's three-valued logic.
 from __future__ import annotations
 
 import unicodedata
+import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -199,9 +200,12 @@ def pending_value(c: Column, field: str) -> Column:
 
 
 def pending_match(c: Column, values: Iterable[str]) -> Column | None:
-    """Any of the values occurs in the text, upper and lower case alike."""
-    values = [v.replace("(", r"\(").replace(")", r"\)") for v in values]
-    return c.rlike("(?i)(" + "|".join(values) + ")") if values else None
+    """Any of the values occurs in the text, upper and lower case alike.
+
+    Every character of a value that has a meaning in patterns is quoted.
+    """
+    quoted = [re.sub(r"([^\w\s])", r"\\\1", v) for v in values]
+    return c.rlike("(?i)(" + "|".join(quoted) + ")") if quoted else None
 
 
 def pending_no_match(c: Column, values: Iterable[str]) -> Column | None:

@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import signed_text, truncate_label
 from ..operators.predicates import present
+from ..session import scratch_dir
+from ..sources.files import write_parquet
 
-# Fixed value: largest number of members per axis; it also bounds what is broadcast.
-MAX_MEMBERS = 100
+# Numbers of members per axis; the larger one also bounds what is broadcast.
+MIN_MEMBERS, MAX_MEMBERS = 5, 100
 
 
 def top_members(df: DataFrame, column: str, k: int, predicate: Column | None = None) -> DataFrame:
     """The ``k`` members (5 .. 100) with most distinct requests; ties in name order."""
-    k = min(max(k, 5), MAX_MEMBERS)
+    if not MIN_MEMBERS <= k <= MAX_MEMBERS:
+        raise ValueError(f"k must lie within {MIN_MEMBERS} .. {MAX_MEMBERS}, not {k}")
     rows = df if predicate is None else df.filter(predicate)
     return (rows.filter(present(F.col(column))).groupBy(column)
             .agg(F.countDistinct("numeroCMCE").alias("Vol"))
@@ -24,13 +27,17 @@ def cells(df: DataFrame, actor: str, diagnosis: str, top_actors: int = 15, top_d
           predicate: Column | None = None) -> DataFrame:
     """Volume of every occurring pair of top members.
 
-    Both member lists have at most 100 rows, so broadcasting them is safe at any scale
-    and the large frame is filtered where it is scanned.
+    The source is read once, down to its distinct (request, actor, diagnosis), which is stored
+    in the work folder; both member lists and the cells come from there. The member lists
+    have at most 100 rows, so broadcasting them is safe at any scale.
     """
     rows = df if predicate is None else df.filter(predicate)
-    actors = top_members(df, actor, top_actors, predicate).select(actor)
-    diags = top_members(df, diagnosis, top_diags, predicate).select(diagnosis)
-    return (rows.join(F.broadcast(actors), actor, "left_semi")
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, "heatmap")
+    write_parquet(rows.select("numeroCMCE", actor, diagnosis).distinct(), path)
+    pairs = spark.read.parquet(path)
+    actors = top_members(pairs, actor, top_actors).select(actor)
+    diags = top_members(pairs, diagnosis, top_diags).select(diagnosis)
+    return (pairs.join(F.broadcast(actors), actor, "left_semi")
             .join(F.broadcast(diags), diagnosis, "left_semi")
             .groupBy(F.col(actor).alias("ator"), F.col(diagnosis).alias("diag"))
             .agg(F.countDistinct("numeroCMCE").alias("Vol")))

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import day_diff, lenient_int, python_round, ratio, sql_round
 from ..operators.predicates import urgent, waiting_longer
 from ..rules import DEFAULT_RULES, Rules, as_date
+from ..session import scratch_dir
+from ..sources.files import write_parquet
 
 # Dimensions whose distinct values are counted, by result name.
 DIMENSIONS = {
@@ -18,15 +20,15 @@ DIMENSIONS = {
 }
 
 
-def per_request(df: DataFrame, as_of, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """One row per request: rows, waits and flags.
+def per_request(df: DataFrame, as_of, rules: Rules = DEFAULT_RULES, by: list[str] | None = None) -> DataFrame:
+    """One row per request (and per combination of the columns ``by``): rows, waits and flags.
 
     Everything that needs the request key comes out of this one aggregation. Partial
     aggregation reduces a request with very many rows to one row per map task.
     """
     requested = F.col("dataSolicitacao").cast("date")
     wait = day_diff(as_date(as_of), requested)
-    return df.groupBy("numeroCMCE").agg(
+    return df.groupBy("numeroCMCE", *(by or [])).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(requested).alias("n_dated"),
         F.sum(wait.cast("bigint")).alias("sum_wait"),
@@ -45,19 +47,25 @@ def _exact_p90(days: Column) -> Column:
     return F.percentile(days, 0.9)
 
 
-def kpi_base(df: DataFrame, predicate: Column | None, as_of,
-             rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """The 14 stored figures as one row, null figures as 0.
+def kpi_base(df: DataFrame, predicate: Column | None, as_of, rules: Rules = DEFAULT_RULES,
+             last_sync_at: float = 0.0) -> DataFrame:
+    """The 15 stored figures as one row, null figures as 0.
 
-    Two column-disjoint scans: one grouped by request, one for the distinct values of
-    the dimensions. Spark expands a many-distinct aggregate into one copy of each row
-    per distinct column; keeping the request key out of that expansion means only
-    (dimension, value) pairs, already made distinct inside each map task, are shuffled.
+    The source is read once: it is reduced to one row per request and combination of the
+    dimensions, with the wait figures, and stored in the work folder. Requests and dimensions
+    are then counted apart from that; the request key stays out of Spark's expansion of many
+    distinct counts. ``last_sync_at`` (epoch seconds) is the caller's, see ``last_sync``.
     """
     rows = df if predicate is None else df.filter(predicate)
     as_of_day = as_date(as_of)
     has_key = F.col("numeroCMCE").isNotNull()
-    by_request = per_request(rows, as_of, rules)
+    path = scratch_dir(df.sparkSession, "kpi")
+    write_parquet(per_request(rows, as_of, rules, list(DIMENSIONS.values())), path)
+    parts = df.sparkSession.read.parquet(path)
+    by_request = parts.groupBy("numeroCMCE").agg(
+        *[F.sum(c).alias(c) for c in ("n_rows", "n_dated", "sum_wait")], F.min("first_day").alias("first_day"),
+        *[F.max(c).alias(c) for c in ("last_day", "last_event")],
+        *[F.bool_or(c).alias(c) for c in ("is_urgent", "is_overdue")])
     keyed = by_request.agg(
         F.count_if(has_key).alias("pacientes"),
         F.sum("n_rows").alias("eventos"),
@@ -69,7 +77,7 @@ def kpi_base(df: DataFrame, predicate: Column | None, as_of,
         _exact_p90(day_diff(as_of_day, F.col("first_day"))).alias("p90_lead_time"),
         _exact_p90(day_diff(as_of_day, F.col("last_event"))).alias("p90_esquecido"),
     )
-    dims = rows.agg(*[F.countDistinct(column).alias(name) for name, column in DIMENSIONS.items()])
+    dims = parts.agg(*[F.countDistinct(column).alias(name) for name, column in DIMENSIONS.items()])
     # both sides are one row; a union and a max put them side by side without a join
     both = keyed.unionByName(dims, allowMissingColumns=True)
     one = both.agg(*[F.max(c).alias(c) for c in both.columns])
@@ -80,9 +88,16 @@ def kpi_base(df: DataFrame, predicate: Column | None, as_of,
         F.coalesce(sql_round(F.col("mean_wait"), 1), F.lit(0.0)).alias("lead_time"),
         F.coalesce(F.col("p90_lead_time"), F.lit(0.0)).alias("p90_lead_time"),
         F.coalesce(F.col("p90_esquecido"), F.lit(0.0)).alias("p90_esquecido"),
+        F.lit(float(last_sync_at)).alias("last_sync_at"),
     )
 
 
+def last_sync(df: DataFrame) -> float:
+    """Time of the newest file of a stored frame in epoch seconds, 0.0 without files."""
+    newest = df.select(F.unix_micros("_metadata.file_modification_time").alias("t")).agg(F.max("t")).first()[0]
+    return (newest or 0) / 1e6
+
+
 def kpi_ratios(kpis: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Add the derived ratios; a ratio over nothing is 0.0."""
     c = F.col
@@ -99,13 +114,20 @@ def kpi_ratios(kpis: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     })
 
 
-def kpi_summary(df: DataFrame, predicate: Column | None, as_of,
-                rules: Rules = DEFAULT_RULES) -> DataFrame:
-    return kpi_ratios(kpi_base(df, predicate, as_of, rules), rules)
+def kpi_summary(df: DataFrame, predicate: Column | None, as_of, rules: Rules = DEFAULT_RULES,
+                last_sync_at: float = 0.0) -> DataFrame:
+    return kpi_ratios(kpi_base(df, predicate, as_of, rules, last_sync_at), rules)
 
 
-def bounds(df: DataFrame, column: str, kind: str = "int", from_text: bool = True) -> DataFrame:
-    """Smallest and largest value after a lenient cast to day or integer."""
-    c = F.col(column)
-    value = c.try_cast("date") if kind == "date" else lenient_int(c, from_text)
-    return df.agg(F.min(value).alias("vmin"), F.max(value).alias("vmax"))
+def bounds(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Smallest and largest value (as text) of several columns after a lenient cast, in one pass.
+
+    ``columns``: result name -> (column, ``text``, ``number`` or ``date``).
+    """
+    values = {name: F.col(c).try_cast("date") if kind == "date" else lenient_int(F.col(c), kind == "text")
+              for name, (c, kind) in columns.items()}
+    one = df.agg(*[f(v).cast("string").alias(f"{name}/{end}") for name, v in values.items()
+                   for end, f in (("min", F.min), ("max", F.max))])
+    return one.select(F.inline(F.array(*[F.struct(
+        F.lit(name).alias("name"), F.col(f"`{name}/min`").alias("vmin"), F.col(f"`{name}/max`").alias("vmax"))
+        for name in columns])))

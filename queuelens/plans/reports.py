@@ -146,8 +146,9 @@ def outlier_list(df: DataFrame, predicate: Column | None, as_of, n: int = 3000,
 
 
 def audit_list(df: DataFrame, predicate: Column | None = None, n: int = 100) -> DataFrame:
-    """Newest requests with their clinical text; ``n`` is limited to 10 .. 1000."""
-    n = min(max(n, 10), 1000)
+    """Newest requests with their clinical text; ``n`` lies within 10 .. 1000."""
+    if not 10 <= n <= 1000:
+        raise ValueError(f"n must lie within 10 .. 1000, not {n}")
     return (_rows(df, predicate)
             .orderBy(F.desc_nulls_last("dataSolicitacao"), F.desc_nulls_last("dataCadastro"), KEY)
             .limit(n)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -44,8 +45,8 @@ def schema_table(df: DataFrame) -> DataFrame:
 
 
 def with_lineage(df: DataFrame) -> DataFrame:
-    """Source file name and load time of every row."""
-    return df.withColumns({"source_file": F.col("_metadata.file_name"),
+    """Full path of the source file and load time of every row."""
+    return df.withColumns({"source_file": F.col("_metadata.file_path"),
                            "ingestion_at": F.current_timestamp()})
 
 
@@ -66,24 +67,34 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.globStatus(where) or [] if s.isFile())
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
-    try:
-        return tuple(c.removeprefix(BOM) for c in spark.read.option("header", True).csv(path).columns)
-    except Exception:  # noqa: BLE001 - an unreadable file is reported, not fatal
-        return None
+def _headers(spark: SparkSession, pattern: str) -> dict[str, str]:
+    """First line of every non-empty file of a glob, in one job."""
+    lines = spark.read.text(pattern).select(
+        F.col("_metadata.file_path").alias("path"), "value",
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("line"))
+    return {_plain(r.path): r.line.removeprefix(BOM) for r in first.collect()}  # one row per file
+
+
+def _plain(path: str) -> str:
+    """A path without escapes, as the file system lists it."""
+    return unquote(path.replace("file:///", "file:/"))
 
 
 def load_csv(spark: SparkSession, pattern: str, required: Iterable[str] = DATE_COLUMNS,
              dates: Iterable[str] = DATE_COLUMNS) -> tuple[DataFrame, DataFrame]:
     """All CSV files of a glob as one frame, and a frame of skipped files with the reason.
 
-    Files are grouped by header, so the number of scans is the number of distinct layouts
-    and not the number of files. Every column is read as text; date columns are parsed
-    day first. ``row_seq`` orders the rows of a file as they stand in it.
+    The headers are read in one job, and files are grouped by header, so the number of scans
+    is the number of distinct layouts and not the number of files. Every column is read as
+    text; date columns are parsed day first. ``source_file`` is the full path and ``row_seq``
+    orders the rows of a file as they stand in it. Fields may hold line breaks, so a file is
+    read by one task; large sources come in many files.
     """
     paths, required = list_files(spark, pattern), list(required)
-    with ThreadPoolExecutor(16) as pool:
-        headers = dict(zip(paths, pool.map(lambda p: _header(spark, p), paths)))
+    first = _headers(spark, pattern) if paths else {}
+    headers = {path: tuple(next(csv.reader([first[key]]), ())) if (key := _plain(path)) in first else ()
+               for path in paths}
     layouts: dict[tuple[str, ...], list[str]] = defaultdict(list)
     skipped: list[tuple[str, str]] = []
     for path, header in headers.items():
@@ -120,11 +131,13 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", quote_all: bool = False,
-              bom: bool = False, mode: str = "overwrite") -> None:
-    """CSV with header. ``bom`` marks the file as UTF-8 for spreadsheet programs."""
+              bom: bool = False, mode: str = "overwrite", max_rows: int | None = None) -> None:
+    """CSV with header. ``bom`` marks the file as UTF-8 for spreadsheet programs, ``max_rows``
+    bounds the rows of a file."""
     if bom:
         df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
-    df.write.mode(mode).options(header=True, sep=sep, quoteAll=quote_all, escape='"',
+    writer = df.write.option("maxRecordsPerFile", max_rows) if max_rows else df.write
+    writer.mode(mode).options(header=True, sep=sep, quoteAll=quote_all, escape='"',
                                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
                                 encoding="UTF-8").csv(path)
 

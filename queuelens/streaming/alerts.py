@@ -61,14 +61,15 @@ def last_seen(df: DataFrame, group: str, ok: Column, high_risk: Column) -> DataF
 
 
 def heartbeat(seen: DataFrame, now, freshness_hours: float = 2.0, stall_hours: float = 6.0) -> DataFrame:
-    """Alert flags of the heartbeat figures at one point in time."""
+    """Alert flags of the heartbeat figures at one point in time; a group that never
+    succeeded is stale and stalled."""
     clock = F.lit(str(now)).cast("timestamp")
 
     def seconds_since(c: str) -> Column:
         return (F.unix_millis(clock) - F.unix_millis(c)) / 1000.0
 
     return seen.withColumns({
-        "stale": seconds_since("last_ok") > HEARTBEAT_SECONDS,
+        "stale": F.coalesce(seconds_since("last_ok") > HEARTBEAT_SECONDS, F.lit(True)),
         "not_fresh": seconds_since("last_ts") > freshness_hours * 3600,
         "stalled": F.coalesce(seconds_since("last_ok") >= stall_hours * 3600, F.lit(True)),
         "risk_surge": F.col("high_risk") > HIGH_RISK_LIMIT})

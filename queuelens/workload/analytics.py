@@ -27,26 +27,20 @@ def kpi_summary(spark, sf):
     return kpi.kpi_summary(rows, where, AS_OF)
 
 
+# one row per request first, then the figures over requests
 _KPI_BASE = f"""
-base AS (SELECT * FROM v WHERE medicoSolicitante <> '' AND medicoSolicitante IS NOT NULL
-         AND origem_lista IN ('O', 'F')),
-k AS (SELECT COUNT(DISTINCT numeroCMCE) AS pacientes, COUNT(*) AS eventos,
-  COUNT(DISTINCT entidade_especialidade_especialidadeMae_descricao) AS esp_mae,
-  COUNT(DISTINCT entidade_especialidade_descricao) AS sub_esp,
-  COUNT(DISTINCT medicoSolicitante) AS medicos,
-  COUNT(DISTINCT entidade_cidPrincipal_descricao) AS cids,
-  COUNT(DISTINCT origem_lista) AS origens,
-  ROUND(AVG(date_diff('day', CAST(dataSolicitacao AS DATE), {D})), 1) AS lead_time,
-  MAX(date_diff('day', CAST(dataSolicitacao AS DATE), {D})) AS max_lead_time,
-  date_diff('day', MIN(CAST(dataSolicitacao AS DATE)), MAX(CAST(dataSolicitacao AS DATE))) AS span_dias,
-  COUNT(DISTINCT CASE WHEN entidade_classificacaoRisco_cor IN ('VERMELHO','LARANJA','AMARELO')
-        THEN numeroCMCE END) AS pac_urgentes,
-  COUNT(DISTINCT CASE WHEN date_diff('day', CAST(dataSolicitacao AS DATE), {D}) > 180
-        THEN numeroCMCE END) AS pac_vencidos FROM base),
-p AS (SELECT PERCENTILE_CONT(0.90) WITHIN GROUP (ORDER BY fila) AS p90_lead_time,
-  PERCENTILE_CONT(0.90) WITHIN GROUP (ORDER BY esq) AS p90_esquecido
-  FROM (SELECT date_diff('day', MIN(CAST(dataSolicitacao AS DATE)), {D}) AS fila,
-    date_diff('day', CAST(MAX(dataCadastro) AS DATE), {D}) AS esq FROM base GROUP BY numeroCMCE))
+dated AS (SELECT *, CAST(dataSolicitacao AS DATE) AS asked, CAST(dataCadastro AS DATE) AS touched FROM v
+  WHERE coalesce(medicoSolicitante, '') <> '' AND origem_lista IN ('O', 'F')),
+r AS (SELECT numeroCMCE AS id, COUNT(*) AS n, COUNT(asked) AS n_asked, SUM(date_diff('day', asked, {D})) AS waited,
+  MIN(asked) AS first_day, MAX(asked) AS last_day, MAX(touched) AS touched,
+  bool_or(entidade_classificacaoRisco_cor IN ('VERMELHO','LARANJA','AMARELO')) AS pressing,
+  bool_or(date_diff('day', asked, {D}) > 180) AS late FROM dated GROUP BY id),
+k AS (SELECT COUNT(id) AS pacientes, CAST(SUM(n) AS BIGINT) AS eventos,
+  ROUND(SUM(waited) / SUM(n_asked), 1) AS lead_time, date_diff('day', MIN(first_day), {D}) AS max_lead_time,
+  date_diff('day', MIN(first_day), MAX(last_day)) AS span_dias, COUNT(id) FILTER (pressing) AS pac_urgentes,
+  COUNT(id) FILTER (late) AS pac_vencidos, quantile_cont(date_diff('day', first_day, {D}), 0.9) AS p90_lead_time,
+  quantile_cont(date_diff('day', touched, {D}), 0.9) AS p90_esquecido, CAST(0 AS DOUBLE) AS last_sync_at FROM r),
+p AS (SELECT {', '.join(f"COUNT(DISTINCT {c}) AS {n}" for n, c in kpi.DIMENSIONS.items())} FROM dated)
 """
 
 
@@ -81,7 +75,7 @@ SELECT CAST(COUNT(*) AS BIGINT) AS pacientes, CAST(COUNT(*) AS BIGINT) AS evento
   CAST(COUNT(*) AS DOUBLE) AS evo_por_paciente, CAST(COUNT(*) AS DOUBLE) AS sub_por_esp,
   CAST(COUNT(*) AS DOUBLE) AS cid_por_medico, CAST(COUNT(*) AS DOUBLE) AS evo_por_medico,
   CAST(COUNT(*) AS DOUBLE) AS cad_por_mes, CAST(COUNT(*) AS DOUBLE) AS taxa_urgencia,
-  CAST(COUNT(*) AS DOUBLE) AS taxa_vencidos
+  CAST(COUNT(*) AS DOUBLE) AS taxa_vencidos, CAST(COUNT(*) AS DOUBLE) AS last_sync_at
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'none'"""
 
 
@@ -163,17 +157,9 @@ def dynamic_options(spark, sf):
 
 def global_bounds(spark, sf):
     """A10, F1, F2: lenient bounds of a text number, a number and a date."""
-    r = requests(spark, sf)
-    parts = [kpi.bounds(r, "usuarioSUS_numero"),
-             kpi.bounds(r, "entidade_classificacaoRisco_totalPontos", from_text=False),
-             kpi.bounds(r, "usuarioSUS_dataNascimento", kind="date")]
-    names = ["numero", "pontos", "nascimento"]
-    out = None
-    for name, part in zip(names, parts):
-        row = part.select(F.lit(name).alias("name"), F.col("vmin").cast("string").alias("vmin"),
-                          F.col("vmax").cast("string").alias("vmax"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return kpi.bounds(requests(spark, sf), {
+        "numero": ("usuarioSUS_numero", "text"), "pontos": ("entidade_classificacaoRisco_totalPontos", "number"),
+        "nascimento": ("usuarioSUS_dataNascimento", "date")})
 
 
 def _bound(name: str, expr: str) -> str:

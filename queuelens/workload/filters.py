@@ -67,9 +67,9 @@ def regex_filter(spark, sf):
             .select("numeroCMCE", *[p.pending_value(m, f).alias(f) for f in p.PENDING_PATTERNS]))
 
 
-REGEX_SQL = duck(r"""SELECT numeroCMCE, regexp_extract(motivoPendencia, '''tipo'': ''([^'']+)''', 1) AS tipo,
-  regexp_extract(motivoPendencia, '''descricao'': ''([^'']+)''', 1) AS descricao,
-  regexp_extract(motivoPendencia, '''status'': ''([^'']+)''', 1) AS status
+_PENDING_SQL = ", ".join("regexp_extract(motivoPendencia, '{}', 1) AS {}".format(pattern.replace("'", "''"), name)
+                         for name, pattern in p.PENDING_PATTERNS.items())
+REGEX_SQL = duck(rf"""SELECT numeroCMCE, {_PENDING_SQL}
 FROM v WHERE motivoPendencia IS NOT NULL AND motivoPendencia <> ''
   AND regexp_matches(motivoPendencia, '(?i)falta exame \(3\)|falta exame \(5\)')
   AND NOT regexp_matches(motivoPendencia, '(?i)fechada')""", v=REQUESTS)

@@ -49,9 +49,9 @@ SCHEMA_SQL = " UNION ALL ".join(
 
 
 def lineage_cols(spark, sf):
-    """File name and load time per row."""
+    """File and load time per row."""
     rows = files.with_lineage(table(spark, sf, "part"))
-    return rows.groupBy("source_file").agg(
+    return rows.groupBy(F.regexp_extract("source_file", "([^/]+)$", 1).alias("source_file")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(C("ingestion_at").isNotNull()).alias("stamped"))
 
 
@@ -98,27 +98,39 @@ COLUMN_SQL = """SELECT 'c_nationkey' AS "column", CAST(c_nationkey AS VARCHAR) A
 
 # --- consolidation ------------------------------------------------------------------
 
+#: Rows per landing CSV file, and how many rows share a key.
+CSV_ROWS, SAME_KEY = 4000, 3
+
+
 def _csv_source(spark, sf):
-    """CSV files in two layouts plus a file that lacks a date column, under one folder."""
+    """CSV files in two layouts plus files that lack a date column, under one folder.
+
+    Files are named by the range of their rows (part number), so that their order by full
+    path is the order of the rows; rows of one key lie in different files and layouts.
+    """
     base = scratch_dir(spark, "load")
-    r = requests(spark, sf)
     text = F.date_format("dataSolicitacao", "dd/MM/yyyy HH:mm:ss")
+    r = requests(spark, sf)
     full = r.select(
-        F.when(C("numeroCMCE") % 13 == 0, " ").otherwise((C("numeroCMCE") % 9000).cast("string")).alias("numeroCMCE"),
+        F.when(C("numeroCMCE") % 13 == 0, " ").otherwise(_same_key(C("numeroCMCE")).cast("string")).alias("numeroCMCE"),
         "situacao", text.alias("dataSolicitacao"),
         *[F.lit(None).cast("string").alias(c) for c in DATE_COLUMNS if c != "dataSolicitacao"],
         C("medicoSolicitante").alias("operador_cpf"), C("historico_quadro_clinico"), C("usuarioSUS_numero"),
         C("numeroCMCE").alias("source_row"))
     first = full.filter("source_row % 2 = 0").drop("usuarioSUS_numero")
     second = full.filter("source_row % 2 = 1")
-    order = ["source_row"]
     for name, part in [("a", first), ("b", second)]:
-        # one ordered file per layout keeps "last row wins" predictable for the oracle
-        files.write_csv(part.repartitionByRange(1, *order).sortWithinPartitions(*order), f"{base}/{name}", quote_all=True)
+        ordered = part.repartitionByRange("source_row").sortWithinPartitions("source_row")
+        files.write_csv(ordered, f"{base}/{name}", quote_all=True, max_rows=CSV_ROWS)
     files.write_csv(full.drop("dataCadastro"), f"{base}/c")
     return f"{base}/*/*.csv"
 
 
+def _same_key(row):
+    """Runs of rows share a key; their number grows with the table."""
+    return F.floor(row / SAME_KEY)
+
+
 def consolidate(spark, sf):
     """Load, de-duplicate, anonymise, export, read back."""
     target = scratch_dir(spark, "consolidated")
@@ -137,7 +149,7 @@ CONS_SQL = duck(f"""SELECT situacao, COUNT(*) AS n, CAST(SUM(numeroCMCE) AS BIGI
   MAX(CAST(dataSolicitacao AS DATE)) AS last_day, COUNT(*) FILTER (numeroCMCE % 2 = 0) AS no_number,
   (SELECT COUNT(*) FROM orders) - (SELECT COUNT(*) FROM w) AS removed FROM w GROUP BY situacao""",
                 v=REQUESTS, w="""SELECT * FROM v WHERE numeroCMCE % 13 <> 0 QUALIFY ROW_NUMBER() OVER
-  (PARTITION BY numeroCMCE % 9000 ORDER BY numeroCMCE % 2 DESC, numeroCMCE DESC) = 1""")
+  (PARTITION BY numeroCMCE // 3 ORDER BY numeroCMCE % 2 DESC, numeroCMCE DESC) = 1""")
 
 
 def bad_file_skip(spark, sf):
@@ -213,14 +225,16 @@ def watermark_by_list(spark, sf):
 
 
 def incremental_cut(spark, sf):
-    """Rows above the watermark that the first half of the data had reached."""
+    """Rows above the watermark that the first half of the event ids had reached."""
     raw = _raw(spark, sf)
-    marks = dedup.watermarks(raw.filter("event_id < 5000"))
+    middle = raw.agg(F.floor((F.min("event_id") + F.max("event_id")) / 2)).scalar()
+    marks = dedup.watermarks(raw.filter(C("event_id") < middle))
     return dedup.incremental_cut(raw, marks).select("protocolo", "event_id", "origem_lista")
 
 
 CUT_SQL = duck("""SELECT protocolo, event_id, r.origem_lista FROM r LEFT JOIN (SELECT origem_lista,
-  COALESCE(MAX(data_alteracao), 0) AS wm FROM r WHERE event_id < 5000 GROUP BY 1) m ON m.origem_lista = r.origem_lista
+  COALESCE(MAX(data_alteracao), 0) AS wm FROM r WHERE event_id < (SELECT (MIN(event_id) + MAX(event_id)) // 2 FROM r)
+  GROUP BY 1) m ON m.origem_lista = r.origem_lista
   WHERE NOT (COALESCE(wm, 0) > 0 AND COALESCE(data_alteracao, 0) > 0 AND COALESCE(data_alteracao, 0) <= COALESCE(wm, 0))""",
                r=_RAW_SQL)
 
