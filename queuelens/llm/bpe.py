@@ -1,33 +1,44 @@
-"""Byte-pair encoding of whole texts with the tokenizers library, with a memory of encoded chunks per task process.
+"""Byte-pair encoding of whole texts with the tokenizers library, with a memory of encoded words per task process.
 
-A chunk is a run of white space with the run of other characters after it. The tokenizer never joins characters
-across the place where white space begins, so a text's ids are the ids of its chunks in a row, and frequent chunks
-need not be encoded again. Control characters that only Python counts as white space would break this; texts that
-hold one are encoded whole.
+The tokenizer never joins characters across the place where white space begins, never a run of letters with the
+punctuation after it, and never a single line end with what stands around it. A text whose words are parted by single
+spaces and line ends is therefore the ids of its words in a row, each with the space before it if there is one. The
+distinct words of a batch of texts are looked up or encoded once, and the texts' ids are gathered from them. Any other
+text (further white space or control characters, two separators in a row, separators at its ends) is encoded whole.
 """
 
 from __future__ import annotations
 
 import array
 import os
-import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import text_of
 
-CHUNK = re.compile(r"\s*\S+|\s+")
-#: White space for Python's patterns, but not for the tokenizer's.
-ODD = re.compile("[\x1c-\x1f]")
+#: Texts to encode whole. White space and control characters are listed, as the pattern engine knows ASCII ones only.
+WHOLE = (r"[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}"
+         r"\x{feff}]|[ \n][ \n]|\A[ \n]|[ \n]\z|\A\z")
+#: A letter (Latin) with punctuation after it; the apostrophe is left out (contractions).
+TAIL = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-&(-/:-@\[-`{-~])"
+#: Marks a word that has no space before it.
+BARE = "\x01"
 _OPEN: dict[str, Encoder] = {}
 
 
 class Encoder:
-    def __init__(self, path: str, most_cached: int = 300_000):
+    """``words`` are the known words in an Arrow array (some 15 bytes each), ``ids`` their ids in a row."""
+
+    def __init__(self, path: str, most_cached: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
         self.most_cached = most_cached
+        self.words = pa.array([], pa.string())
+        self.ids, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int32)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -40,24 +51,48 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("I", f.ids).tobytes() for f in found]
 
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids at hand, and where each of the distinct ``words`` starts in them and how many it has."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        new = np.flatnonzero(at < 0)
+        ids, sizes = self.ids, self.sizes
+        if len(new):
+            added = words.take(pa.array(new))
+            found = self.plain([w[1:] if w[0] == BARE else " " + w for w in added.to_pylist()])
+            ids = np.concatenate((ids, np.frombuffer(b"".join(found), "<u4")))
+            sizes = np.concatenate((sizes, np.fromiter(map(len, found), np.int32, len(found)) >> 2))
+            at = at.copy()
+            at[new] = len(self.words) + np.arange(len(new))
+            room = self.most_cached - len(self.words)
+            if room > 0:
+                self.words = pa.concat_arrays([self.words, added.slice(0, room)])
+                self.sizes = sizes[:len(self.words)]
+                self.ids = ids[:self.sizes.sum()]
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        return ids, starts[at], sizes[at]
+
+    def _gathered(self, texts: pa.Array) -> list[bytes]:
+        lines = pc.replace_substring(texts, "\n", f" {BARE}\n {BARE}")
+        parted = pc.replace_substring_regex(lines, TAIL, rf"\1 {BARE}\2")
+        lists = pc.split_pattern(pc.binary_join_element_wise(BARE, parted, ""), " ")
+        known = lists.flatten().dictionary_encode()
+        ids, starts, sizes = self._ids_of(known.dictionary)
+        at = known.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.cumsum(counts, dtype=np.int64)
+        line = ids[np.repeat(starts[at] - (ends - counts), counts) + np.arange(len(at) and ends[-1])]
+        edges = np.concatenate(([0], ends))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [line[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """As ``plain`` (null: empty text), with the memory."""
-        cache, chunks, whole = self.cache, [], {}
-        for k, text in enumerate(map(text_of, texts)):
-            if ODD.search(text):
-                whole[k] = text
-                chunks.append([])
-            else:
-                chunks.append(CHUNK.findall(text))
-        missing = list({c for row in chunks for c in row if c not in cache})
-        new = dict(zip(missing, self.plain(missing)))
-        room = self.most_cached - len(cache)
-        if room > 0:
-            cache.update(list(new.items())[:room])
-        if new:
-            out = [b"".join([cache[c] if c in cache else new[c] for c in row]) for row in chunks]
-        else:
-            out = [b"".join([cache[c] for c in row]) for row in chunks]
-        for k, ids in zip(whole, self.plain(list(whole.values()))):
-            out[k] = ids
+        column = pa.array([text_of(t) for t in texts], pa.string())
+        odd = pc.match_substring_regex(column, WHOLE).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for rows, encode in ((np.flatnonzero(~odd), self._gathered),
+                             (np.flatnonzero(odd), lambda x: self.plain(x.to_pylist()))):
+            if len(rows):
+                for row, ids in zip(rows.tolist(), encode(column.take(pa.array(rows)))):
+                    out[row] = ids
+        pa.default_memory_pool().release_unused()
         return out
