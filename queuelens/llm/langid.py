@@ -11,7 +11,7 @@ Model
 
 Training sample
     Rows with a language and a text, in the order of a hash of the id, up to ``sample_bytes`` per language: a bounded
-    sample (default 1 MB of text per language). At most ``most_langs`` languages are learned (an error beyond), so
+    sample (default 1 MB of text per language; a text counts up to that size). At most ``most_langs`` languages are learned (an error beyond), so
     the tables sent to the tasks are bounded by ``most_langs * sample_bytes`` strings per order.
 
 Prediction
@@ -153,15 +153,15 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
         F.xxhash64(F.col(id_col), F.lit("langid")).alias("key"))
-    langs = [r[0] for r in rows.select("lang").distinct().limit(most_langs + 1).collect()]
-    if len(langs) > most_langs:
+    totals = dict(rows.groupBy("lang").agg(F.sum(size)).limit(most_langs + 1).collect())
+    if len(totals) > most_langs:
         raise ValueError(f"more than {most_langs} languages")
-    # the cut of the hash below which a language's texts fill its sample, from a histogram of the hash
-    cells = rows.groupBy("lang", F.shiftrightunsigned("key", 48).alias("cell")).agg(F.sum(size).alias("bytes"))
-    sums = cells.withColumn("before", F.coalesce(F.sum("bytes").over(
-        Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    wanted = sums.where(F.col("before") < sample_bytes).select("lang", "cell")
-    picked = (rows.withColumn("cell", F.shiftrightunsigned("key", 48)).join(wanted, ["lang", "cell"])
+    if not totals:
+        return Tables([], [], [], [], [])
+    # twice the share of the hash range that a language's sample takes, so that uneven texts fill it all the same
+    share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, 2.0 * sample_bytes / max(1, n))])
+    spot = F.shiftrightunsigned("key", 11) / float(1 << 53)
+    picked = (rows.where(spot < share[F.col("lang")])
               .withColumn("before", F.coalesce(F.sum(size).over(order), F.lit(0)))
               .where(F.col("before") < sample_bytes)
               .select("lang", "key", "id", F.substring("text", 1, sample_bytes).alias("text")))
