@@ -7,8 +7,9 @@ the default budget. A row is repeated Poisson(rate) times: the distribution is i
 md5 of seed and id. A rate above ``MOST_RATE`` is the sum of several Poisson numbers of equal smaller rates, each from
 a hash of its own, which has the same distribution. Copies are then shuffled globally by the md5 of seed, id and copy.
 
-The table of rates has a row per source and is joined by it; every other step is a projection, so a source with a
-third of all rows is as cheap as any other.
+The table of rates has a row per source and is stored first, so that Spark knows its size and sends it to all tasks if
+it is small enough (its own limit), and joins by source otherwise; every other step is a projection, so a source with
+a third of all rows is as cheap as any other.
 
 Edge cases: a null source is a source of its own; rows with the same id draw the same number; null ids draw as the
 empty id; an empty table gives an empty result; negative weights are an error, weight 0 drops a source.
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 MOST_RATE = 8.0
 #: Steps of the inverted distribution: beyond 63 a rate of 8 has less than 2**-53 left.
 STEPS = 63
@@ -59,7 +62,7 @@ def replicated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
                weights: dict[str | None, float] | None = None, other: float = 1.0, budget: float | None = None,
                seed: str = "mix") -> DataFrame:
     """(row, copy, shuffle_key): all columns of ``docs`` as a struct, repeated and globally shuffled."""
-    rates = source_rates(docs, source_col, text_col, weights, other, budget)
+    rates = materialize(source_rates(docs, source_col, text_col, weights, other, budget), "mixing-rates")
     key = F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     source = F.col(f"row.`{source_col}`")
