@@ -49,7 +49,7 @@ def cascading_options(df: DataFrame, steps: Mapping[str, Column | None]) -> Data
 #: Plan nodes of a plain query. Everything else (commands, writes, settings, table functions) is refused.
 QUERY_NODES = frozenset("""Project Filter Aggregate UnresolvedHaving Join LateralJoin Sort GlobalLimit LocalLimit Limit Offset
     Distinct Union Except Intersect SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedWith WithWindowDefinition
-    UnresolvedInlineTable OneRowRelation UnresolvedRelation Pivot Unpivot UnresolvedHint""".split())
+    UnresolvedInlineTable LocalRelation OneRowRelation UnresolvedRelation Pivot Unpivot UnresolvedHint""".split())
 #: Functions that reach outside of the query.
 CLOSED_FUNCTIONS = frozenset(["reflect", "java_method", "try_reflect", "input_file_name"])
 

@@ -13,23 +13,20 @@ from ..functions import python_round
 from ..states import MS_PER_DAY, REGULATOR, REQUESTER, is_final, new_owner, outcome_kind
 
 
-def _segment_summaries(events: DataFrame, segments: int | None) -> DataFrame:
+def _segment_summaries(events: DataFrame, segment_days: float) -> DataFrame:
     """Fold the ordered events of each request, one summary row per (request, segment).
 
-    A window over a whole request would put a request with very many events into one
-    task. Range partitioning on (request, time, seq) cuts such a request into evenly sized
-    runs of consecutive events instead; the partition number names the run. Results do
-    not depend on where the cuts fall, so neither do retries or another partition count.
+    A window over a whole request would put a request with very many events into one task.
+    Segments are stretches of time, so they follow each other like the events, and one
+    exchange by (request, segment) deals them out. Results do not depend on their length.
     """
-    keys = ["request", "ms", "seq"]
+    span = max(1, int(segment_days * MS_PER_DAY))
     narrow = events.select(
         "request", F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("ms"), "seq", "state", "actor")
-    ranged = narrow.repartitionByRange(segments, *keys) if segments else narrow.repartitionByRange(*keys)
+    cut = narrow.withColumn("segment", F.floor(F.col("ms") / F.lit(span)))
     order = Window.partitionBy("request", "segment").orderBy("ms", "seq")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    steps = (ranged.withColumns({"segment": F.spark_partition_id(),
-                                 "mark": new_owner(F.col("state")),
-                                 "final": is_final(F.col("state"))})
+    steps = (cut.withColumns({"mark": new_owner(F.col("state")), "final": is_final(F.col("state"))})
              .withColumns({"delta": F.col("ms") - F.lag("ms").over(order),
                            "owner": F.last("mark", ignorenulls=True).over(before),
                            "ended": F.coalesce(F.max("final").over(before), F.lit(False))})
@@ -53,13 +50,13 @@ def _segment_summaries(events: DataFrame, segments: int | None) -> DataFrame:
         F.count(F.lit(1)).alias("n_events"))
 
 
-def ownership(events: DataFrame, as_of, segments: int | None = None) -> DataFrame:
+def ownership(events: DataFrame, as_of, segment_days: float = 30) -> DataFrame:
     """Days per owner, outcome, milestones and actors, one row per request.
 
     Events after the first final state are ignored. Without a final state the time up to
     ``as_of`` goes to the present owner. A missing event time counts as epoch 0.
     """
-    summaries = _segment_summaries(events, segments)
+    summaries = _segment_summaries(events, segment_days)
     order = Window.partitionBy("request").orderBy("start")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     linked = (summaries.withColumns({
@@ -109,7 +106,12 @@ def _figures(df: DataFrame, outcome: Column, now_ms: Column) -> DataFrame:
 def first_event(events: DataFrame, *columns: str, where: Column | None = None) -> DataFrame:
     """Chosen columns of the earliest event per request, or of the earliest that meets
     ``where``. Requests without such an event keep a row with nulls."""
+    return first_events(events, {"first": (columns, where)}).select("request", "first.*")
+
+
+def first_events(events: DataFrame, wanted: dict[str, tuple[tuple, Column | None]]) -> DataFrame:
+    """Several first events in one aggregation: result struct name -> (columns, condition)."""
     at = F.struct(F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("ms"), F.col("seq").alias("seq"))
-    at = at if where is None else F.when(where, at)
-    first = F.min_by(F.struct(*columns), at).alias("first")
-    return events.groupBy("request").agg(first).select("request", "first.*")
+    return events.groupBy("request").agg(*[
+        F.min_by(F.struct(*columns), at if where is None else F.when(where, at)).alias(name)
+        for name, (columns, where) in wanted.items()])

@@ -93,13 +93,19 @@ def cardinality_class(unique: Column, total: Column) -> Column:
             .otherwise("baixa"))
 
 
-def counts(frequencies: DataFrame) -> DataFrame:
-    """Rows, missing, distinct and empty-like counts with their shares, per column."""
-    n, value = F.col("Quantidade"), F.col("value")
-    empty = F.lower(strip(value)).isin(EMPTY_TEXTS)
-    base = frequencies.groupBy("column").agg(
-        F.sum(n).alias("total_linhas"), F.sum(F.when(value.isNull(), n).otherwise(0)).alias("nulos"),
-        F.count(value).alias("n_unicos"), F.sum(F.when(empty, n).otherwise(0)).alias("vazios_textuais"))
+def counts(df: DataFrame) -> DataFrame:
+    """Rows, missing, distinct and empty-like counts with their shares, per column.
+
+    Values are told apart by 128 bits of hashes, so that the shuffle carries those and not
+    the values; all missing cells of a map task are one row.
+    """
+    cells = as_pairs(df).select(
+        "column", F.col("value").isNull().alias("missing"), F.xxhash64("value").alias("a"),
+        F.xxhash64("value", F.lit(1)).alias("b"), F.coalesce(F.lower(strip(F.col("value"))).isin(EMPTY_TEXTS), F.lit(False)).alias("empty"))
+    n = F.col("n")
+    base = cells.groupBy("column", "missing", "a", "b", "empty").agg(F.count(F.lit(1)).alias("n")).groupBy("column").agg(
+        F.sum(n).alias("total_linhas"), F.sum(F.when(F.col("missing"), n).otherwise(0)).alias("nulos"),
+        F.count_if(~F.col("missing")).alias("n_unicos"), F.sum(F.when(F.col("empty"), n).otherwise(0)).alias("vazios_textuais"))
     total = F.col("total_linhas")
 
     def share(c: str) -> Column:
@@ -120,7 +126,7 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float
     single values only inside the brackets and one counter (with its smallest and largest
     value) for each gap between them; ranks are read off the running counts of those few
     cells. A rank that fell inside a gap would raise an error, never give a wrong figure.
-    ``group`` must have few values (column names); the bracket frame is broadcast.
+    The bracket frame has one row per group and is left to Spark's own size check.
     """
     v, slack = F.col(value), 2.0 / accuracy
     rows = df.filter(v.isNotNull()).select(group, v.cast("double").alias("v"))
@@ -132,7 +138,7 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float
     # spelled out per probability, so that both stay inside generated code
     gap = " + ".join(f"if(v > high[{i}], 1, 0)" for i in range(len(probs)))
     inside = " OR ".join(f"(v >= low[{i}] AND v <= high[{i}])" for i in range(len(probs)))
-    tagged = rows.join(F.broadcast(brackets), group).selectExpr(
+    tagged = rows.join(brackets, group).selectExpr(
         group, "v", f"{gap} AS gap", f"{inside} AS inside")
     cells = tagged.groupBy(group, "gap", "inside", F.when(F.col("inside"), F.col("v")).alias("point")).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
@@ -208,29 +214,35 @@ def boolean_stats(df: DataFrame) -> DataFrame:
                              for c in ["true", "false"]}).drop("rows")
 
 
-def text_stats(frequencies: DataFrame) -> DataFrame:
-    """Shortest, mean, median and longest text, from a histogram of lengths."""
-    lengths = (frequencies.filter("value IS NOT NULL")
-               .groupBy("column", F.length("value").alias("len")).agg(F.sum("Quantidade").alias("n")))
+def text_stats(df: DataFrame) -> DataFrame:
+    """Shortest, mean, median and longest text, from a histogram of lengths; no text is shuffled."""
+    names = columns_of(df, TEXT)
+    lengths = (df.select(*[F.length(f"`{c}`").alias(c) for c in names])
+               .unpivot([], [F.col(f"`{c}`") for c in names], "column", "len").filter("len IS NOT NULL")
+               .groupBy("column", "len").agg(F.count(F.lit(1)).alias("n")))
     return lengths.groupBy("column").agg(
         F.min("len").alias("txt_len_min"), (F.sum(F.col("len") * F.col("n")) / F.sum("n")).alias("txt_len_media"),
         F.percentile("len", 0.5, F.col("n")).alias("txt_len_mediana"), F.max("len").alias("txt_len_max"))
 
 
-def date_like(df: DataFrame, order: Sequence[str], size: int = 200) -> DataFrame:
-    """Share of date-looking and of parsable texts among the first ``size`` values."""
+def date_like(df: DataFrame) -> DataFrame:
+    """Share of date-looking and of parsable texts among all values of the text columns.
+
+    One aggregation without any shuffle of values. The cheap pattern decides whether the
+    parse share counts at all.
+    """
     names = columns_of(df, TEXT)
-    shadow = df.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)],
-                       *[F.col(f"`{c}`") for c in names])
-    keys = [f"__o{i}" for i in range(len(order))]
-    first = top_per_group(as_pairs(shadow, keys).filter("value IS NOT NULL"), "column",
-                          [F.col(k) for k in keys], size)
-    pattern = F.avg(F.col("value").rlike(DATE_LIKE).cast("double"))
-    parsed = F.avg(day_first_timestamp(F.col("value")).isNotNull().cast("double"))
-    shares = first.groupBy("column").agg(pattern.alias("pattern_share"), parsed.alias("parsed"))
-    # the cheap pattern decides whether the parse share counts at all
-    ratio = F.when(F.col("pattern_share") >= 0.4, F.col("parsed")).otherwise(0.0)
-    return shares.select("column", ratio.alias("parsed_ratio"), (ratio >= 0.8).alias("is_date_like"))
+
+    def shares(c: str) -> list[Column]:
+        v = F.col(f"`{c}`")
+        return [F.count(v), F.count_if(v.rlike(DATE_LIKE)), F.count_if(day_first_timestamp(v).isNotNull())]
+
+    one = df.agg(*[x.alias(f"{c}/{k}") for c in names for k, x in enumerate(shares(c))])
+    rows = one.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column"), *[F.col(f"`{c}/{k}`").alias(name) for k, name in enumerate(("n", "like", "parsed"))])
+        for c in names]))).filter("n > 0")
+    ratio = F.when(F.col("like") / F.col("n") >= 0.4, F.col("parsed") / F.col("n")).otherwise(0.0)
+    return rows.select("column", ratio.alias("parsed_ratio"), (ratio >= 0.8).alias("is_date_like"))
 
 
 # --- whole profile ------------------------------------------------------------------------
@@ -281,14 +293,13 @@ def observations() -> Column:
 def profile(df: DataFrame, order: Sequence[str], as_of, frequencies: DataFrame | None = None) -> DataFrame:
     """One row per column with all figures. ``order`` gives the source order for samples.
 
-    The frequency frame is read several times; pass one that was written out (see
-    ``sources.files``) to compute it once.
+    Frequencies (``value_frequency``) serve the most frequent values only; pass a frame of
+    them if there is one already.
     """
     freq = value_frequency(df) if frequencies is None else frequencies
-    parts = [counts(freq), top_values(freq), samples(df, order)]
-    texts = set(columns_of(df, TEXT))
-    if texts:
-        parts += [text_stats(freq.filter(F.col("column").isin(list(texts)))), date_like(df, order)]
+    parts = [counts(df), top_values(freq), samples(df, order)]
+    if columns_of(df, TEXT):
+        parts += [text_stats(df), date_like(df)]
     if columns_of(df, NUMERIC):
         parts.append(numeric_stats(df))
     if columns_of(df, DATETIME):

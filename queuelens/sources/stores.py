@@ -44,11 +44,12 @@ def raw_rows(documents: DataFrame, text: str = "conteudo_json", list_name: str =
                          F.col(list_name).alias("origem_lista"), *keep)
 
 
-def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write a batch under its own partition, replacing an earlier try of the same batch."""
+def append_batch(df: DataFrame, path: str, batch_id: int, by: tuple[str, ...] = ()) -> None:
+    """Write a batch under its own partition, replacing an earlier try of the same batch;
+    ``by`` names further partition columns above it."""
     (df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").option("compression", "snappy")
-     .partitionBy("batch_id").parquet(path))
+     .partitionBy(*by, "batch_id").parquet(path))
 
 
 def read_store(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

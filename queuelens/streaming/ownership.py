@@ -3,29 +3,38 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.history import ownership
 from ..sources import stores
 
 
-def update(batch: DataFrame, batch_id: int, base: str, as_of) -> None:
+def update(batch: DataFrame, batch_id: int, base: str, as_of, buckets: int = 64) -> None:
     """Add a batch of events and work out again the requests it touches.
 
+    The history is partitioned by ``buckets`` hash buckets of the request, and only buckets
+    with a touched request are read.
+
     Late and out-of-order events need no special case: a touched request is always folded
     from its stored events. Requests not in the batch are neither read into the fold nor
     written; results are appended and the newest version per request counts.
     """
     spark = batch.sparkSession
-    events = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    events = batch.withColumn("bucket", F.pmod(F.hash("request"), F.lit(buckets))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stores.append_batch(events, f"{base}/events", batch_id)
-        touched = events.select("request").distinct()
-        known = spark.read.parquet(f"{base}/events").join(touched, "request", "left_semi")
+        stores.append_batch(events, f"{base}/events", batch_id, by=("bucket",))
+        touched = events.select("request", "bucket").distinct()
+        met = [r[0] for r in touched.select("bucket").distinct().collect()]  # at most ``buckets``
+        known = touched_history(spark, base, met).join(touched.select("request"), "request", "left_semi")
         stores.append_batch(ownership(known, as_of), f"{base}/ownership", batch_id)
     finally:
         events.unpersist()
 
 
+def touched_history(spark: SparkSession, base: str, buckets: list[int]) -> DataFrame:
+    """Stored events of some buckets; the others' files are not opened."""
+    return spark.read.parquet(f"{base}/events").filter(F.col("bucket").isin(buckets))
+
+
 def current(spark: SparkSession, base: str) -> DataFrame:
     return stores.latest(spark, f"{base}/ownership", "request").drop("batch_id")

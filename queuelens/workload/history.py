@@ -54,8 +54,8 @@ SELECT request, {_days(_REQ)} AS "SLA_Tempo_Solicitante_Dias", {_days(_REG)} AS
 
 
 def outcome_milestones(spark, sf):
-    """M3: outcome and milestones; the many-segment form gives the same figures."""
-    return h.ownership(history(spark, sf), AS_OF_EVENTS, segments=24).select(
+    """M3: outcome and milestones; short segments give the same figures."""
+    return h.ownership(history(spark, sf), AS_OF_EVENTS, segment_days=0.5).select(
         "request", "SLA_Desfecho_Atingido", "SLA_Tipo_Desfecho", "SLA_Marco_Autorizada", "SLA_Marco_Agendada",
         "SLA_Marco_Realizada", "n_events", "SLA_Tempo_Regulador_Dias")
 
@@ -69,11 +69,10 @@ SELECT request, fin_state IS NOT NULL AS "SLA_Desfecho_Atingido", {_KIND} AS "SL
 
 def first_event(spark, sf):
     """First event and first event of a chosen kind."""
-    e = history(spark, sf)
-    first = h.first_event(e, "seq", "state", "actor")
-    clinical = h.first_event(e, C("seq").alias("clinical_seq"), C("actor").alias("doctor"),
-                             where=C("event_type") == "view")
-    return first.join(clinical, "request")
+    chosen = (C("seq").alias("clinical_seq"), C("actor").alias("doctor"))
+    both = h.first_events(history(spark, sf), {"first": (("seq", "state", "actor"), None),
+                                               "clinical": (chosen, C("event_type") == "view")})
+    return both.select("request", "first.*", "clinical.*")
 
 
 FIRST_SQL = f"""WITH v AS ({HISTORY_DUCK})

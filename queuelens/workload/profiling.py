@@ -30,8 +30,7 @@ def value_frequency(spark, sf):
 def profile_columns(spark, sf):
     """Counts, cardinality, top values, sensitive names."""
     part = table(spark, sf, "part")
-    freq = p.value_frequency(part)
-    joined = p.counts(freq).join(p.top_values(freq), "column")
+    joined = p.counts(part).join(p.top_values(p.value_frequency(part)), "column")
     return joined.withColumn("sensivel", C("column").isin([c for c in part.columns if p.is_sensitive(c)]))
 
 
@@ -109,7 +108,7 @@ BOOLEAN_SQL = duck("""SELECT 'SLA_Desfecho_Atingido' AS "column", COUNT(*) FILTE
 
 def profile_text(spark, sf):
     """Text length statistics of whole texts."""
-    stats = p.text_stats(p.value_frequency(table(spark, sf, "documents").select("text", "lang", "source")))
+    stats = p.text_stats(table(spark, sf, "documents").select("text", "lang", "source"))
     return stats.withColumn("txt_len_media", F.round("txt_len_media", 4))
 
 
@@ -167,6 +166,28 @@ TYPES_SQL = f"""SELECT tipo_inferido, COUNT(*) AS qtd_colunas, 0.0::DOUBLE AS me
   UNION ALL SELECT 'booleana_textual', (SELECT ROUND(100.0 / COUNT(*), 4) FROM part)) GROUP BY 1"""
 
 
+def profile_kinds(spark, sf):
+    """Free text, date-like text, half dates, identifiers, sensitive names, empty-like values."""
+    k = C("doc_id")
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (k % 1000).cast("int")), "dd/MM/yyyy")
+    docs = table(spark, sf, "documents").select(
+        "doc_id", C("text").alias("relato"), day.alias("quando"),
+        F.when(k % 2 == 0, day).otherwise(F.concat(F.lit("x"), "lang")).alias("misto"),
+        F.concat("source", F.lit("-"), k.cast("string")).alias("cpf"), C("lang").alias("nome"),
+        F.when(k % 4 == 0, "N/A").when(k % 4 == 1, "").when(k % 4 == 2, " nan ").otherwise(C("lang")).alias("vago"))
+    rows = p.profile(docs, ["doc_id"], "2024-01-01")
+    return rows.select("coluna", "tipo_inferido", "sensivel", "vazios_textuais",
+                       C("observacoes").contains("parte convertivel").alias("half_dates"))
+
+
+KINDS_SQL = """SELECT coluna, tipo_inferido, sensivel, CASE coluna WHEN 'vago' THEN COUNT(*) FILTER (doc_id % 4 < 3)
+  WHEN 'doc_id' THEN NULL ELSE COUNT(*) FILTER (doc_id < 0) END AS vazios_textuais, coluna = 'misto' AS half_dates
+FROM documents, (VALUES ('doc_id', 'identificador_potencial', FALSE), ('relato', 'texto_livre', FALSE),
+  ('quando', 'data_hora_texto', FALSE), ('misto', 'categorica', FALSE), ('cpf', 'identificador_potencial', TRUE),
+  ('nome', 'categorica', TRUE), ('vago', 'categorica', FALSE)) v(coluna, tipo_inferido, sensivel)
+GROUP BY coluna, tipo_inferido, sensivel"""
+
+
 def describe(spark, sf):
     """Summary figures of numeric columns, quartiles exact."""
     df = table(spark, sf, "part").select("p_size", "p_retailprice")
@@ -206,6 +227,7 @@ QUERIES = {
     "profile_text": (profile_text, TEXT_SQL),
     "profile_sorted": (profile_sorted, PROFILE_SQL),
     "profile_types": (profile_types, TYPES_SQL),
+    "profile_kinds": (profile_kinds, KINDS_SQL),
     "describe": (describe, DESCRIBE_SQL),
     "group_counts": (group_counts, "SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1 ORDER BY 2 DESC, 1"),
     "filtered_count": (filtered_count, """SELECT COUNT(*) FILTER (event_type = 'error') AS errors,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 
 from pyspark.errors import StreamingQueryException
@@ -45,6 +46,36 @@ SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, lista, COUNT(*) AS n,
 FROM e GROUP BY 1, 2"""
 
 
+def stream_late_rows(spark, sf):
+    """I8: the newer half of the events first (its newest part ahead), then the older one; with
+    a watermark of three quarters of the span, the oldest windows are closed by then and
+    their rows dropped. Spark drops late rows by the watermark of the batch before."""
+    base = scratch_dir(spark, "late")
+    e = table(spark, sf, "events").withColumns({"ts": C("ts").cast("timestamp"), "lista": C("user_id") % 3})
+    at = F.unix_micros("ts")
+    first, last = e.agg(F.min(at), F.max(at)).first()
+    middle = (first + last) // 2
+    newest = (middle + last) // 2
+    for part in (at >= newest, (at >= middle) & (at < newest), at < middle):
+        e.filter(part).write.mode("append").parquet(f"{base}/landing")
+        time.sleep(1.1)  # file times have seconds; the source takes files by time
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
+    rate = alerts.error_rate(stream, C("event_type") == "error", "lista", f"{(last - first) * 3 // 4_000_000} seconds",
+                             size="1 day", slide="1 day")
+    to_table(rate, f"{base}/rates", "update")
+    figures = F.max_by(F.struct("n", "errors", "alert"), "part").alias("x")  # an update replaces the window's figures
+    return spark.read.parquet(f"{base}/rates").groupBy("start", "lista").agg(figures).select(
+        _minute("start").alias("start"), "lista", "x.*")
+
+
+LATE_SQL = """WITH s AS (SELECT epoch_us(MIN(ts)) AS a, epoch_us(MAX(ts)) AS b FROM events),
+  e AS (SELECT *, user_id % 3 AS lista, date_trunc('day', ts) AS start FROM events)
+SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, lista, COUNT(*) AS n,
+  COUNT(*) FILTER (event_type = 'error') AS errors, COUNT(*) FILTER (event_type = 'error') / COUNT(*) > 0.1 AS alert
+FROM e, s WHERE epoch_us(ts) >= (a + b) // 2
+  OR epoch_us(start + INTERVAL 1 DAY) > b - ((b - a) * 3 // 4000000) * 1000000 GROUP BY 1, 2"""
+
+
 def stream_tumbling_p90(spark, sf):
     """P90 per hour."""
     path = scratch_dir(spark, "p90")
@@ -263,7 +294,7 @@ def stream_ownership(spark, sf):
     """Ownership figures after three micro-batches in no particular order."""
     base = scratch_dir(spark, "ownership")
     events = history(spark, sf)
-    events.repartition(3, "seq").write.parquet(f"{base}/landing")
+    events.repartition("seq").write.parquet(f"{base}/landing")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
     drain(stream, lambda batch, n: ownership.update(batch, n, f"{base}/state", AS_OF_EVENTS))
     return ownership.current(spark, f"{base}/state").select(
@@ -273,6 +304,7 @@ def stream_ownership(spark, sf):
 
 QUERIES = {
     "stream_sliding_errors": (stream_sliding_errors, SLIDING_SQL),
+    "stream_late_rows": (stream_late_rows, LATE_SQL),
     "stream_tumbling_p90": (stream_tumbling_p90, P90_SQL),
     "stream_counters": (stream_counters, COUNTERS_SQL),
     "stream_heartbeat": (stream_heartbeat, HEARTBEAT_SQL),

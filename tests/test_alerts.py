@@ -35,7 +35,7 @@ def test_heartbeat_flags(spark):
                                "lista string, t string, ok boolean").withColumn("ts", C("t").cast("timestamp"))
     beat = alerts.heartbeat(alerts.last_seen(df, "lista", C("ok"), ~C("ok")), "2024-01-03 00:00:00")
     got = {r.lista: (r.stale, r.not_fresh, r.stalled, r.risk_surge) for r in beat.collect()}
-    assert got == {"a": (True, True, True, False), "b": (None, False, True, False)}
+    assert got == {"a": (True, True, True, False), "b": (True, False, True, False)}
 
 
 def test_registration_rules(spark):

@@ -104,3 +104,90 @@ def test_streamed_ownership_handles_late_events(spark, tmp_path):
     ownership.update(batch((1, "2024-01-01", 1, "AGUARDA_REGULACAO", "a")), 1, base, NOW)
     got = {r.request: (r.SLA_Tempo_Regulador_Dias, r.SLA_Tipo_Desfecho) for r in ownership.current(spark, base).collect()}
     assert got == {1: (4.0, "POSITIVO"), 2: (0.0, "")}
+
+
+def test_newest_stamp_wins_within_and_across_batches(spark, tmp_path):
+    landing, paths = str(tmp_path / "in"), ingest.IngestPaths(str(tmp_path / "out"))
+    land(spark, landing, [doc(1, "new", dataAlterouUltimaSituacao=9), doc(1, "old", dataAlterouUltimaSituacao=5),
+                          doc(2, "first"), doc(2, "last")])
+    ingest.ingest(spark, landing, paths, NOW, "s")
+    assert {r.numeroCMCE: r.situacao for r in ingest.current_requests(spark, paths).collect()} == {"1": "new", "2": "last"}
+    land(spark, landing, [doc(1, "late and old", dataAlterouUltimaSituacao=7), doc(3, "seen", dataAlterouUltimaSituacao=9),
+                          doc(4, "fresh", dataAlterouUltimaSituacao=10), doc(5, "no stamp")])
+    ingest.ingest(spark, landing, paths, NOW, "s")
+    rows = {r.numeroCMCE: r.situacao for r in ingest.current_requests(spark, paths).collect()}
+    assert rows == {"1": "new", "2": "last", "4": "fresh", "5": "no stamp"}
+    state = ingest.resume_state(spark, paths).first()
+    assert (state.watermark, state.full_sync_completed) == (10, True)
+
+
+def test_breaker_counts_over_small_batches(spark, tmp_path):
+    landing, paths = str(tmp_path / "in"), ingest.IngestPaths(str(tmp_path / "out"))
+    for part in range(4):
+        land(spark, landing, ["{}"] * 60)
+    with pytest.raises(StreamingQueryException):
+        ingest.ingest(spark, landing, paths, NOW, "s", max_files=1)
+    run = stores.read_runs(spark, paths.runs).collect()
+    assert [(r.status, r.items_failed) for r in run] == [(stores.CIRCUIT_BREAKER, 120)]
+
+
+def test_one_row_per_run_and_empty_stores(spark, tmp_path):
+    landing, paths = str(tmp_path / "in"), ingest.IngestPaths(str(tmp_path / "out"))
+    assert ingest.current_requests(spark, paths).count() == 0 and ingest.resume_state(spark, paths).count() == 0
+    land(spark, landing, ["{}"])
+    ingest.ingest(spark, landing, paths, NOW, "s")
+    assert ingest.current_requests(spark, paths).count() == 0 and ingest.dead_letters(spark, paths).count() == 1
+    land(spark, landing, [doc(1)])
+    with pytest.raises(StreamingQueryException):
+        ingest.ingest(spark, landing, paths, "no day", "s")
+    assert ingest.resume_state(spark, paths).count() == 0
+    ingest.ingest(spark, landing, paths, NOW, "s")
+    runs = stores.last_runs(stores.read_runs(spark, paths.runs)).collect()
+    assert [(r.status, bool(r.error_message)) for r in reversed(runs)] == [("PARTIAL", False), ("FAILURE", True), ("SUCCESS", False)]
+    assert ingest.current_requests(spark, paths).count() == 1
+
+
+def test_null_history_is_a_dead_letter_in_both_forms(spark, tmp_path):
+    landing, paths = str(tmp_path / "in"), ingest.IngestPaths(str(tmp_path / "out"))
+    bad = doc(4).replace('"evolucoes": []', '"evolucoes": null')
+    nested = doc(5, usuarioSUS={"nomeCompleto": "x", "evolucoes": None})
+    land(spark, landing, [bad, nested])
+    ingest.ingest(spark, landing, paths, NOW, "s")
+    assert [r.errors for r in ingest.dead_letters(spark, paths).collect()] == [["evolucoes: null"]]
+    assert [r.numeroCMCE for r in ingest.current_requests(spark, paths).collect()] == ["5"]
+
+
+def test_keys_across_files_of_equal_names(spark, tmp_path):
+    dates = ",".join(f'"{c}"' for c in DATE_COLUMNS)
+    blank = ",".join('"01/02/2020"' for _ in DATE_COLUMNS)
+    for folder, state in (("a", "first"), ("b", "last")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text(f'"numeroCMCE",{dates},"situacao"\n"1",{blank},"{state}"\n')
+    rows, _ = files.load_csv(spark, f"{tmp_path}/*/*.csv")
+    assert [r.situacao for r in cons.clean(rows).collect()] == ["last"]
+
+
+def test_only_touched_buckets_are_read(spark, tmp_path):
+    base = str(tmp_path / "own")
+    rows = [(k, "2024-01-01", 1, "AGENDADA", "b") for k in range(50)]
+    events = spark.createDataFrame(rows, "request int, t string, seq int, state string, actor string").withColumn(
+        "ts", C("t").cast("timestamp")).drop("t")
+    ownership.update(events, 0, base, NOW)
+    bucket = spark.range(1).select(F.pmod(F.hash(F.lit(7)), F.lit(64))).first()[0]
+    read = ownership.touched_history(spark, base, [bucket])
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    assert "bucket" in filters and 0 < read.count() < 50
+
+
+def test_shared_folder_is_required_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from queuelens.session import scratch_dir
+    def fake(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default),
+                               sparkContext=SimpleNamespace(master=master))
+    assert scratch_dir(fake("local[4]"), "x")
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(RuntimeError):
+            scratch_dir(fake(master), "x")

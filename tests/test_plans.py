@@ -98,3 +98,38 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
 def test_top_rows_per_group_are_cut_before_the_shuffle(spark, sf_dir):
     assert "WindowGroupLimit" in plan_of(spark, sf_dir, "sample_per_group")
     assert "WindowGroupLimit" in plan_of(spark, sf_dir, "keep_last")
+
+
+def test_sizes_out_of_range_are_errors(spark):
+    df = spark.createDataFrame([], "a string, numeroCMCE int")
+    for k in (4, 101):
+        with pytest.raises(ValueError):
+            heatmap.top_members(df, "a", k)
+    for n in (9, 1001):
+        with pytest.raises(ValueError):
+            reports.audit_list(df, None, n)
+
+
+def test_shared_inputs_are_read_once(spark, sf_dir):
+    def scans(name):
+        plan = registry()[name][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        return [t for t in ("lineitem", "orders", "part", "events") for _ in range(plan.count(f"/{t}.parquet"))]
+    assert scans("heatmap_z_row") == [] and scans("kpi_summary") == []  # both read what was stored once
+    assert scans("first_event") == ["events"] and scans("global_bounds").count("orders") == 1
+
+
+def test_ownership_has_one_exchange_of_events(spark, sf_dir):
+    plan = plan_of(spark, sf_dir, "ownership_days")
+    assert "rangepartitioning" not in plan
+    exchanges = [line for line in plan[plan.index("== Physical Plan"):].split("\n") if "Exchange hashpartitioning" in line]
+    # events once by (request, segment), then the segments' summaries by request
+    assert len(exchanges) == 2 and sum("segment" in line for line in exchanges) == 1
+
+
+def test_profile_shuffles_no_texts(spark):
+    df = spark.createDataFrame([(1, "a long text", "01/02/2020"), (2, None, "x")], "id int, t string, d string")
+    for frame in (profile.text_stats(df), profile.date_like(df), profile.counts(df)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        keys = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+        assert not any("value" in k or " t#" in k for k in keys), keys
+    assert {r.column: r.is_date_like for r in profile.date_like(df).collect()} == {"t": False, "d": False}

@@ -88,3 +88,51 @@ def test_custom_sql_sees_only_the_secured_frame(spark, rows):
         spark.catalog.dropTempView("base_rows")
     with pytest.raises(Exception):
         access.custom_sql(spark, "SELECT * FROM parquet.`/root/testdata/sf0.001/part.parquet`", rows, "u")
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT count(*) FROM global_temp.secret_rows", "SELECT * FROM other_db.t", "SELECT * FROM secret_rows",
+    "SELECT (SELECT max(k) FROM secret_rows) AS m FROM {requests}",
+    "SELECT * FROM {requests} WHERE k IN (SELECT k FROM secret_rows)",
+    "SELECT * FROM (WITH secret_rows AS (SELECT 1 AS k) SELECT * FROM secret_rows) a JOIN secret_rows b ON a.k = b.k",
+    "WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS k) SELECT * FROM a",
+    "INSERT OVERWRITE DIRECTORY '/tmp/never' USING parquet SELECT * FROM {requests}", "SET spark.sql.shuffle.partitions = 3",
+    "CREATE TABLE never AS SELECT * FROM {requests}", "DROP VIEW secret_rows", "SHOW TABLES", "DESCRIBE secret_rows",
+    "EXPLAIN SELECT 1", "CACHE TABLE secret_rows", "SELECT * FROM range(3)", "SELECT * FROM csv.`/etc/passwd`",
+    "SELECT reflect('java.lang.System', 'getenv', 'HOME') FROM {requests}", "SELECT java_method('java.lang.System', 'nanoTime')"])
+def test_custom_sql_refuses_everything_else(spark, rows, sql):
+    rows.createOrReplaceTempView("secret_rows")
+    rows.createOrReplaceGlobalTempView("secret_rows")
+    try:
+        with pytest.raises(ValueError):
+            access.custom_sql(spark, sql, rows, None)
+    finally:
+        spark.catalog.dropTempView("secret_rows")
+        spark.catalog.dropGlobalTempView("secret_rows")
+
+
+def test_custom_sql_allows_plain_queries(spark, rows):
+    rows.createOrReplaceTempView("k")  # a view named like a column is no obstacle
+    sql = """WITH a AS (SELECT k, row_number() OVER (ORDER BY k) AS n FROM {requests}), b AS (SELECT * FROM a WHERE n > 1)
+        SELECT x.k, count(*) AS c FROM b x JOIN {requests} y ON x.k >= y.k GROUP BY x.k HAVING count(*) > 1
+        UNION ALL SELECT * FROM VALUES (-1, 0) ORDER BY 1 LIMIT 3"""
+    try:
+        assert access.custom_sql(spark, sql, rows, "u").count() > 0
+    finally:
+        spark.catalog.dropTempView("k")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("requests_")]
+
+
+def test_user_values_are_quoted_in_patterns(spark):
+    texts = spark.createDataFrame([("exame a.b",), ("exame axb",), ("exame [x",), ("EXAME A.B (3)",)], "t string")
+    found = lambda *v: {r.t for r in texts.filter(p.pending_match(C("t"), v)).collect()}
+    assert found("exame a.b") == {"exame a.b", "EXAME A.B (3)"} and found("exame [x") == {"exame [x"}
+    assert found("a|b", "\\E", "(3)") == {"EXAME A.B (3)"}
+
+
+def test_options_of_any_type_and_of_expressions(spark):
+    df = spark.createDataFrame([(2, "b 1"), (None, ""), (1, None), (2, "a 1")], "n int, t string")
+    assert [r.n for r in access.options(df, "n").collect()] == [1, 2]
+    assert [r.word for r in access.options(df, F.split("t", " ")[0], C("n") > 0, "word").collect()] == ["a", "b"]
+    lists = access.cascading_options(df, {"t": C("n") == 2, "n": None}).collect()
+    assert [(r.column, r.value) for r in lists] == [("t", "a 1"), ("t", "b 1"), ("n", "2")]
