@@ -151,18 +151,21 @@ def running_breaker(rows: DataFrame, run: str = "run", seq: str = "seq", failed:
                     rules: Rules = DEFAULT_RULES, block: int = 1_000_000) -> DataFrame:
     """Running totals per run in ``seq`` order and the rows where the breaker would open.
 
-    ``seq`` numbers the rows of a run without repeats, so ``floor(seq / block)`` cuts a run
-    into pieces of at most ``block`` rows. Each piece is summed on its own; a window over
-    the piece totals gives every piece its offset. No task sees a whole run.
+    ``seq`` numbers the rows of a run without repeats. Its span is cut into as many pieces of
+    equal width as the run has blocks of ``block`` rows, whether the numbers are dense or
+    sparse. Each piece is summed on its own; a window over the piece totals gives every
+    piece its offset. No task sees a whole run.
     """
-    piece = F.floor(F.col(seq) / F.lit(block))
+    spans = rows.groupBy(run).agg(F.min(seq).alias("__lo"), F.max(seq).alias("__hi"), F.ceil(F.count(F.lit(1)) / block).alias("__k"))
+    width = F.ceil((F.col("__hi") - F.col("__lo") + 1) / F.col("__k"))
+    cut = (rows.join(spans, run).withColumn("__piece", F.floor((F.col(seq) - F.col("__lo")) / width))
+           .drop("__lo", "__hi", "__k"))
     bad = F.coalesce(F.col(failed).cast("int"), F.lit(0))
     local = Window.partitionBy(run, "__piece").orderBy(seq).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    inside = rows.withColumn("__piece", piece).withColumns({
-        "__n": F.count(F.lit(1)).over(local), "__e": F.sum(bad).over(local)})
+    inside = cut.withColumns({"__n": F.count(F.lit(1)).over(local), "__e": F.sum(bad).over(local)})
     earlier = Window.partitionBy(run).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (rows.withColumn("__piece", piece).groupBy(run, "__piece")
+    offsets = (cut.groupBy(run, "__piece")
                .agg(F.count(F.lit(1)).alias("n"), F.sum(bad).alias("e"))
                .select(run, "__piece",
                        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n0"),
