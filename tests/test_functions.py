@@ -109,3 +109,19 @@ def test_formats_and_bands(spark):
 def test_day_difference_counts_calendar_days(spark):
     df = spark.createDataFrame([("2024-01-01 23:59:00", "2024-01-02 00:01:00")], "a string, b string")
     assert df.select(fn.day_diff(C("b").cast("timestamp"), C("a").cast("timestamp"))).first()[0] == 1
+
+
+def test_sql_text_forms_equal_the_column_forms(spark):
+    from queuelens.functions import dates, numbers, privacy, sqltext as q, text
+    texts = ["", " ", None, "Ab ç", "\u00a0x\t", "123456789012", "1", "0", "-5", "1.5e3", "abc", "a\r\nb\rc\nd", "999999999999999999",
+             "253402300799999", "1700000000000"]
+    df = spark.createDataFrame([(k, t, float(k) / 8 + 0.005) for k, t in enumerate(texts)], "k int, v string, d double").withColumn(
+        "salt", F.lit("s"))
+    v, d = F.col("v"), F.col("d")
+    pairs = {"strip": (text.strip(v), q.strip("v")), "breaks": (text.normalise_breaks(v), q.normalise_breaks("v")),
+             "unified": (text.unify_breaks(v), q.unify_breaks("v")), "key": (text.format_key(v), q.format_key("v")),
+             "epoch": (dates.epoch_text(v), q.epoch_text("v")), "hash": (privacy.hash_identity(v, "s"), q.hash_identity("v", "salt")),
+             "round": (numbers.python_round(d, 2), q.python_round("d", 2))}
+    for row in df.select("k", *[F.struct(a.alias("a"), F.expr(b).alias("b")).alias(n) for n, (a, b) in pairs.items()]).collect():
+        for name in pairs:
+            assert row[name].a == row[name].b, (name, texts[row.k])
