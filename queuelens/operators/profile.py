@@ -27,6 +27,9 @@ EMPTY_TEXTS = ["", " ", "nan", "none", "null", "na", "n/a", "não informado", "n
 # Fixed value: what a date inside a text looks like.
 DATE_LIKE = r"\d{1,4}[-/]\d{1,2}[-/]\d{1,4}|\d{1,2}:\d{2}|T\d{2}:\d{2}"
 
+#: Pieces of a quantile bracket that are ordered apart.
+PIECES = 1000
+
 NUMERIC, BOOLEAN, DATETIME, TEXT = "numeric", "boolean", "datetime", "text"
 
 
@@ -125,7 +128,7 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float
     A sketch gives a narrow bracket around every wanted rank. One aggregation then keeps
     single values only inside the brackets and one counter (with its smallest and largest
     value) for each gap between them; ranks are read off the running counts of those few
-    cells. A rank that fell inside a gap would raise an error, never give a wrong figure.
+    cells, which are summed up in pieces of a bracket, so that no task orders all of them. A rank that fell inside a gap would raise an error, never give a wrong figure.
     The bracket frame has one row per group and is left to Spark's own size check.
     """
     v, slack = F.col(value), 2.0 / accuracy
@@ -138,14 +141,20 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float
     # spelled out per probability, so that both stay inside generated code
     gap = " + ".join(f"if(v > high[{i}], 1, 0)" for i in range(len(probs)))
     inside = " OR ".join(f"(v >= low[{i}] AND v <= high[{i}])" for i in range(len(probs)))
-    tagged = rows.join(brackets, group).selectExpr(
-        group, "v", f"{gap} AS gap", f"{inside} AS inside")
-    cells = tagged.groupBy(group, "gap", "inside", F.when(F.col("inside"), F.col("v")).alias("point")).agg(
+    # pieces of a bracket, in the order of their values; a bracket without width is one piece
+    piece = f"if(inside, least({PIECES - 1}, floor((v - low[gap]) / nullif(high[gap] - low[gap], 0) * {PIECES})), 0)"
+    tagged = rows.join(brackets, group).selectExpr("*", f"{gap} AS gap", f"{inside} AS inside").selectExpr(
+        group, "v", "gap", "inside", f"coalesce({piece}, 0) AS piece")
+    keys = [group, "gap", "inside", "piece"]
+    cells = tagged.groupBy(*keys, F.when(F.col("inside"), F.col("v")).alias("point")).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
-    order = Window.partitionBy(group).orderBy("gap", "inside", "point")
-    ranked = cells.withColumns({
-        "end": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "total": F.sum("n").over(Window.partitionBy(group))})
+    before = Window.partitionBy(group).orderBy("gap", "inside", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.groupBy(*keys).agg(F.sum("n").alias("held")).select(
+        *keys, F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"),
+        F.sum("held").over(Window.partitionBy(group)).alias("total"))
+    local = Window.partitionBy(*keys).orderBy("point").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.withColumn("here", F.sum("n").over(local)).join(offsets, keys).withColumn(
+        "end", F.col("here") + F.col("offset"))
     start, end = F.col("end") - F.col("n"), F.col("end")
 
     def at(rank: Column) -> Column:
