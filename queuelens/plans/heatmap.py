@@ -47,8 +47,8 @@ def matrix(cells_df: DataFrame) -> DataFrame:
     """Dense matrix with 0 for pairs that do not occur.
 
     Diagnosis labels are cut to 45 characters; volumes of labels that become equal are
-    averaged. The cells (at most 100 x 100) are folded into one row, which holds the
-    axis members and a lookup map, and unfolded along both axes.
+    averaged. The cells (at most 100 x 100, else an error) are folded into one row, which
+    holds the axis members and a lookup map, and unfolded along both axes.
     """
     cut = (cells_df.withColumn("diag", truncate_label(F.col("diag")))
            .groupBy("diag", "ator").agg(F.avg("Vol").alias("Vol")))
@@ -56,7 +56,9 @@ def matrix(cells_df: DataFrame) -> DataFrame:
         F.collect_set("diag").alias("diags"), F.collect_set("ator").alias("atores"),
         F.map_from_entries(F.collect_list(F.struct(
             F.struct("diag", "ator").alias("k"), F.col("Vol").alias("v")))).alias("cell"))
-    return (folded.select(F.explode("diags").alias("diag"), "atores", "cell")
+    large = (F.size("diags") > MAX_MEMBERS) | (F.size("atores") > MAX_MEMBERS)
+    diags = F.when(large, F.raise_error(F.lit("too many members for a matrix")).cast("array<string>")).otherwise(F.col("diags"))
+    return (folded.select(F.explode(diags).alias("diag"), "atores", "cell")
             .select("diag", F.explode("atores").alias("ator"), "cell")
             .select("diag", "ator", F.coalesce(
                 F.try_element_at("cell", F.struct("diag", "ator")), F.lit(0.0)).alias("Vol")))

@@ -133,3 +133,10 @@ def test_profile_shuffles_no_texts(spark):
         keys = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
         assert not any("value" in k or " t#" in k for k in keys), keys
     assert {r.column: r.is_date_like for r in profile.date_like(df).collect()} == {"t": False, "d": False}
+
+
+def test_a_matrix_has_a_bound(spark):
+    cells = spark.range(101).selectExpr("CAST(id AS STRING) AS ator", "'d' AS diag", "1L AS Vol")
+    with pytest.raises(Exception, match="too many members"):
+        heatmap.matrix(cells).collect()
+    assert heatmap.matrix(cells.limit(100)).count() == 100
