@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,48 +41,92 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas head title textarea select".split())
 RAW = frozenset("script style textarea title".split())
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
                    "h6 header hr main menu nav ol p pre section table ul".split())
 
 
 class Block:
-    __slots__ = ("text", "path", "linked", "parts")
+    """Text of a leaf block, how much of it is linked, and what stands around it."""
 
-    def __init__(self, path: tuple):
-        self.path, self.text, self.linked, self.parts = path, "", 0, []
+    __slots__ = ("text", "linked", "around", "tag", "words")
 
+    def __init__(self, text: str, linked: int, around: frozenset[str], tag: str, words: tuple[str, ...]):
+        self.text, self.linked, self.around, self.tag, self.words = text, linked, around, tag, words
 
-def _close(stack: list, name: str) -> None:
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == name:
-            del stack[k:]
-            return
+
+class Element:
+    """An open element. ``around`` has the features of all block elements down to it; nested elements that add
+    nothing share it, so that deep pages stay cheap."""
+
+    __slots__ = ("name", "words", "around", "block")
+
+    def __init__(self, name: str, words: tuple[str, ...], above: Element | None):
+        self.name, self.words = name, words
+        outer = above.around if above else frozenset()
+        if name in INLINE:
+            self.around, self.block = outer, above.block if above else None
+        else:
+            own = {"in " + name, *("class " + w for w in words)}
+            self.around, self.block = outer if own <= outer else outer | own, self
+
+
+class Stack(list):
+    """Open elements with their number by name."""
+
+    def __init__(self):
+        super().__init__()
+        self.open: Counter[str] = Counter()
+        self.silent = 0
+
+    def enter(self, name: str, words: tuple[str, ...]) -> None:
+        self.append(Element(name, words, self[-1] if self else None))
+        self.open[name] += 1
+        self.silent += name in SILENT
+
+    def leave(self, depth: int) -> None:
+        """Close all elements from ``depth`` on."""
+        for element in self[depth:]:
+            self.open[element.name] -= 1
+            self.silent -= element.name in SILENT
+        del self[depth:]
+
+    def close(self, name: str, within: frozenset[str] = frozenset()) -> None:
+        """Close the innermost element of a name, unless one of ``within`` stands inside of it."""
+        if self.open[name]:
+            for depth in range(len(self) - 1, -1, -1):
+                if self[depth].name in within:
+                    return
+                if self[depth].name == name:
+                    self.leave(depth)
+                    return
+
+
+ITEMS, HOLDERS = frozenset("li td th tr dt dd option".split()), frozenset("ul ol table dl select menu".split())
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """Non-empty leaf blocks in page order."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    out: list[Block] = []
+    stack, out = Stack(), []
     parts: list[tuple[str, bool]] = []
-    path: tuple = ()
-    at, silent, end = 0, 0, len(page)
+    place: Element | None = None
+    at, end = 0, len(page)
 
     def flush() -> None:
         if parts:
             text = " ".join(references.unescape("".join(p for p, _ in parts)).split())
             if text:
-                block = Block(path)
-                block.text = text
-                block.linked = sum(len(p) for p, linked in parts if linked)
-                out.append(block)
+                out.append(Block(text, sum(len(p) for p, linked in parts if linked),
+                                 place.around if place else frozenset(), place.name if place else "none",
+                                 place.words if place else ()))
             parts.clear()
 
     def add(text: str) -> None:
-        nonlocal path
-        if text and not silent:
+        nonlocal place
+        if text and not stack.silent:
             if not parts:
-                path = tuple(s for s in stack if s[0] not in INLINE)
-            parts.append((text, any(s[0] == "a" for s in stack)))
+                place = stack[-1].block if stack else None
+            parts.append((text, stack.open["a"] > 0))
 
     while at < end:
         hit = TAG.search(page, at)
@@ -101,35 +146,26 @@ def leaf_blocks(page: str) -> list[Block]:
                 add(" ")
             continue
         if closing:
-            if any(s[0] == name for s in stack):
-                _close(stack, name)
-                silent = sum(s[0] in SILENT for s in stack)
+            stack.close(name)
             continue
         if name in RAW:  # its text holds no tags
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            close = RAW_END[name].search(page, at)
             at = close.end() if close else end
             continue
         if name in VOID:
             continue
-        if name in ENDS_P and any(s[0] == "p" for s in stack):
-            _close(stack, "p")
-        elif name in ("li", "td", "tr", "dt", "dd", "option"):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ("ul", "ol", "table", "dl", "select", "menu"):
-                    break
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        elif name == "body":
-            stack = [s for s in stack if s[0] == "html"]
-            silent = 0
+        if name in ENDS_P:
+            stack.close("p")
+        elif name in ITEMS:
+            stack.close(name, HOLDERS)
+        elif name == "body" and stack.open["head"]:
+            stack.close("head")
         if attrs and attrs.endswith("/") and name in ("svg", "iframe", "object"):
             continue
         words = ()
         if attrs and "=" in attrs:
             words = tuple(w for found in NAMES.findall(attrs) for w in NAME_WORD.findall("".join(found).lower()))
-        stack.append((name, words))
-        silent += name in SILENT
+        stack.enter(name, words)
     flush()
     return out
 
@@ -141,13 +177,9 @@ def features(blocks: list[Block]) -> list[list[str]]:
     for k, block in enumerate(blocks):
         text, size = block.text, len(block.text)
         names = {"bias"}
-        tags = [name for name, _ in block.path]
-        names.add("tag " + (tags[-1] if tags else "none"))
-        for name, words in block.path:
-            names.add("in " + name)
-            names.update("class " + w for w in words)
-        if block.path:
-            names.update("own class " + w for w in block.path[-1][1])
+        names.add("tag " + block.tag)
+        names |= block.around
+        names.update("own class " + w for w in block.words)
         words = text.count(" ") + 1
         names.add(f"words {min(6, words.bit_length())}")
         share = block.linked / max(1, size)
