@@ -19,6 +19,14 @@ def test_blocks_of_broken_pages():
     assert texts("<div>&lt;p&gt;\u00a0 x \n y</div></div></p>") == ["<p> x y"]
 
 
+def test_deep_pages_take_linear_time():
+    import time
+    start = time.process_time()
+    deep = "<div class=a><b>x</b>" * 60_000 + "</td></li>" * 1000 + "<li>" * 20_000 + "end"
+    blocks = htmltext.leaf_blocks(deep)
+    assert len(blocks) == 60_001 and blocks[-1].text == "end" and time.process_time() - start < 20
+
+
 def test_held_out_pages(model):
     blocks = wrong = 0
     for page, labels in pagemaker.pages(150, seed=41):
