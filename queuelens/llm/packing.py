@@ -45,7 +45,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(tokenizer), end_id.to_bytes(4, "little")
         part, made, seen = TaskContext.get().partitionId(), 0, np.zeros(length + 1, np.int64)
-        for batch in slices(batches, "text", 3 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids, rows = [], []
             for row, x in enumerate(encoder.encode(batch.column("text").to_pylist())):
                 x += end

@@ -63,7 +63,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(tokenizer), end_id.to_bytes(4, "little")
         part, before = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", 3 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             starts = before + np.cumsum(n) - n
