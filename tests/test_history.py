@@ -83,8 +83,8 @@ def test_both_forms_match_a_plain_fold(spark):
     events = spark.createDataFrame(rows, "request int, ms long, seq int, state string, actor string").withColumn(
         "ts", F.timestamp_millis("ms"))
     fields = ["SLA_Tempo_Solicitante_Dias", "SLA_Tempo_Regulador_Dias", "SLA_Interacoes_Regulacao", "SLA_Desfecho_Atingido"]
-    for segments in (None, 13):
-        got = {r.request: tuple(r[f] for f in fields) for r in history.ownership(events, NOW, segments).collect()}
+    for days in (30, 0.2):
+        got = {r.request: tuple(r[f] for f in fields) for r in history.ownership(events, NOW, days).collect()}
         assert got == want
     docs = [{"numeroCMCE": r, "situacao": "X", "evolucoes": [
         {"data": t, "situacaoAtual": s} for t, _, s in e]} for r, e in data.items()]
