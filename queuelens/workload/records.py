@@ -46,7 +46,8 @@ DOC_DUCK = DOC.format(ms="epoch_ms(o_orderdate)")
 
 def documents(spark, sf):
     """(protocolo, conteudo_json, origem_lista) with a four-event history out of order."""
-    s = view(spark, sf, DOC_SPARK)
+    # narrow rows are dealt out before the heavy work per document, in as many partitions as the session uses
+    s = view(spark, sf, DOC_SPARK).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
 
     def items(*pairs):
         return F.array(*[F.struct(F.lit(code).alias("codigo"), F.lit(label).alias("label"), text.alias("texto"))
