@@ -10,8 +10,10 @@ Model
     context, as sorted arrays; scoring a text looks its strings up, from the longest to the shortest.
 
 Training sample
-    Rows with a language and a text, in the order of a hash of the id, up to ``sample_bytes`` per language: a bounded
-    sample (default 1 MB of text per language; a text counts up to that size). At most ``most_langs`` languages are learned (an error beyond), so
+    Rows with a language and a text, in the order of a hash of id and text, up to ``sample_bytes`` per language: a
+    bounded sample (default 1 MB of text per language; a text counts up to that size). The hash at which a language's
+    sample is full is found from sizes alone, in two steps of ``CELLS`` cells of the hash range, so that no text but
+    those up to it is shuffled; a language with less text is taken whole. At most ``most_langs`` languages are learned (an error beyond), so
     the tables sent to the tasks are bounded by ``most_langs * sample_bytes`` strings per order.
 
 Prediction
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import slices, text_of, whole_rows
 
 ORDER = 4
+#: Cells of a step on the way to the hash at which a sample is full, a power of two.
+CELLS = 1 << 12
 
 
 def suffix_codes(line: np.ndarray, length: int) -> np.ndarray:
@@ -145,23 +149,56 @@ class Tables:
         return out
 
 
+def _spot(cells: int) -> Column:
+    """The cell of a key, of ``cells`` in the order of the keys."""
+    return F.shiftright("key", 64 - (cells.bit_length() - 1)) + cells // 2
+
+
+def _full(rows: DataFrame, wanted: dict[str, int] | int, cell: Column) -> dict[str, tuple[int, int]]:
+    """By language the first cell at which the sizes reach what is wanted, and the sizes before it; languages that
+    do not reach it are left out."""
+    goal = F.lit(wanted) if isinstance(wanted, int) else F.create_map(
+        *[F.lit(x) for pair in wanted.items() for x in pair])[F.col("lang")]
+    upto = Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy("lang", cell.alias("cell")).agg(F.sum("size").alias("own"))
+    full = (sums.withColumn("upto", F.sum("own").over(upto)).where(F.col("upto") >= goal)
+            .groupBy("lang").agg(F.min("cell"), F.min(F.col("upto") - F.col("own"))))
+    return {lang: (at, before) for lang, at, before in full.collect()}
+
+
+def _cuts(rows: DataFrame, wanted: int) -> dict[str, int]:
+    """The last of ``CELLS ** 2`` cells of the keys that each language needs, by the sizes of its rows."""
+    coarse = _full(rows, wanted, _spot(CELLS))
+    if not coarse:
+        return {}
+    place = F.create_map(*[F.lit(x) for lang, (at, _) in coarse.items() for x in (lang, at)])[F.col("lang")]
+    fine = _full(rows.where(_spot(CELLS) == place), {lang: wanted - before for lang, (_, before) in coarse.items()},
+                 _spot(CELLS ** 2))
+    return {lang: at for lang, (at, _) in fine.items()}
+
+
+def _at_most(cuts: dict[str, int]) -> Column:
+    if not cuts:
+        return F.lit(True)
+    last = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])[F.col("lang")]
+    return F.coalesce(_spot(CELLS ** 2) <= last, F.lit(True))
+
+
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample_bytes: int = 1 << 20, most_langs: int = 256) -> Tables:
     """Learn from the rows where ``learn`` holds and the language is not null; see the module text for the bound."""
-    size = F.octet_length("text")
+    size = F.least(F.octet_length("text"), F.lit(sample_bytes))
     order = Window.partitionBy("lang").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
-        F.xxhash64(F.col(id_col), F.lit("langid")).alias("key"))
-    totals = dict(rows.groupBy("lang").agg(F.sum(size)).limit(most_langs + 1).collect())
-    if len(totals) > most_langs:
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).withColumn(
+        "key", F.xxhash64("id", "text", F.lit("langid")))
+    langs = [r[0] for r in rows.select("lang").distinct().limit(most_langs + 1).collect()]
+    if len(langs) > most_langs:
         raise ValueError(f"more than {most_langs} languages")
-    if not totals:
+    if not langs:
         return Tables([], [], [], [], [])
-    # twice the share of the hash range that a language's sample takes, so that uneven texts fill it all the same
-    share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, 2.0 * sample_bytes / max(1, n))])
-    spot = F.shiftrightunsigned("key", 11) / float(1 << 53)
-    picked = (rows.where(spot < share[F.col("lang")])
+    cuts = _cuts(rows.withColumn("size", size), sample_bytes)
+    picked = (rows.where(_at_most(cuts))
               .withColumn("before", F.coalesce(F.sum(size).over(order), F.lit(0)))
               .where(F.col("before") < sample_bytes)
               .select("lang", "key", "id", F.substring("text", 1, sample_bytes).alias("text")))

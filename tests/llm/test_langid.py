@@ -77,3 +77,36 @@ def test_documents(edge_docs, no_docs):
     kept = langid.keep_known(extra, tables)
     assert kept.columns == extra.columns and kept.filter("doc_id = 8").count() == 3
     assert langid.fit(no_docs, F.lit(True)).langs == [] and langid.keep_known(no_docs, tables).count() == 0
+
+
+def test_huge_documents_do_not_starve_the_sample(spark, monkeypatch):
+    """100 short texts beside one huge text: the sample is filled in hash order all the same."""
+    rows = [(k, f"kalomi lomika {k}", "aa") for k in range(100)] + [(500, "mika " * 4_000_000, "aa")]
+    rows += [(k, f"zuzu tete {k}", "bb") for k in range(1000, 1005)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    keys = {r.doc_id: r.key for r in docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit("langid")).alias("key")).collect()}
+    found = []
+    monkeypatch.setattr(langid.Tables, "fit", classmethod(lambda cls, samples: found.append(samples)))
+    langid.fit(docs, F.lit(True), sample_bytes=1000)
+    want, held = [], 0
+    for doc_id, text, _ in sorted(rows[:101], key=lambda r: keys[r[0]]):
+        if held < 1000:
+            want.append(text[:1000])
+            held += len(text[:1000])
+    assert found[0]["aa"] == want and len(found[0]["bb"]) == 5
+
+
+def test_null_and_repeated_ids_fill_the_sample(spark, monkeypatch):
+    """Rows are drawn one by one, also where all of them have one id or none."""
+    rows = [(7 if k % 2 else None, f"kalomi lomika number {k:06d}", "ab"[k % 2]) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    found = []
+    monkeypatch.setattr(langid.Tables, "fit", classmethod(lambda cls, samples: found.append(samples)))
+    picked = []
+    whole = langid._at_most
+    monkeypatch.setattr(langid, "_at_most", lambda cuts: picked.append(cuts) or whole(cuts))
+    langid.fit(docs, F.lit(True), sample_bytes=2700)
+    assert {lang: sum(map(len, texts)) for lang, texts in found[0].items()} == {"a": 2700, "b": 2700}
+    # no more rows than the sample holds pass the filter, but for those of the last cell
+    key = F.xxhash64("doc_id", "text", F.lit("langid"))
+    assert docs.withColumn("key", key).where(whole(picked[0])).count() <= 202
