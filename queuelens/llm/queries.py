@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (htmltext, langid, licences, mixing, neighbours, packing, perplexity, simhash, tokenfile,
-               urlfilter)
+from . import (htmltext, langid, licences, merkle, mixing, neighbours, packing, perplexity, simhash, tokenfile,
+               urlfilter, warc, whitening)
 from .common import read_table
 
 
@@ -106,6 +106,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "lang", "perplexity")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.read(spark, warc.write(pages)).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    return merkle.audited(docs).select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+                                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, most=16).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_neighbours": (op1_neighbours, None),
     "op2_simhash": (op2_simhash, None),
@@ -117,4 +134,7 @@ QUERIES = {
     "op8_licences": (op8_licences, None),
     "op9_mixing": (op9_mixing, mixing.SQL),
     "op10_quality": (op10_quality, None),
+    "op11_warc": (op11_warc, warc.SQL),
+    "op12_manifest": (op12_manifest, merkle.SQL),
+    "op13_whitening": (op13_whitening, None),
 }
