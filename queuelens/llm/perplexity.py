@@ -309,7 +309,12 @@ def scored(docs: DataFrame, models: DataFrame, text_col: str = "text", lang_col:
     out = f"row {row_type}, lang string, {', '.join(f'{c} bigint' for c in COUNTS)}, bits double"
     context = docs.sparkSession.sparkContext
     parts = []
-    for group in model_groups(models, group_bytes):
+    groups = model_groups(models, group_bytes)
+    known = [lang for group in groups for lang in group]
+    # languages without any n-gram (null and empty texts) have no model; their rows come last, without a figure
+    if not groups or not frame.where(~F.col("lang").isin(known)).select("lang").isEmpty():
+        groups.append([])
+    for group in groups:
         rows: dict[str, list] = {}
         for r in models.where(F.col("lang").isin(group)).toLocalIterator():
             rows.setdefault(r[0], []).append(tuple(r[1:2]) + tuple(bytes(x) for x in r[2:]))
@@ -321,7 +326,7 @@ def scored(docs: DataFrame, models: DataFrame, text_col: str = "text", lang_col:
                 langs = batch.column("lang").to_pylist()
                 texts = [text_of(t) for t in batch.column("text").to_pylist()]
                 bits = np.full(len(texts), np.nan)
-                for lang in set(langs):
+                for lang in set(langs) & models.keys():
                     at = [k for k, own in enumerate(langs) if own == lang]
                     bits[at] = models[lang].bits([texts[k] for k in at])
                 counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, len(COUNTS))
@@ -329,9 +334,8 @@ def scored(docs: DataFrame, models: DataFrame, text_col: str = "text", lang_col:
                     [batch.column("row"), batch.column("lang"), *(pa.array(c) for c in counts.T),
                      pa.array(bits, from_pandas=True)], names=["row", "lang", *COUNTS, "bits"])
 
-        parts.append(frame.where(F.col("lang").isin(group)).mapInArrow(score, out))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], out)
+        own = F.col("lang").isin(group) if group else ~F.col("lang").isin(known)
+        parts.append(frame.where(own).mapInArrow(score, out))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.union(part)

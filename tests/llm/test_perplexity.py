@@ -101,3 +101,14 @@ def test_edge_cases(edge_docs, no_docs):
     good = p.keep_good(extra)
     assert good.columns == extra.columns and good.filter("doc_id = 8").count() == 3
     assert p.judged(no_docs).count() == 0 and p.keep_good(no_docs).count() == 0
+
+
+def test_no_row_is_lost_for_want_of_a_model(spark, edge_docs):
+    prose = edge_docs.filter("doc_id = 8").first().text
+    schema = "doc_id bigint, text string, lang string"
+    for rows in ([(1, None, "xx"), (2, prose, "en"), (3, "", "xx"), (4, "", None)], [(1, None, "xx")], [(1, None, None), (2, "", "")]):
+        docs = spark.createDataFrame(rows, schema)
+        for keep in (True, False):
+            got = {r.row.doc_id: (r.n_words > 0, r.base_failed, r.kept) for r in p.judged(docs, keep=keep).collect()}
+            assert got == {k: (bool(t), not t, bool(t)) for k, t, _ in rows}
+        assert p.keep_good(docs).count() == sum(bool(t) for _, t, _ in rows)
