@@ -16,7 +16,7 @@ The result is exact (recall 1): bounds only skip pairs that cannot be among the
 
 Edge cases: vectors that are null, empty or zero or hold null or non-finite components take no part, nor do null ids;
 vectors of different lengths never meet; repeated rows of an id count once, with the best score, and no row meets its
-own id; ties go to the smaller id; a query without candidates has no rows; an empty table gives an empty result.
+own id; ties go to the smaller id, also among products beyond the range of doubles, which count as infinite; a query without candidates has no rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,12 @@ EXACT_RUN = 1024
 TILE_QUERIES, TILE_ROWS = 256, 4096
 
 
+def normalised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled by powers of two to a largest entry in [0.5, 1), and the exponents; bounds then never overflow."""
+    exponent = np.frexp(np.abs(x).max(axis=1))[1]
+    return np.ldexp(x, -exponent[:, None]), exponent
+
+
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 values, scale, norm of the approximation and norm of the error of each row of a double matrix."""
     top = np.abs(x).max(axis=1)
@@ -49,8 +55,17 @@ def tile_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise inner products; the same two rows give the same bits wherever they stand."""
-    return np.multiply(a, b).sum(axis=1)
+    """Row-wise inner products; the same two rows give the same bits wherever they stand.
+
+    A product or sum beyond the range of doubles counts as the infinity of the whole sum's sign.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.multiply(a, b).sum(axis=1)
+        over = np.flatnonzero(~np.isfinite(out))
+        if len(over):
+            (a, i), (b, j) = normalised(a[over]), normalised(b[over])
+            out[over] = np.ldexp(np.multiply(a, b).sum(axis=1), i + j)
+    return out
 
 
 def block_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
@@ -58,12 +73,14 @@ def block_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
     """(query position, candidate id, score): the k best candidates of each query of one group."""
     most = int(np.unique(c_ids, return_counts=True)[1].max(initial=1))
     need = (k + 1) * most  # repeated ids count once, the own id not at all
-    qc, c_scale, c_norm, c_err = quantise(c)
+    scaled, c_exponent = normalised(c)
+    qc, c_scale, c_norm, c_err = quantise(scaled)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for q_at in range(0, len(q), TILE_QUERIES):
         rows = q[q_at:q_at + TILE_QUERIES]
         own = q_ids[q_at:q_at + TILE_QUERIES]
-        qq, q_scale, q_norm, q_err = quantise(rows)
+        scaled, q_exponent = normalised(rows)
+        qq, q_scale, q_norm, q_err = quantise(scaled)
         floor = np.full((len(rows), need), -np.inf)  # the largest lower bounds so far
         heap: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for c_at in range(0, len(c), TILE_ROWS):
@@ -71,11 +88,14 @@ def block_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
             mid = tile_product(qq, qc[part]) * q_scale[:, None] * c_scale[None, part]
             off = q_err[:, None] * (c_norm + c_err)[None, part] + q_norm[:, None] * c_err[None, part]
             off = off * (1 + 1e-9) + 1e-12 * (q_norm + q_err)[:, None] * (c_norm + c_err)[None, part]
-            low = mid - off
+            # as the scores are rounded: to infinity, and to zero with the least positive number of slack per product
+            both, slack = q_exponent[:, None] + c_exponent[None, part], c.shape[1] * 5e-324
+            with np.errstate(over="ignore", under="ignore"):
+                low, high = np.ldexp(mid - off, both) - slack, np.ldexp(mid + off, both) + slack
             cut = min(need, low.shape[1])
             floor = np.partition(np.concatenate(
                 (floor, np.partition(low, low.shape[1] - cut, axis=1)[:, low.shape[1] - cut:]), axis=1), cut, axis=1)[:, cut:]
-            i, j = np.nonzero((mid + off >= floor.min(axis=1)[:, None]) & (own[:, None] != c_ids[None, part]))
+            i, j = np.nonzero((high >= floor.min(axis=1)[:, None]) & (own[:, None] != c_ids[None, part]))
             for at in range(0, len(i), 1 << 16):
                 a, b = i[at:at + (1 << 16)], j[at:at + (1 << 16)] + c_at
                 heap.append((a, c_ids[b], exact_scores(rows[a], c[b])))

@@ -63,3 +63,27 @@ def test_search_with_edge_cases(spark):
     assert len({i for _, i, _ in got[100]}) == 5 and 100 not in {i for _, i, _ in got[100]}
     empty = vectors.filter("false")
     assert n.nearest(empty, vectors, 5).count() == 0 and n.nearest(vectors, empty, 5).count() == 0
+
+
+@pytest.mark.parametrize("low, high", [(-300, -290), (-150, 150), (150, 300), (-300, 300)])
+def test_magnitudes_from_the_smallest_to_the_largest(low, high):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6)) * 10.0 ** rng.integers(low, high + 1, (300, 1))
+    ids = np.arange(300)
+    at, found, scores = n.block_best(ids[::10], x[::10], ids, x, 6)
+    for k, q in enumerate(ids[::10]):
+        every = n.exact_scores(np.repeat(x[q:q + 1], 300, axis=0), x)
+        assert not np.isnan(every).any()
+        want = sorted(((-every[o], o) for o in ids if o != q))[:6]
+        assert [(-s, f) for f, s in zip(found[at == k], scores[at == k])] == want
+
+
+def test_products_beyond_doubles(spark):
+    rows = [(k, [1e200 * (k + 1), 0.0]) for k in range(5)] + [(20, [-1e200, 1e-10]), (40, [1e-10, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in n.nearest(vectors.where("vec_id % 20 = 0"), vectors, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    inf = float("inf")
+    assert got[0] == [(1, inf), (2, inf), (3, inf)] and got[40] == [(k, 1e-10 * (1e200 * (k + 1))) for k in (4, 3, 2)]
+    assert [i for i, _ in got[20]] == [40, 0, 1] and got[20][1][1] == -inf
