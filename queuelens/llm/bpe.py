@@ -4,13 +4,15 @@ The tokenizer never joins characters across the place where white space begins,
 punctuation after it, and never a single line end with what stands around it. A text whose words are parted by single
 spaces and line ends is therefore the ids of its words in a row, each with the space before it if there is one. The
 distinct words of a batch of texts are looked up or encoded once, and the texts' ids are gathered from them. Any other
-text (further white space or control characters, two separators in a row, separators at its ends) is encoded whole.
+text (further white space or control characters, two separators in a row, separators at its ends, a string that is an added
+token of the vocabulary) is encoded whole.
 """
 
 from __future__ import annotations
 
 import array
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the library finds these strings in a text before anything else
+        self.whole = "|".join([WHOLE, *(re.sub(r"[^A-Za-z0-9]", lambda m: rf"\x{{{ord(m[0]):x}}}", t) for t in added)])
         self.most_cached = most_cached
         self.words = pa.array([], pa.string())
         self.ids, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int32)
@@ -87,7 +91,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """As ``plain`` (null: empty text), with the memory."""
         column = pa.array([text_of(t) for t in texts], pa.string())
-        odd = pc.match_substring_regex(column, WHOLE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(column, self.whole).to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
         for rows, encode in ((np.flatnonzero(~odd), self._gathered),
                              (np.flatnonzero(odd), lambda x: self.plain(x.to_pylist()))):

@@ -21,7 +21,6 @@ PIECES = ["a", "Bc", "dé", "ß", "1", "²", " ", "  ", "\n", "\n\n", "\t", "\r\
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -32,6 +31,18 @@ def test_encoder_equals_library(texts):
     assert small.encode(texts) == small.plain(texts)
 
 
+def test_added_tokens_are_as_the_library_has_them(library):
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "one<|endoftext|>\ntwo", "<|endoftext", "plain words only"]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in Encoder.of(PATH).encode(texts)] == [library(t) for t in texts]
+    assert library(texts[1]).count(50256) == 1
+
+
+def test_texts_of_the_table_are_as_the_library_has_them(spark, library, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    texts += [t.replace(" ", "  ", 3) + "<|endoftext|>" for t in texts[:50]]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in Encoder.of(PATH).encode(texts)] == [library(t) for t in texts]
+
+
 def test_encoder_with_a_full_memory():
     rng = random.Random(4)
     texts = [" ".join("".join(rng.choices("abcé,.'", k=rng.randint(1, 6))) for _ in range(40)) for _ in range(60)]
