@@ -10,8 +10,8 @@ Files
     names, since a ``.zst`` ending would make the text reader apply a codec of its own.)
 
 Dictionary
-    Trained on the first ``SAMPLE_BYTES`` of up to ``SAMPLE_RECORDS`` records, those with the smallest hashes over the
-    whole table. It steers the compression only. Too few records to train on give an archive without the dictionary frame.
+    Trained on the first ``SAMPLE_BYTES`` of about ``SAMPLE_RECORDS`` records (at most twice as many), those with the
+    smallest hashes over the whole table. It steers the compression only. Too few records to train on give an archive without the dictionary frame.
 
 Copies
     Each row is compressed once, as a response, and stored with its digests. Rows with equal payloads (SHA-256 and
@@ -197,8 +197,11 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     spark = pages.sparkSession
     rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"),
                         F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b"")).alias("payload"))
-    chosen = (rows.select(F.xxhash64("id", "payload").alias("h"), F.substring("payload", 1, SAMPLE_BYTES).alias("payload"))
-              .orderBy("h", "payload").limit(SAMPLE_RECORDS).collect())  # at most SAMPLE_RECORDS * SAMPLE_BYTES
+    # a hash range that about SAMPLE_RECORDS rows fall into; the limit bounds what repeated rows could add
+    share = int(min(1.0, SAMPLE_RECORDS / max(1, rows.count())) * (1 << 40)) + 1
+    chosen = (rows.where(F.pmod(F.xxhash64("id", "payload"), F.lit(1 << 40)) < share)
+              .select(F.substring("payload", 1, SAMPLE_BYTES).alias("payload"))
+              .limit(2 * SAMPLE_RECORDS).collect())
     dictionary = trained([response(k, k, "http://example.org/", bytes(r.payload), sha1_base32(r.payload), date)
                           for k, r in enumerate(chosen)])
     coded_schema = pa.schema([("at", pa.int64()), ("id", pa.int64()), ("url", pa.string()), ("digest", pa.string()),
