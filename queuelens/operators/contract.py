@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import sqltext as q
 from ..rules import DEFAULT_RULES, Rules
 from ..schema import LEGACY_COLUMNS, REQUIRED_COLUMNS
+from .prefixscan import in_pieces
 
 
 class ContractError(ValueError):
@@ -151,15 +152,11 @@ def running_breaker(rows: DataFrame, run: str = "run", seq: str = "seq", failed:
                     rules: Rules = DEFAULT_RULES, block: int = 1_000_000) -> DataFrame:
     """Running totals per run in ``seq`` order and the rows where the breaker would open.
 
-    ``seq`` numbers the rows of a run without repeats. Its span is cut into as many pieces of
-    equal width as the run has blocks of ``block`` rows, whether the numbers are dense or
-    sparse. Each piece is summed on its own; a window over the piece totals gives every
-    piece its offset. No task sees a whole run.
+    ``seq`` numbers the rows of a run without repeats, dense, sparse or in clusters. Runs of more than ``block`` rows
+    are cut into pieces of that many rows by rank. Each piece is summed on its own; a window over the piece totals
+    gives every piece its offset. No task sees a whole run.
     """
-    spans = rows.groupBy(run).agg(F.min(seq).alias("__lo"), F.max(seq).alias("__hi"), F.ceil(F.count(F.lit(1)) / block).alias("__k"))
-    width = F.ceil((F.col("__hi") - F.col("__lo") + 1) / F.col("__k"))
-    cut = (rows.join(spans, run).withColumn("__piece", F.floor((F.col(seq) - F.col("__lo")) / width))
-           .drop("__lo", "__hi", "__k"))
+    cut = in_pieces(rows, [run], [seq], block)
     bad = F.coalesce(F.col(failed).cast("int"), F.lit(0))
     local = Window.partitionBy(run, "__piece").orderBy(seq).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

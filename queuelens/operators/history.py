@@ -11,20 +11,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import python_round
 from ..states import MS_PER_DAY, REGULATOR, REQUESTER, is_final, new_owner, outcome_kind
+from .prefixscan import in_pieces
 
 
-def _segment_summaries(events: DataFrame, segment_days: float) -> DataFrame:
-    """Fold the ordered events of each request, one summary row per (request, segment).
+OWNERS = {"REQUESTER": REQUESTER, "REGULATOR": REGULATOR}
+#: Rows of one request that a task folds in one go.
+BLOCK = 1_000_000
 
-    A window over a whole request would put a request with very many events into one task.
-    Segments are stretches of time, so they follow each other like the events, and one
-    exchange by (request, segment) deals them out. Results do not depend on their length.
-    """
-    span = max(1, int(segment_days * MS_PER_DAY))
-    narrow = events.select(
-        "request", F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("ms"), "seq", "state", "actor")
-    cut = narrow.withColumn("segment", F.floor(F.col("ms") / F.lit(span)))
-    order = Window.partitionBy("request", "segment").orderBy("ms", "seq")
+
+def _narrow(events: DataFrame) -> DataFrame:
+    return events.select("request", F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("ms"), "seq", "state", "actor")
+
+
+def _folded(events: DataFrame, by: list[str], block: int) -> DataFrame:
+    """One summary row per ``by`` key and piece; pieces follow each other like the events and have a bounded size."""
+    cut = in_pieces(events, by, ["ms", "seq"], block)
+    keys = [*by, "__piece"]
+    order = Window.partitionBy(*keys).orderBy("ms", "seq")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     steps = (cut.withColumns({"mark": new_owner(F.col("state")), "final": is_final(F.col("state"))})
              .withColumns({"delta": F.col("ms") - F.lag("ms").over(order),
@@ -36,8 +39,8 @@ def _segment_summaries(events: DataFrame, segment_days: float) -> DataFrame:
     def time_where(condition: Column) -> Column:
         return F.sum(F.when(condition, delta).otherwise(0))
 
-    return steps.groupBy("request", "segment").agg(
-        F.min(F.struct("ms", "seq")).alias("start"), F.max("ms").alias("end_ms"),
+    return steps.groupBy(*keys).agg(
+        F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"),
         time_where(owner.isNull()).alias("inherited_ms"),
         time_where(owner == REQUESTER).alias("requester_ms"),
         time_where(owner == REGULATOR).alias("regulator_ms"),
@@ -50,32 +53,68 @@ def _segment_summaries(events: DataFrame, segment_days: float) -> DataFrame:
         F.count(F.lit(1)).alias("n_events"))
 
 
-def ownership(events: DataFrame, as_of, segment_days: float = 30) -> DataFrame:
-    """Days per owner, outcome, milestones and actors, one row per request.
+def merged(summaries: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Summaries of consecutive stretches (numbered by ``order``) as one summary per ``by`` key.
 
-    Events after the first final state are ignored. Without a final state the time up to
-    ``as_of`` goes to the present owner. A missing event time counts as epoch 0.
+    A summary holds first and last time, the time under each owner, the time before the first hand-over
+    (``inherited_ms``, whose owner the stretches before decide), the last hand-over and the first final state. Merging
+    is associative: stretches can be merged in any grouping that keeps their order.
     """
-    summaries = _segment_summaries(events, segment_days)
-    order = Window.partitionBy("request").orderBy("start")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    place = Window.partitionBy(*by).orderBy(order)
+    before = place.rowsBetween(Window.unboundedPreceding, -1)
     linked = (summaries.withColumns({
-        "carried": F.coalesce(F.last("last_mark", ignorenulls=True).over(before), F.lit(REQUESTER)),
-        "gap_ms": F.coalesce(F.col("start.ms") - F.lag("end_ms").over(order), F.lit(0)),
+        "carried": F.last("last_mark", ignorenulls=True).over(before),
+        "gap_ms": F.coalesce(F.col("start_ms") - F.lag("end_ms").over(place), F.lit(0)),
         "ended": F.coalesce(F.max(F.col("outcome").isNotNull()).over(before), F.lit(False))})
         .filter(~F.col("ended")))
-    inherited = F.col("gap_ms") + F.col("inherited_ms")
-    total = linked.groupBy("request").agg(
-        F.sum(F.col("requester_ms") + F.when(F.col("carried") == REQUESTER, inherited).otherwise(0))
-        .alias("requester_ms"),
-        F.sum(F.col("regulator_ms") + F.when(F.col("carried") == REGULATOR, inherited).otherwise(0))
-        .alias("regulator_ms"),
+    handed = F.col("gap_ms") + F.col("inherited_ms")
+
+    def time_of(owner: str) -> Column:
+        return F.sum(F.col(f"{owner.lower()}_ms") + F.when(F.col("carried") == OWNERS[owner], handed).otherwise(0))
+
+    return linked.groupBy(*by).agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
+        F.sum(F.when(F.col("carried").isNull(), handed).otherwise(0)).alias("inherited_ms"),
+        time_of("REQUESTER").alias("requester_ms"), time_of("REGULATOR").alias("regulator_ms"),
         F.sum("interactions").alias("interactions"),
-        F.max_by(F.coalesce("last_mark", "carried"), "start").alias("owner"),
-        F.max("end_ms").alias("end_ms"), F.max("outcome").alias("outcome"),
-        F.bool_or("authorised").alias("authorised"), F.bool_or("scheduled").alias("scheduled"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("actors")))).alias("actors"),
-        F.sum("n_events").alias("n_events"))
+        F.max_by("last_mark", F.when(F.col("last_mark").isNotNull(), F.col(order))).alias("last_mark"),
+        F.max("outcome").alias("outcome"), F.bool_or("authorised").alias("authorised"),
+        F.bool_or("scheduled").alias("scheduled"),
+        F.array_distinct(F.flatten(F.collect_list("actors"))).alias("actors"), F.sum("n_events").alias("n_events"))
+
+
+def segment_of(ms: Column, segment_days: float) -> Column:
+    """Number of the stretch of time that an instant lies in."""
+    return F.floor(ms / F.lit(max(1, int(segment_days * MS_PER_DAY)))).cast("bigint")
+
+
+def with_segment(events: DataFrame, segment_days: float) -> DataFrame:
+    return events.withColumn("segment", segment_of(F.coalesce(F.unix_millis("ts"), F.lit(0)), segment_days))
+
+
+def segment_summaries(events: DataFrame, segment_days: float = 30, block: int = BLOCK) -> DataFrame:
+    """One summary per (request, segment of time); ``merged`` over the segments gives the request's."""
+    narrow = _narrow(events).withColumn("segment", segment_of(F.col("ms"), segment_days))
+    keys = ["request", "segment"]
+    return merged(_folded(narrow, keys, block), keys, "__piece")
+
+
+def ownership(events: DataFrame, as_of, block: int = BLOCK) -> DataFrame:
+    """Days per owner, outcome, milestones and actors, one row per request.
+
+    Events after the first final state are ignored. Without a final state the time up to
+    ``as_of`` goes to the present owner. A missing event time counts as epoch 0. Requests of more than ``block`` events
+    are folded in pieces by rank, however their events lie in time; the figures do not depend on ``block``.
+    """
+    return ownership_figures(_folded(_narrow(events), ["request"], block), "__piece", as_of)
+
+
+def ownership_figures(summaries: DataFrame, order: str, as_of) -> DataFrame:
+    """Figures per request from the summaries of its stretches; a request belongs to the requester at first."""
+    whole = merged(summaries, ["request"], order)
+    total = whole.withColumns({"requester_ms": F.col("requester_ms") + F.col("inherited_ms"),
+                               "owner": F.coalesce("last_mark", F.lit(REQUESTER)),
+                               "actors": F.array_sort("actors")})
     now_ms = F.unix_millis(F.lit(str(as_of)).cast("timestamp"))
     return _figures(total, F.col("outcome"), now_ms)
 

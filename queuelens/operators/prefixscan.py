@@ -62,18 +62,19 @@ def in_pieces(df: DataFrame, by: list[str], order: list[str], block: int = 1_000
     Keys of up to ``block`` rows are one piece and move in the caller's shuffle only. The rows of larger ones are ranked
     first. There are at most ``most_heavy`` of those, as ``block`` grows until that holds, so their keys can be broadcast.
     """
-    counts = stored(df.groupBy(*by).count().where(F.col("count") > block).select(*by, "count"), "heavy-keys")
+    large_keys = df.groupBy(*by).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > block)
+    if large_keys.isEmpty():
+        return df.withColumn(piece, F.lit(0).cast("bigint"))
+    counts = stored(large_keys, "heavy-keys")
     number = counts.count()
     while number > most_heavy:
         block *= 2
         counts = counts.where(F.col("count") > block)
         number = counts.count()
-    if not number:
-        return df.withColumn(piece, F.lit(0).cast("bigint"))
     heavy = F.broadcast(counts.select(*[F.col(k).alias(f"__h_{k}") for k in by]))
     same = F.lit(True)
     for key in by:
         same = same & F.col(key).eqNullSafe(F.col(f"__h_{key}"))
     large = ranked(df.join(heavy, same, "left_semi"), by, order, "__rank", "__rows")
-    cut = large.withColumn(piece, F.floor(F.col("__rank") / block)).drop("__rank", "__rows")
+    cut = large.withColumn(piece, F.floor(F.col("__rank") / F.lit(block))).drop("__rank", "__rows")
     return df.join(heavy, same, "left_anti").withColumn(piece, F.lit(0).cast("bigint")).unionByName(cut)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import day_first_timestamp, sql_round, strip
 from .dedup import top_per_group
+from .prefixscan import stored
 
 # Name parts of sensitive and identifying columns.
 SENSITIVE_HINTS = ["cpf", "nome", "mae", "cartao", "sus", "logradouro", "bairro", "cep",
@@ -76,6 +77,35 @@ def samples(df: DataFrame, order: Sequence[str], n: int = 3) -> DataFrame:
         F.to_json(F.transform(listed, lambda s: s["value"])).alias("amostra_valores"))
 
 
+def frequent_values(df: DataFrame, n: int = 5, most: int = 10_000, head: int = 16) -> DataFrame:
+    """(column, value, Quantidade) of the ``n`` most frequent values per column, ties by value.
+
+    Values are counted by 128 bits of hashes beside the first ``head`` characters, so that what is shuffled does not
+    depend on the texts' lengths. The n-th row of a column by count and head cuts it to its contenders; only their texts
+    are fetched. If more than ``most`` (or twice what is asked for) tie with the n-th, the head is made longer: heads that
+    hold whole values leave no tie.
+    """
+    cells = as_pairs(df).filter("value IS NOT NULL").select(
+        "column", "value", F.xxhash64("value").alias("a"), F.xxhash64("value", F.lit(1)).alias("b"))
+    bound = max(most, 2 * n * len(df.columns))
+    while True:
+        counted = stored(cells.groupBy("column", "a", "b", F.substring("value", 1, head).alias("head")).agg(
+            F.count(F.lit(1)).alias("Quantidade")), "value-hashes")
+        best = Window.partitionBy("column").orderBy(F.desc("Quantidade"), "head")
+        cuts = (counted.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n)
+                .groupBy("column").agg(F.max_by(F.struct("Quantidade", "head"), "place").alias("cut")))
+        q, cut = F.col("Quantidade"), F.col("cut")
+        met = counted.join(F.broadcast(cuts), "column").filter(  # one row per column
+            (q > cut["Quantidade"]) | ((q == cut["Quantidade"]) & (F.col("head") <= cut["head"])))
+        contenders = stored(met.select("column", "a", "b"), "frequent-hashes")
+        if contenders.count() <= bound:
+            break
+        head *= 8
+    texts = (cells.join(F.broadcast(contenders), ["column", "a", "b"])  # at most ``bound`` rows
+             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("Quantidade")))
+    return top_per_group(texts, "column", [F.desc("Quantidade"), F.col("value")], n)
+
+
 def top_values(frequencies: DataFrame, n: int = 5) -> DataFrame:
     """Most frequent values per column as JSON, with the mode and its count; ties by value."""
     top = top_per_group(frequencies.filter("value IS NOT NULL"), "column",
@@ -302,10 +332,9 @@ def observations() -> Column:
 def profile(df: DataFrame, order: Sequence[str], as_of, frequencies: DataFrame | None = None) -> DataFrame:
     """One row per column with all figures. ``order`` gives the source order for samples.
 
-    Frequencies (``value_frequency``) serve the most frequent values only; pass a frame of
-    them if there is one already.
+    Frequencies serve the most frequent values only; pass a frame of them (``value_frequency``) if there is one already.
     """
-    freq = value_frequency(df) if frequencies is None else frequencies
+    freq = frequent_values(df) if frequencies is None else frequencies
     parts = [counts(df), top_values(freq), samples(df, order)]
     if columns_of(df, TEXT):
         parts += [text_stats(df), date_like(df)]

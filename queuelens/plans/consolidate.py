@@ -11,6 +11,7 @@ from ..operators.contract import with_errors
 from ..operators.dedup import keep_last
 from ..schema import DIRECT_IDENTIFIERS, TEXT_EXPORT_COLUMNS
 from ..sources.files import load_csv, write_parquet
+from ..sources.layout import can_cluster, write_clustered
 from .flatten import canonical, flatten, typed
 
 
@@ -48,12 +49,20 @@ def consolidate(spark: SparkSession, pattern: str, salt: str) -> tuple[DataFrame
 def run_consolidation(spark: SparkSession, pattern: str, target: str, salt: str) -> dict[str, int]:
     rows, errors, seen = consolidate(spark, pattern, salt)
     kept = Observation("kept")
-    write_parquet(rows.observe(kept, F.count(F.lit(1)).alias("rows")), target)
+    _write(rows.observe(kept, F.count(F.lit(1)).alias("rows")), target)
     loaded = seen.get["rows"]
     return {"loaded": loaded, "kept": kept.get["rows"], "removed": loaded - kept.get["rows"],
             "skipped_files": errors.count()}
 
 
+def _write(rows: DataFrame, target: str) -> None:
+    """Clustered by date and list where the table has them, so that filters on those skip row groups."""
+    if can_cluster(rows):
+        write_clustered(rows, target)
+    else:
+        write_parquet(rows, target)
+
+
 def convert_raw(raw: DataFrame, as_of, salt: str) -> tuple[DataFrame, DataFrame]:
     """Raw documents to the typed request table and the rows that could not be converted.
 
@@ -76,5 +85,5 @@ def run_conversion(raw: DataFrame, target: str, as_of, salt: str) -> dict[str, i
     done = Observation("converted")
     checked = _convertible(raw).observe(done, F.count_if("usable").alias("rows"),
                                         F.count_if(~F.col("usable")).alias("errors"))
-    write_parquet(typed(canonical(flatten(checked.filter("usable"), as_of, salt))), target)
+    _write(typed(canonical(flatten(checked.filter("usable"), as_of, salt))), target)
     return {"converted": done.get["rows"], "errors": done.get["errors"]}

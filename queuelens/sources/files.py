@@ -67,6 +67,18 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.globStatus(where) or [] if s.isFile())
 
 
+def list_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match a glob."""
+    fs, where = _file_system(spark, pattern)
+    return sorted(s.getPath().toString() for s in fs.globStatus(where) or [] if s.isDirectory())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder with all it holds."""
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
 def _headers(spark: SparkSession, pattern: str) -> dict[str, str]:
     """First line of every non-empty file of a glob, in one job."""
     lines = spark.read.text(pattern).select(

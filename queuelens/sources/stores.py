@@ -22,8 +22,9 @@ NO_KEY = "SEM_PROTOCOLO_"
 #: Key and change stamp of a parsed document ``__v``.
 KEY_OF = "try_variant_get(__v, '$.numeroCMCE', 'string')"
 STAMP_OF = "coalesce(try_variant_get(__v, '$.dataAlterouUltimaSituacao', 'bigint'), 0L)"
-RAW_SCHEMA = ("protocolo STRING, data_captura TIMESTAMP, data_alteracao BIGINT, conteudo_json STRING, "
-              "origem_lista STRING, batch_id BIGINT")
+RAW_SCHEMA = T.StructType([T.StructField("protocolo", T.StringType()), T.StructField("data_captura", T.TimestampType()),
+                           T.StructField("data_alteracao", T.LongType()), T.StructField("conteudo_json", T.StringType()),
+                           T.StructField("origem_lista", T.StringType())])
 DEAD_SCHEMA = "raw STRING, errors ARRAY<STRING>, origem_lista STRING, batch_id BIGINT"
 
 

@@ -22,13 +22,13 @@ from ..rules import DEFAULT_RULES, Rules
 from ..schema import REQUEST_COLUMNS, REQUEST_SCHEMA
 from ..sources import stores
 from ..sources.files import write_parquet
+from ..sources.runs import KeyedStore
 from .run import drain
 
 LANDING_SCHEMA = "conteudo_json STRING, origem_lista STRING"
 MARKS_SCHEMA = "origem_lista STRING, watermark BIGINT"
 SYNC_SCHEMA = "origem_lista STRING, run_id STRING"
-STORED_REQUEST = T.StructType([*REQUEST_SCHEMA.fields, T.StructField("data_alteracao", T.LongType()),
-                               T.StructField("batch_id", T.LongType())])
+STORED_REQUEST = T.StructType([*REQUEST_SCHEMA.fields, T.StructField("data_alteracao", T.LongType())])
 STARTED = "the run did not end"
 
 
@@ -44,6 +44,17 @@ class IngestPaths:
         return f"{self.base}/{name}"
 
 
+def request_store(paths: IngestPaths) -> KeyedStore:
+    """Published request versions; its manifest knows the highest stamp per list."""
+    return KeyedStore(paths.requests, STORED_REQUEST, ("numeroCMCE",), newest=("data_alteracao", "batch_id"),
+                      group="origem_lista", stamp="data_alteracao")
+
+
+def raw_store(paths: IngestPaths) -> KeyedStore:
+    """Captured documents, newest batch first."""
+    return KeyedStore(paths.raw, stores.RAW_SCHEMA, ("protocolo",))
+
+
 @dataclass
 class Run:
     """Counters of one run; they grow with every micro-batch."""
@@ -104,14 +115,14 @@ def publish(batch: DataFrame, batch_id: int, run: Run, paths: IngestPaths, as_of
         run.bytes += figures.bytes
         run.lists |= set(figures.lists)
         raw = stores.raw_rows(staged.drop("data_alteracao"), keep=("place",))
-        stores.append_batch(latest_per_key(raw, "protocolo", newest).drop("place"), paths.raw, batch_id)
+        raw_store(paths).append(latest_per_key(raw, "protocolo", newest).drop("place"), batch_id)
         if breaker_open(run.failed, run.total, rules):
             run.opened = True
             raise ContractError(f"{run.failed} of {run.total} documents failed")
         good = latest_per_key(staged.filter("taken"), "key", newest)
         flat = flatten(good, as_of, salt, keep=("data_alteracao",))
-        stores.append_batch(typed(canonical(flat, [*REQUEST_COLUMNS, "data_alteracao"]), keep=("data_alteracao",)),
-                            paths.requests, batch_id)
+        request_store(paths).append(typed(canonical(flat, [*REQUEST_COLUMNS, "data_alteracao"]), keep=("data_alteracao",)),
+                                    batch_id)
         stores.append_batch(staged.filter(F.size("errors") > 0)
                             .select(F.col("conteudo_json").alias("raw"), "errors", "origem_lista"),
                             paths.dead_letters, batch_id)
@@ -155,10 +166,16 @@ def _marks(spark: SparkSession, paths: IngestPaths) -> DataFrame:
     return spark.read.schema(MARKS_SCHEMA).parquet(path)
 
 
-def current_requests(spark: SparkSession, paths: IngestPaths) -> DataFrame:
-    """The request table: newest version per key, by change stamp and then by batch."""
-    return stores.latest(spark, paths.requests, "numeroCMCE", [F.desc("data_alteracao"), F.desc("batch_id")],
-                         STORED_REQUEST).drop("batch_id", "data_alteracao")
+def current_requests(spark: SparkSession, paths: IngestPaths, keys: DataFrame | None = None) -> DataFrame:
+    """The request table: newest version per key, by change stamp and then by batch; of some ``keys`` (a frame with
+    ``numeroCMCE``) without reading the others' pages."""
+    return request_store(paths).current(spark, keys).drop("batch_id", "data_alteracao")
+
+
+def maintain(spark: SparkSession, paths: IngestPaths, most_runs: int = 4) -> None:
+    """Merge small runs of the stores; run it between two runs of the ingest."""
+    request_store(paths).compact(spark, most_runs)
+    raw_store(paths).compact(spark, most_runs)
 
 
 def dead_letters(spark: SparkSession, paths: IngestPaths) -> DataFrame:
@@ -168,12 +185,12 @@ def dead_letters(spark: SparkSession, paths: IngestPaths) -> DataFrame:
 def resume_state(spark: SparkSession, paths: IngestPaths) -> DataFrame:
     """Per list: highest published change stamp, last batch, and whether a run over it has ended well.
 
-    Raw rows of a batch that the breaker refused do not count, or the next run would cut them.
+    Read from the manifest of the request store; no data file is opened. Raw rows of a batch that the breaker refused do
+    not count, or the next run would cut them.
     """
     done = (stores.read_store(spark, paths.full_syncs, SYNC_SCHEMA).select("origem_lista").distinct()
             .withColumn("done", F.lit(True)))
-    stored = stores.read_store(spark, paths.requests, STORED_REQUEST)
-    return (stored.groupBy("origem_lista").agg(F.coalesce(F.max("data_alteracao"), F.lit(0)).alias("watermark"),
-                                               F.max("batch_id").alias("last_batch"))
-            .join(done, "origem_lista", "left")
+    marks = request_store(paths).figures(spark).select(
+        F.col("grp").alias("origem_lista"), F.col("max_stamp").alias("watermark"), "last_batch")
+    return (marks.join(done, "origem_lista", "left")
             .select("origem_lista", "watermark", "last_batch", F.coalesce("done", F.lit(False)).alias("full_sync_completed")))

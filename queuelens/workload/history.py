@@ -54,8 +54,8 @@ SELECT request, {_days(_REQ)} AS "SLA_Tempo_Solicitante_Dias", {_days(_REG)} AS
 
 
 def outcome_milestones(spark, sf):
-    """M3: outcome and milestones; short segments give the same figures."""
-    return h.ownership(history(spark, sf), AS_OF_EVENTS, segment_days=0.5).select(
+    """M3: outcome and milestones; requests cut into small pieces by rank give the same figures."""
+    return h.ownership(history(spark, sf), AS_OF_EVENTS, block=40).select(
         "request", "SLA_Desfecho_Atingido", "SLA_Tipo_Desfecho", "SLA_Marco_Autorizada", "SLA_Marco_Agendada",
         "SLA_Marco_Realizada", "n_events", "SLA_Tempo_Regulador_Dias")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..functions import unify_breaks
 from ..operators import contract, dedup
@@ -13,6 +13,7 @@ from ..rules import DEFAULT_RULES
 from ..schema import DATE_COLUMNS
 from ..session import scratch_dir
 from ..sources import files, stores
+from ..sources.runs import KeyedStore
 from .records import AS_OF, DOC_DUCK, SALT, _SNAP, _damaged
 from .views import REQUESTS, duck, requests, table
 
@@ -369,6 +370,41 @@ def record_lines_query(spark, sf):
     return record_lines(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey")
 
 
+STORED_VERSION = T.StructType([T.StructField("user", T.LongType()), T.StructField("event_id", T.LongType()),
+                              T.StructField("kind", T.StringType()), T.StructField("stamp", T.LongType())])
+
+
+def _version_store(spark, sf):
+    """Events as versions of their users, written in nine batches (the third one twice) and merged twice on the way."""
+    store = KeyedStore(scratch_dir(spark, "versions"), STORED_VERSION, ("user",), newest=("stamp", "event_id"),
+                       group="kind", stamp="stamp", buckets=4)
+    e = table(spark, sf, "events").select(C("user_id").alias("user"), "event_id", C("event_type").alias("kind"),
+                                          F.unix_millis(C("ts").cast("timestamp")).alias("stamp"))
+    for n, batch in enumerate([0, 1, 2, 2, 3, 4, 5, 6, 7, 8]):
+        store.append(e.filter(C("event_id") % 9 == batch), batch)
+        if n in (4, 8):
+            store.compact(spark, most_runs=3)
+    return store
+
+
+def store_versions(spark, sf):
+    """Newest version per key of a store that was merged in between, looked up for every seventh key."""
+    store = _version_store(spark, sf)
+    keys = table(spark, sf, "events").filter("user_id % 7 = 0").select(C("user_id").alias("user"))
+    found = store.current(spark, keys).select("user", "event_id", "kind", F.lit(True).alias("looked_up"))
+    return found.unionByName(store.current(spark).select("user", "event_id", "kind", F.lit(False).alias("looked_up")))
+
+
+VERSIONS_SQL = """WITH newest AS (SELECT user_id AS "user", event_id, event_type AS kind FROM events
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) = 1)
+SELECT *, FALSE AS looked_up FROM newest UNION ALL SELECT *, TRUE FROM newest WHERE "user" % 7 = 0"""
+
+
+def store_figures(spark, sf):
+    """Highest stamp and last batch per group from the manifest, after merges."""
+    return _version_store(spark, sf).figures(spark).select(C("grp").alias("kind"), "max_stamp", "last_batch")
+
+
 QUERIES = {
     "scan_view": (scan_view, "SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY 1"),
     "row_count": (row_count, "SELECT COUNT(*) AS n FROM lineitem"),
@@ -394,6 +430,9 @@ QUERIES = {
         "SELECT origem_lista, COALESCE(MAX(data_alteracao), 0) AS watermark FROM r GROUP BY 1", r=_RAW_SQL)),
     "incremental_cut": (incremental_cut, CUT_SQL),
     "upsert_latest": (upsert_latest, UPSERT_SQL),
+    "store_versions": (store_versions, VERSIONS_SQL),
+    "store_figures": (store_figures, """SELECT event_type AS kind, CAST(MAX(epoch_ms(ts)) AS BIGINT) AS max_stamp,
+        CAST(MAX(event_id % 9) AS BIGINT) AS last_batch FROM events GROUP BY 1"""),
     "keyed_merge": (keyed_merge, MERGE_SQL),
     "keep_last": (keep_last, """SELECT CAST(user_id AS VARCHAR) AS key, event_id, event_type FROM events
         QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"""),

@@ -27,10 +27,23 @@ def value_frequency(spark, sf):
     return p.value_frequency(table(spark, sf, "part"))
 
 
+def frequent_texts(spark, sf):
+    """The ten most frequent values of long and short text columns, counted by hashes; ties by value."""
+    docs = table(spark, sf, "documents").select("text", "lang", "source", F.substring("text", 1, 40).alias("opening"))
+    return p.frequent_values(docs, 10).select("column", F.md5("value").alias("value_md5"), "Quantidade")
+
+
+_DOC_PAIRS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {e} AS value FROM documents" for c, e in (
+    ("text", "text"), ("lang", "lang"), ("source", "source"), ("opening", "substr(text, 1, 40)")))
+FREQUENT_SQL = f"""SELECT "column", md5(value) AS value_md5, n AS "Quantidade" FROM (
+  SELECT "column", value, COUNT(*) AS n FROM ({_DOC_PAIRS}) WHERE value IS NOT NULL GROUP BY 1, 2)
+QUALIFY ROW_NUMBER() OVER (PARTITION BY "column" ORDER BY n DESC, value) <= 10"""
+
+
 def profile_columns(spark, sf):
     """Counts, cardinality, top values, sensitive names."""
     part = table(spark, sf, "part")
-    joined = p.counts(part).join(p.top_values(p.value_frequency(part)), "column")
+    joined = p.counts(part).join(p.top_values(p.frequent_values(part)), "column")
     return joined.withColumn("sensivel", C("column").isin([c for c in part.columns if p.is_sensitive(c)]))
 
 
@@ -220,6 +233,7 @@ def filtered_count(spark, sf):
 
 QUERIES = {
     "value_frequency": (value_frequency, f"WITH {_FREQ} SELECT * FROM f"),
+    "frequent_texts": (frequent_texts, FREQUENT_SQL),
     "profile_columns": (profile_columns, COLUMNS_SQL),
     "profile_numeric": (profile_numeric, NUMERIC_SQL),
     "profile_datetime": (profile_datetime, DATETIME_SQL),

@@ -297,7 +297,7 @@ def stream_ownership(spark, sf):
     events.repartition("seq").write.parquet(f"{base}/landing")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
     drain(stream, lambda batch, n: ownership.update(batch, n, f"{base}/state", AS_OF_EVENTS))
-    return ownership.current(spark, f"{base}/state").select(
+    return ownership.current(spark, f"{base}/state", events.schema).select(
         "request", "SLA_Tempo_Solicitante_Dias", "SLA_Tempo_Regulador_Dias", "SLA_Lead_Time_Total_Dias",
         "SLA_Interacoes_Regulacao", "SLA_Atores_Envolvidos")
 

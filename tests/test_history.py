@@ -6,10 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from queuelens.operators import contract, history
+from queuelens.operators import contract, history, prefixscan
 from queuelens.plans import flatten as fl
 from queuelens.states import FINAL_STATES, REGULATOR_STATES, REQUESTER_STATES
 
+C = F.col
 DAY = 86_400_000
 T0 = 1_700_000_000_000
 NOW = "2024-06-01 00:00:00"
@@ -83,8 +84,12 @@ def test_both_forms_match_a_plain_fold(spark):
     events = spark.createDataFrame(rows, "request int, ms long, seq int, state string, actor string").withColumn(
         "ts", F.timestamp_millis("ms"))
     fields = ["SLA_Tempo_Solicitante_Dias", "SLA_Tempo_Regulador_Dias", "SLA_Interacoes_Regulacao", "SLA_Desfecho_Atingido"]
-    for days in (30, 0.2):
-        got = {r.request: tuple(r[f] for f in fields) for r in history.ownership(events, NOW, days).collect()}
+    for block in (1_000_000, 4, 1):
+        got = {r.request: tuple(r[f] for f in fields) for r in history.ownership(events, NOW, block).collect()}
+        assert got == want
+    for days, block in ((30, 1_000_000), (0.2, 1_000_000), (5, 3)):
+        parts = history.segment_summaries(events, days, block)
+        got = {r.request: tuple(r[f] for f in fields) for r in history.ownership_figures(parts, "segment", NOW).collect()}
         assert got == want
     docs = [{"numeroCMCE": r, "situacao": "X", "evolucoes": [
         {"data": t, "situacaoAtual": s} for t, _, s in e]} for r, e in data.items()]
@@ -136,3 +141,39 @@ def test_running_breaker_matches_a_plain_count(spark):
             opened = i
     row = contract.breaker_verdict(contract.running_breaker(df, block=37)).first()
     assert (row.opened_at, row.total, row.errors) == (opened, 500, sum(flags))
+
+
+def test_ranks_are_exact_whatever_the_keys(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1, 2, 5, 5, 5, 9]), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, o int, i int")
+    found = prefixscan.ranked(df, ["k"], ["o"]).collect()
+    assert sorted((r.k or "", r.i) for r in found) == sorted((k or "", i) for k, _, i in rows)
+    for key in ("a", "b", None):
+        part = sorted((r for r in found if r.k == key), key=lambda r: r["rank"])
+        assert [r["rank"] for r in part] == list(range(len(part))) and {r.group_rows for r in part} == {len(part)}
+        assert [r.o or 0 for r in part] == sorted(r.o or 0 for r in part)
+    assert prefixscan.ranked(df.limit(0), ["k"], ["o"]).count() == 0
+
+
+def test_clustered_numbers_and_dense_days_are_dealt_evenly(spark):
+    """Nearly all rows of one run within a sliver of its span; equal times as well."""
+    n = 40_000
+    seq = F.when(C("id") % 1000 == 0, C("id") * 1_000_000_000).otherwise(C("id"))
+    rows = spark.range(n).select(F.lit("r").alias("run"), seq.alias("seq"), (C("id") % 50 == 0).alias("failed"))
+    cut = prefixscan.in_pieces(rows, ["run"], ["seq"], block=1000)
+    sizes = [r["count"] for r in cut.groupBy("__piece").count().collect()]
+    assert len(sizes) == 40 and max(sizes) <= 2 * sorted(sizes)[20] and sum(sizes) == n
+    verdict = contract.breaker_verdict(contract.running_breaker(rows, block=1000)).first()
+    assert (verdict.total, verdict.errors) == (n, n // 50)
+    one_instant = spark.range(n).select(F.lit(1).alias("request"), F.lit(5).alias("ms"), F.lit(None).cast("int").alias("seq"))
+    sizes = [r["count"] for r in prefixscan.in_pieces(one_instant, ["request"], ["ms", "seq"], 1000).groupBy("__piece").count().collect()]
+    assert len(sizes) == 40 and set(sizes) == {1000}
+    placed = prefixscan.ranked(rows, ["run"], ["seq"], partitions=8).groupBy(F.floor(C("rank") / 5000)).count().collect()
+    assert len(placed) == 8
+
+
+def test_broadcast_keys_stay_within_their_bound(spark):
+    df = spark.range(300).select((C("id") % 30).alias("k"), C("id").alias("o"))
+    cut = prefixscan.in_pieces(df, ["k"], ["o"], block=2, most_heavy=10)  # block grows to 16, then no key is large
+    assert cut.count() == 300 and {r["count"] for r in cut.groupBy("k", "__piece").count().collect()} == {10}

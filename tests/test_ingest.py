@@ -1,6 +1,5 @@
-import json
-
 import pytest
+from helpers import doc, land
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
@@ -13,10 +12,6 @@ C = F.col
 NOW = "2024-06-01"
 
 
-def doc(key, state="A", **more):
-    return json.dumps({"numeroCMCE": key, "situacao": state, "evolucoes": [], **more})
-
-
 def test_csv_layouts_and_bad_files(spark, tmp_path):
     dates = ",".join(f'"{c}"' for c in DATE_COLUMNS)
     blank = ",".join('"01/02/2020"' for _ in DATE_COLUMNS)
@@ -58,11 +53,6 @@ def test_keyless_documents_get_a_stable_key(spark):
     assert a == b and a.startswith(stores.NO_KEY)
 
 
-def land(spark, path, docs):
-    spark.createDataFrame([(d, "fila") for d in docs], "conteudo_json string, origem_lista string") \
-        .coalesce(1).write.mode("append").json(path)
-
-
 def test_ingest_run(spark, tmp_path):
     landing, paths = str(tmp_path / "in"), ingest.IngestPaths(str(tmp_path / "out"))
     land(spark, landing, [doc(1), doc(2), '{"situacao": "A"}', None])
@@ -101,8 +91,9 @@ def test_streamed_ownership_handles_late_events(spark, tmp_path):
         return spark.createDataFrame(rows, "request int, t string, seq int, state string, actor string").withColumn(
             "ts", C("t").cast("timestamp")).drop("t")
     ownership.update(batch((1, "2024-01-05", 2, "REALIZADA", "a"), (2, "2024-01-01", 1, "AGENDADA", "b")), 0, base, NOW)
-    ownership.update(batch((1, "2024-01-01", 1, "AGUARDA_REGULACAO", "a")), 1, base, NOW)
-    got = {r.request: (r.SLA_Tempo_Regulador_Dias, r.SLA_Tipo_Desfecho) for r in ownership.current(spark, base).collect()}
+    late = batch((1, "2024-01-01", 1, "AGUARDA_REGULACAO", "a"))
+    ownership.update(late, 1, base, NOW)
+    got = {r.request: (r.SLA_Tempo_Regulador_Dias, r.SLA_Tipo_Desfecho) for r in ownership.current(spark, base, late.schema).collect()}
     assert got == {1: (4.0, "POSITIVO"), 2: (0.0, "")}
 
 
@@ -167,19 +158,6 @@ def test_keys_across_files_of_equal_names(spark, tmp_path):
     assert [r.situacao for r in cons.clean(rows).collect()] == ["last"]
 
 
-def test_only_touched_buckets_are_read(spark, tmp_path):
-    base = str(tmp_path / "own")
-    rows = [(k, "2024-01-01", 1, "AGENDADA", "b") for k in range(50)]
-    events = spark.createDataFrame(rows, "request int, t string, seq int, state string, actor string").withColumn(
-        "ts", C("t").cast("timestamp")).drop("t")
-    ownership.update(events, 0, base, NOW)
-    bucket = spark.range(1).select(F.pmod(F.hash(F.lit(7)), F.lit(64))).first()[0]
-    read = ownership.touched_history(spark, base, [bucket])
-    plan = read._jdf.queryExecution().executedPlan().toString()
-    filters = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
-    assert "bucket" in filters and 0 < read.count() < 50
-
-
 def test_shared_folder_is_required_on_a_cluster(monkeypatch):
     from types import SimpleNamespace
 
