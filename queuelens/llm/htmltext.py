@@ -2,8 +2,10 @@
 
 Blocks
     The page is read tag by tag (no tree is built): a stack holds the open elements, block elements cut the text into
-    leaf blocks, inline elements and ``br`` do not. Scripts, styles, comments and other parts without text are passed
-    over. Character references are decoded, white space inside a block becomes one space, and empty blocks vanish.
+    leaf blocks, inline elements, formulas, drawings, scripts and ``br`` do not. Scripts, styles, comments and other
+    parts without text are passed over; text in ``noscript`` and ``object`` is a block for the model to judge. A head
+    without an end tag ends before the first text or element that cannot stand in it. Character references are decoded,
+    white space inside a block becomes one space, and empty blocks vanish.
 
 Model
     Each block has features of its ancestors (tags, words of classes and ids, form or list around it) and of its
@@ -36,10 +38,16 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 #: HTML elements by their role in cutting a page.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span "
-                   "strike strong sub sup time tt u var wbr".split())
+FORMULA = frozenset("math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
+                    "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation "
+                    "annotation-xml".split())
+INLINE = FORMULA | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small "
+                             "span strike strong sub sup time tt u var wbr script style template svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object canvas head title textarea select".split())
+SILENT = frozenset("script style template svg iframe canvas head title textarea select annotation annotation-xml".split())
+IN_HEAD = frozenset("base head link meta noscript script style template title".split())
+LEAVES_SVG = frozenset("article aside b blockquote body center code dd div dl dt em footer form h1 h2 h3 h4 h5 h6 header hr i "
+                       "img li main menu nav ol p pre section small span strong sub sup table u ul var".split())
 RAW = frozenset("script style textarea title".split())
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
@@ -123,6 +131,8 @@ def leaf_blocks(page: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal place
+        if stack.silent and stack[-1].name == "head" and text.strip():
+            stack.close("head")
         if text and not stack.silent:
             if not parts:
                 place = stack[-1].block if stack else None
@@ -139,15 +149,24 @@ def leaf_blocks(page: str) -> list[Block]:
         if not name:
             continue
         closing, attrs = bool(hit[1] or hit[4]), hit[3] if hit[2] else hit[6]
+        if closing:
+            if name not in INLINE and not stack.silent:
+                flush()
+            stack.close(name)
+            if name not in INLINE and not stack.silent:  # the end of a silent part that was left open cuts as well
+                flush()
+            continue
+        if stack.open["head"] and not stack.open["noscript"] and name not in IN_HEAD:  # its end tag may be left out
+            stack.close("head")
+        if stack.open["svg"] and name in LEAVES_SVG and not stack.open["foreignobject"]:
+            stack.close("svg")
         if name not in INLINE:
-            flush()
+            if not stack.silent:
+                flush()
         elif name in ("br", "wbr", "img"):
             if name == "br":
                 add(" ")
             continue
-        if closing:
-            stack.close(name)
-            continue
         if name in RAW:  # its text holds no tags
             close = RAW_END[name].search(page, at)
             at = close.end() if close else end
@@ -158,9 +177,7 @@ def leaf_blocks(page: str) -> list[Block]:
             stack.close("p")
         elif name in ITEMS:
             stack.close(name, HOLDERS)
-        elif name == "body" and stack.open["head"]:
-            stack.close("head")
-        if attrs and attrs.endswith("/") and name in ("svg", "iframe", "object"):
+        if attrs and attrs.endswith("/") and (name in FORMULA or name in ("svg", "iframe", "object") or stack.open["svg"]):
             continue
         words = ()
         if attrs and "=" in attrs:

@@ -55,6 +55,8 @@ class Maker:
                 text = self.words(1, 4)
             if self.rng.random() < 0.08:
                 text += " &copy; " + self.words(1, 3)
+            if self.rng.random() < 0.04:
+                text += " <math><mi>x</mi><mo>=</mo><msup><mi>y</mi><mn>2</mn></msup></math> " + self.sentence(2, 6)
             out.append(self.block("p", text, label))
         return "".join(out)
 
@@ -91,6 +93,10 @@ class Maker:
             return self.named("div", NOTICE_CLASSES, self.sentence(4, 20))
         return self.named("div", NOTICE_CLASSES, self.prose(1, 0) + self.block("button", self.words(1, 2), 0))
 
+    def without_script(self) -> str:
+        self.labels.append(0)
+        return f"<noscript>{self.sentence(3, 14)}</noscript>"
+
     def form(self) -> str:
         return "<form>" + self.block("label", self.words(1, 3), 0) + "<input type=text>" + self.block(
             "button", self.words(1, 2), 0) + "</form>"
@@ -112,7 +118,8 @@ class Maker:
         rng = self.rng
         title = self.sentence(3, 14)
         before = [self.maybe(0.5, self.head), self.maybe(0.85, self.menu), self.maybe(0.25, self.notice),
-                  self.maybe(0.15, self.form), self.maybe(0.45, self.advert), self.maybe(0.15, self.side)]
+                  self.maybe(0.15, self.form), self.maybe(0.45, self.advert), self.maybe(0.15, self.side),
+                  self.maybe(0.1, self.without_script)]
         body = self.block("h1", title, 1) if rng.random() < 0.85 else ""
         for _ in range(rng.randint(1, 4)):
             body += self.prose(rng.randint(1, 6), 1)
@@ -142,7 +149,8 @@ class Maker:
         elif place < 0.95:
             body = f"<main><article>{body}</article></main>"
         after = [self.maybe(0.25, self.comments), self.maybe(0.25, self.side), self.maybe(0.2, self.advert),
-                 self.maybe(0.12, self.form), self.maybe(0.12, self.notice), self.maybe(0.85, self.foot)]
+                 self.maybe(0.12, self.form), self.maybe(0.12, self.notice), self.maybe(0.05, self.without_script),
+                 self.maybe(0.85, self.foot)]
         return (f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var t=\"</p>\";</script>"
                 f"</head><body>{''.join(before)}{body}<!-- end -->{''.join(after)}</body></html>")
 
