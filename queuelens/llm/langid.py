@@ -20,6 +20,13 @@ Prediction
     The language with the shortest code; ``score`` is 2**-length of it over the sum of all (1: certain). Only the text
     is read. ``und`` with score 0 if the text is null or has no letter, or if nothing was learned.
 
+Rejection
+    Some language always has the shortest code, so ``keep_known`` also asks how short it is. Of the distinct texts of the
+    sample, two halves code each other; a language's limit of bits a byte lies as far above the 0.99 quantile of these
+    figures as that lies above their median, and at least ``SLACK`` times the median. Texts beyond the limit of their
+    language are rejected. A language with fewer than ``LEAST_TEXTS`` such texts takes the highest limit of the others
+    (none at all has a limit: nothing is rejected for it).
+
 Edge cases: repeated rows are judged each on its own; texts of any length are read whole; an empty table or a table
 without languages gives ``und`` for whatever rows there are.
 """
@@ -27,6 +34,7 @@ without languages gives ``und`` for whatever rows there are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +46,9 @@ from .common import slices, text_of, whole_rows
 ORDER = 4
 #: Cells of a step on the way to the hash at which a sample is full, a power of two.
 CELLS = 1 << 12
+#: Least distance of a language's limit of bits a byte from the median, as a factor, and least texts that set a limit.
+SLACK = 1.3
+LEAST_TEXTS = 8
 
 
 def suffix_codes(line: np.ndarray, length: int) -> np.ndarray:
@@ -65,10 +76,12 @@ def own_positions(bounds: np.ndarray, n: int) -> np.ndarray:
 
 class Tables:
     """Code lengths in bits by string and language: ``keys[k]`` sorted strings of k + 1 bytes, ``cost[k]`` a row per
-    string and a column per language; ``contexts[k]`` sorted contexts of k bytes, ``escape[k]`` likewise."""
+    string and a column per language; ``contexts[k]`` sorted contexts of k bytes, ``escape[k]`` likewise; ``limits``
+    the most bits a byte of a text in a language, where it was asked for."""
 
     def __init__(self, langs, keys, cost, contexts, escape):
         self.langs, self.keys, self.cost, self.contexts, self.escape = langs, keys, cost, contexts, escape
+        self.limits: dict[str, float] = {}
 
     @classmethod
     def fit(cls, samples: dict[str, list[str]]) -> Tables:
@@ -149,6 +162,28 @@ class Tables:
         return out
 
 
+def held_out_limits(samples: dict[str, list[str]]) -> dict[str, float]:
+    """Most bits a byte by language, from the two halves of the distinct texts, each coded by the tables of the other."""
+    halves: list[dict[str, list[str]]] = [{}, {}]
+    for lang, texts in samples.items():
+        for text in sorted(set(texts)):
+            halves[crc32(text_of(text).encode("utf-8", "surrogatepass")) % 2].setdefault(lang, []).append(text)
+    found: dict[str, list[float]] = {}
+    for learn, judge in (halves, halves[::-1]):
+        tables = Tables.fit(learn) if learn else None
+        for lang in sorted(judge.keys() & learn.keys()):
+            column = tables.langs.index(lang)
+            sizes = [len(text_of(t).encode("utf-8", "surrogatepass")) for t in judge[lang]]
+            found.setdefault(lang, []).extend(
+                bits / size for bits, size in zip(tables.totals(judge[lang])[:, column], sizes) if size)
+    limits = {}
+    for lang, figures in found.items():
+        if len(figures) >= LEAST_TEXTS:
+            middle, high = np.quantile(figures, [0.5, 0.99])
+            limits[lang] = float(max(2 * high - middle, SLACK * middle))
+    return limits
+
+
 def _spot(cells: int) -> Column:
     """The cell of a key, of ``cells`` in the order of the keys."""
     return F.shiftright("key", 64 - (cells.bit_length() - 1)) + cells // 2
@@ -185,8 +220,9 @@ def _at_most(cuts: dict[str, int]) -> Column:
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        sample_bytes: int = 1 << 20, most_langs: int = 256) -> Tables:
-    """Learn from the rows where ``learn`` holds and the language is not null; see the module text for the bound."""
+        sample_bytes: int = 1 << 20, most_langs: int = 256, limits: bool = False) -> Tables:
+    """Learn from the rows where ``learn`` holds and the language is not null; see the module text for the bound.
+    ``limits``: learn the most bits a byte of each language as well, for ``keep_known``."""
     size = F.least(F.octet_length("text"), F.lit(sample_bytes))
     order = Window.partitionBy("lang").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -205,7 +241,10 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     samples: dict[str, list[str]] = {}
     for lang, _, _, text in sorted(picked.collect(), key=lambda r: (r[0], r[1], str(r[2]))):
         samples.setdefault(lang, []).append(text)
-    return Tables.fit(samples)
+    made = Tables.fit(samples)
+    if limits:
+        made.limits = held_out_limits(samples)
+    return made
 
 
 def identify(docs: DataFrame, tables: Tables, text_col: str = "text", keep: bool = True) -> DataFrame:
@@ -228,5 +267,10 @@ def identify(docs: DataFrame, tables: Tables, text_col: str = "text", keep: bool
 
 
 def keep_known(docs: DataFrame, tables: Tables, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a language: not ``und`` and with a score of ``least`` or more."""
-    return identify(docs, tables, text_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    """The rows of ``docs`` with a language: not ``und``, with a score of ``least`` or more, and with no more bits a byte
+    than the limit of the language, where ``tables`` has limits."""
+    known = (F.col("lang_pred") != "und") & (F.col("score") >= least)
+    if tables.limits:
+        limit = F.create_map(*[F.lit(x) for pair in tables.limits.items() for x in pair])[F.col("lang_pred")]
+        known &= F.col("bits_per_byte") <= F.coalesce(limit, F.lit(max(tables.limits.values())))
+    return identify(docs, tables, text_col).where(known).select("row.*")

@@ -79,6 +79,38 @@ def test_documents(edge_docs, no_docs):
     assert langid.fit(no_docs, F.lit(True)).langs == [] and langid.keep_known(no_docs, tables).count() == 0
 
 
+def test_unlearned_languages_and_random_letters_go(spark):
+    rng = random.Random(5)
+    syllables = {"aa": ["ka", "lo", "mi", "sen", "tur"], "bb": ["ke", "li", "mo", "dag", "vor"]}
+
+    def words(parts):
+        return " ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(60))
+    rows = [(k, words(syllables[lang]), lang) for k in range(300) for lang in [rng.choice(["aa", "bb"])]]
+    rows += [(k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=400)), None) for k in range(1000, 1040)]
+    rows += [(k, words(["qui", "wex", "jaf", "zop"]), None) for k in range(2000, 2040)]
+    rows += [(3000, rows[0][1] + " " + rows[1][1], "rare"), (3001, None, None), (3002, "", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    tables = langid.fit(docs, F.lit(True), limits=True)
+    assert set(tables.limits) == {"aa", "bb"}
+    kept = {r.doc_id for r in langid.keep_known(docs, tables).collect()}
+    assert not any(k in kept for k in range(1000, 3000)) and not kept & {3001, 3002} and 3000 in kept
+    assert sum(k in kept for k in range(300)) >= 297
+    # without limits the score alone lets them pass
+    assert langid.keep_known(docs.where("doc_id >= 1000 AND doc_id < 3000"), langid.fit(docs, F.lit(True))).count() > 60
+
+
+def test_limits_by_brute_force():
+    texts = [f"{a} {b} sat on the {c}" for a in ("the", "a") for b in ("cat", "dog", "hen") for c in ("mat", "hat", "bed")]
+    from zlib import crc32
+    halves = [[t for t in sorted(texts) if crc32(t.encode()) % 2 == k] for k in (0, 1)]
+    figures = sorted(plain_bits(halves[1 - k], t) / len(t) for k in (0, 1) for t in halves[k])
+    import numpy as np
+    middle, high = np.quantile(figures, [0.5, 0.99])
+    limits = langid.held_out_limits({"en": texts * 2, "few": ["one text"]})
+    assert limits == {"en": pytest.approx(max(2 * high - middle, langid.SLACK * middle))}
+    assert langid.held_out_limits({}) == {}
+
+
 def test_huge_documents_do_not_starve_the_sample(spark, monkeypatch):
     """100 short texts beside one huge text: the sample is filled in hash order all the same."""
     rows = [(k, f"kalomi lomika {k}", "aa") for k in range(100)] + [(500, "mika " * 4_000_000, "aa")]
