@@ -142,3 +142,24 @@ def test_null_and_repeated_ids_fill_the_sample(spark, monkeypatch):
     # no more rows than the sample holds pass the filter, but for those of the last cell
     key = F.xxhash64("doc_id", "text", F.lit("langid"))
     assert docs.withColumn("key", key).where(whole(picked[0])).count() <= 202
+
+
+def test_limits_come_from_all_texts_and_not_from_the_sample(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["cat", "dog", "hen", "mat", "hat", "zebra", "quokka"], k=40)) for _ in range(400)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts + texts[:50])], "doc_id bigint, text string, lang string")
+    # a sample of everything gives the limits of the whole, in steps
+    whole = langid.fit(docs, F.lit(True), limits=True).limits
+    assert whole == {"en": pytest.approx(langid.held_out_limits({"en": texts})["en"], abs=3 / langid.STEPS)}
+    # with a small sample all texts still count: here only the tables of the halves are the sample's
+    sent = {}
+    real = langid.limits_of_all
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(langid, "limits_of_all", lambda rows, tables, most: sent.update(n=rows.count(), t=tables) or real(rows, tables, most))
+        limits = langid.fit(docs, F.lit(True), sample_bytes=4000, limits=True).limits
+    assert sent["n"] == 450
+    bits = [b for b in langid.held_out_bits(sent["t"], [("en", t) for t in texts], 4000) if b is not None]
+    assert len(bits) == 400
+    import numpy as np
+    middle, high = np.quantile(bits, [0.5, 0.99])
+    assert limits == {"en": pytest.approx(max(2 * high - middle, langid.SLACK * middle), abs=3 / langid.STEPS)}
