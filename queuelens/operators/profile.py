@@ -159,15 +159,16 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float
     single values only inside the brackets and one counter (with its smallest and largest
     value) for each gap between them; ranks are read off the running counts of those few
     cells, which are summed up in pieces of a bracket, so that no task orders all of them. A rank that fell inside a gap would raise an error, never give a wrong figure.
-    The bracket frame has one row per group and is left to Spark's own size check.
+    The bracket frame has one row per group. It is stored, so that Spark's own size check knows its size: a small one is
+    broadcast and the rows stay where they are, instead of meeting in one task per group.
     """
     v, slack = F.col(value), 2.0 / accuracy
     rows = df.filter(v.isNotNull()).select(group, v.cast("double").alias("v"))
     low = [max(p - slack, 0.0) for p in probs]
     high = [min(p + slack, 1.0) for p in probs]
-    brackets = rows.groupBy(group).agg(
+    brackets = stored(rows.groupBy(group).agg(
         F.percentile_approx("v", low, accuracy).alias("low"),
-        F.percentile_approx("v", high, accuracy).alias("high"))
+        F.percentile_approx("v", high, accuracy).alias("high")), "brackets")
     # spelled out per probability, so that both stay inside generated code
     gap = " + ".join(f"if(v > high[{i}], 1, 0)" for i in range(len(probs)))
     inside = " OR ".join(f"(v >= low[{i}] AND v <= high[{i}])" for i in range(len(probs)))
@@ -176,8 +177,8 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float
     tagged = rows.join(brackets, group).selectExpr("*", f"{gap} AS gap", f"{inside} AS inside").selectExpr(
         group, "v", "gap", "inside", f"coalesce({piece}, 0) AS piece")
     keys = [group, "gap", "inside", "piece"]
-    cells = tagged.groupBy(*keys, F.when(F.col("inside"), F.col("v")).alias("point")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
+    cells = stored(tagged.groupBy(*keys, F.when(F.col("inside"), F.col("v")).alias("point")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("first"), F.max("v").alias("last")), "quantile-cells")  # read twice
     before = Window.partitionBy(group).orderBy("gap", "inside", "piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.groupBy(*keys).agg(F.sum("n").alias("held")).select(
         *keys, F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"),
