@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import (age_years, blank_label, day_diff, lenient_int, sql_round)
 from ..operators.predicates import (contains_ignoring_case, present)
+from ..operators.spread import distinct_per_group
 from ..rules import DEFAULT_RULES, Rules, as_date
 
 KEY = "numeroCMCE"
@@ -116,15 +117,16 @@ def daily_throughput(df: DataFrame, predicate: Column | None = None) -> DataFram
 def actor_diagnosis(df: DataFrame, actor: str, diagnosis: str, predicate: Column | None = None,
                     at_least: int = 3, n: int = 150) -> DataFrame:
     """Most frequent actor x diagnosis pairs with at least ``at_least`` requests."""
-    return (_rows(df, predicate).filter(present(F.col(actor)) & present(F.col(diagnosis)))
-            .groupBy(F.col(actor).alias("ator"), F.col(diagnosis).alias("diag")).agg(_volume())
+    rows = _rows(df, predicate).filter(present(F.col(actor)) & present(F.col(diagnosis)))
+    named = rows.select(KEY, F.col(actor).alias("ator"), F.col(diagnosis).alias("diag"))
+    return (distinct_per_group(named, KEY, "ator", "diag")
             .filter(F.col("Vol") >= at_least)
             .orderBy(F.desc("Vol"), "ator", "diag").limit(n))
 
 
 def top_actors(df: DataFrame, actor: str = "medicoSolicitante", predicate: Column | None = None,
                n: int = 10) -> DataFrame:
-    return (_rows(df, predicate).filter(F.col(actor) != "").groupBy(actor).agg(_volume())
+    return (distinct_per_group(_rows(df, predicate).filter(F.col(actor) != ""), KEY, actor)
             .orderBy(F.desc("Vol"), actor).limit(n))
 
 

@@ -6,6 +6,8 @@ import os
 from helpers import doc, land
 from pyspark.sql import functions as F
 
+from queuelens.operators import profile, spread
+from queuelens.plans import reports
 from queuelens.streaming import ingest
 from queuelens.workload import streams
 
@@ -32,3 +34,33 @@ def test_checked_documents_are_dealt_out_by_their_stored_key(spark, tmp_path):
     planned = plan[plan.index("== Physical Plan =="):]
     assert "Exchange" not in planned[:planned.index("InMemoryRelation")]  # the texts do not move again
     staged.unpersist()
+
+
+def _rows(spark, tmp_path, n):
+    path = str(tmp_path / "rows")
+    (spark.range(0, n, 1, 4).select((C("id") % 5000).alias("numeroCMCE"), F.concat(F.lit("M"), C("id") % 3).alias("a"),
+                                    F.when(C("id") % 7 > 0, F.sha2(C("id").cast("string"), 512)).alias("b")).write.parquet(path))
+    return spark.read.parquet(path)
+
+
+def test_tasks_of_an_aggregation_grow_with_the_files(spark, tmp_path, monkeypatch):
+    rows = _rows(spark, tmp_path, 20_000)
+    held = spread.size_of(spark, rows.inputFiles())
+    assert held == sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/rows/*.parquet"))
+    monkeypatch.setattr(spread, "TASK_BYTES", held // 37)
+    assert spread.spread(rows.filter("a = 'M1'"), "numeroCMCE").rdd.getNumPartitions() == 38  # small ones are not joined
+    pairs = reports.actor_diagnosis(rows, "a", "b", at_least=1)
+    assert "hashpartitioning(ator" in pairs._jdf.queryExecution().toString() and ", 38)" in pairs._jdf.queryExecution().toString()
+
+
+def test_counts_by_shares(spark, tmp_path):
+    rows = _rows(spark, tmp_path, 20_000).union(spark.createDataFrame([(None, "M9", "x")] * 2, "numeroCMCE bigint, a string, b string"))
+    for groups in (["a"], ["a", "b"]):
+        wanted = rows.groupBy(*groups).agg(F.countDistinct("numeroCMCE").alias("Vol")).collect()
+        assert sorted(map(str, spread.distinct_per_group(rows, "numeroCMCE", *groups).collect())) == sorted(map(str, wanted))
+
+
+def test_quantile_rows_stay_where_they_are(spark):
+    pairs = profile.numeric_pairs(spark.range(3000).select("id", (C("id") % 7).alias("m")))
+    plan = profile.exact_quantiles(pairs, "column", "value", [0.25, 0.5])._jdf.queryExecution().toString()
+    assert "percentile_approx" not in plan and "unpivot" not in plan.lower()  # both the brackets and the cells are stored
