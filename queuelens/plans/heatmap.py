@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import signed_text, truncate_label
 from ..operators.predicates import present
+from ..operators.spread import distinct_per_group, spread
 from ..session import scratch_dir
 from ..sources.files import write_parquet
 
@@ -18,8 +19,7 @@ def top_members(df: DataFrame, column: str, k: int, predicate: Column | None = N
     if not MIN_MEMBERS <= k <= MAX_MEMBERS:
         raise ValueError(f"k must lie within {MIN_MEMBERS} .. {MAX_MEMBERS}, not {k}")
     rows = df if predicate is None else df.filter(predicate)
-    return (rows.filter(present(F.col(column))).groupBy(column)
-            .agg(F.countDistinct("numeroCMCE").alias("Vol"))
+    return (distinct_per_group(rows.filter(present(F.col(column))), "numeroCMCE", column)
             .orderBy(F.desc("Vol"), column).limit(k))
 
 
@@ -33,7 +33,7 @@ def cells(df: DataFrame, actor: str, diagnosis: str, top_actors: int = 15, top_d
     """
     rows = df if predicate is None else df.filter(predicate)
     spark, path = df.sparkSession, scratch_dir(df.sparkSession, "heatmap")
-    write_parquet(rows.select("numeroCMCE", actor, diagnosis).distinct(), path)
+    write_parquet(spread(rows.select("numeroCMCE", actor, diagnosis), "numeroCMCE", actor, diagnosis).distinct(), path)
     pairs = spark.read.parquet(path)
     actors = top_members(pairs, actor, top_actors).select(actor)
     diags = top_members(pairs, diagnosis, top_diags).select(diagnosis)
