@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import day_diff, lenient_int, python_round, ratio, sql_round
 from ..operators.predicates import urgent, waiting_longer
+from ..operators.spread import spread
 from ..rules import DEFAULT_RULES, Rules, as_date
 from ..session import scratch_dir
 from ..sources.files import write_parquet
@@ -60,7 +61,9 @@ def kpi_base(df: DataFrame, predicate: Column | None, as_of, rules: Rules = DEFA
     as_of_day = as_date(as_of)
     has_key = F.col("numeroCMCE").isNotNull()
     path = scratch_dir(df.sparkSession, "kpi")
-    write_parquet(per_request(rows, as_of, rules, list(DIMENSIONS.values())), path)
+    dims = list(DIMENSIONS.values())
+    needed = rows.select("numeroCMCE", *dims, "dataSolicitacao", "dataCadastro", "entidade_classificacaoRisco_cor")
+    write_parquet(per_request(spread(needed, "numeroCMCE", *dims), as_of, rules, dims), path)
     parts = df.sparkSession.read.parquet(path)
     by_request = parts.groupBy("numeroCMCE").agg(
         *[F.sum(c).alias(c) for c in ("n_rows", "n_dated", "sum_wait")], F.min("first_day").alias("first_day"),
@@ -77,9 +80,9 @@ def kpi_base(df: DataFrame, predicate: Column | None, as_of, rules: Rules = DEFA
         _exact_p90(day_diff(as_of_day, F.col("first_day"))).alias("p90_lead_time"),
         _exact_p90(day_diff(as_of_day, F.col("last_event"))).alias("p90_esquecido"),
     )
-    dims = parts.agg(*[F.countDistinct(column).alias(name) for name, column in DIMENSIONS.items()])
+    distinct = parts.agg(*[F.countDistinct(column).alias(name) for name, column in DIMENSIONS.items()])
     # both sides are one row; a union and a max put them side by side without a join
-    both = keyed.unionByName(dims, allowMissingColumns=True)
+    both = keyed.unionByName(distinct, allowMissingColumns=True)
     one = both.agg(*[F.max(c).alias(c) for c in both.columns])
     whole = ["pacientes", "eventos", *DIMENSIONS, "max_lead_time", "span_dias",
              "pac_urgentes", "pac_vencidos"]
