@@ -50,10 +50,11 @@ def _part(v: str, name: str) -> str:
     return f"try_variant_get({v}, '$.{name}', 'variant')"
 
 
-def _facts(v: str) -> str:
-    """JSON type of a value and, for scalars, its text."""
-    return (f"struct(regexp_extract(schema_of_variant({v}), '^[A-Z]+', 0) AS kind, "
-            f"try_variant_get({v}, '$', 'string') AS text)")
+def _facts(v: str, check: str = TEXT) -> str:
+    """JSON type of a value and, for numbers, its text; no other check reads it, and the text of a block or of the history
+    would be all of its JSON."""
+    kind = f"regexp_extract(schema_of_variant({v}), '^[A-Z]+', 0) AS kind"
+    return f"struct({kind})" if check == TEXT else f"struct({kind}, try_variant_get({v}, '$', 'string') AS text)"
 
 
 def _absent(fact: str) -> str:
@@ -97,12 +98,16 @@ def errors_expression(text: str) -> str:
     count as corrupt.
     """
     names = [n for n, _, _ in ROOT_FIELDS] + list(BLOCKS) + ["evolucoes", "error"]
-    parts = ", ".join(f"{_part('v', n)} AS {n}" for n in names)
-    facts = [f"{_facts(f'p.{n}')} AS {n}" for n in names]
-    facts += [f"{_facts(_part(f'p.{b}', n))} AS {b}_{n}" for b, fields in BLOCKS.items()
-              for n, _, _ in fields]
-    event_facts = ", ".join(f"{_facts(_part('e', n))} AS {n}" for n, _, _ in EVENT_FIELDS)
-    facts.append("transform(coalesce(try_variant_get(p.evolucoes, '$', 'array<variant>'), array()), "
+    # the history is taken apart once; as a value of its own it is only looked at where it is no array
+    parts = ", ".join(f"{_part('v', n)} AS {n}" if n != "evolucoes" else
+                      f"CASE WHEN h IS NULL THEN {_part('v', n)} END AS {n}" for n in names)
+    facts = [f"{_facts(f'p.{n}', check)} AS {n}" for n, check, _ in ROOT_FIELDS]
+    facts += [f"{_facts(f'p.{n}')} AS {n}" for n in BLOCKS]
+    facts.append(f"CASE WHEN h IS NULL THEN {_facts('p.evolucoes')} ELSE struct('ARRAY' AS kind) END AS evolucoes")
+    facts += [f"{_facts(_part(f'p.{b}', n), check)} AS {b}_{n}" for b, fields in BLOCKS.items()
+              for n, check, _ in fields]
+    event_facts = ", ".join(f"{_facts(_part('e', n), check)} AS {n}" for n, check, _ in EVENT_FIELDS)
+    facts.append("transform(coalesce(h, array()), "
                  f"e -> struct({_facts('e')} AS event, {event_facts})) AS events")
 
     rules = [_rule(f"f.{n}", n, check, need) for n, check, need in ROOT_FIELDS]
@@ -126,7 +131,7 @@ def errors_expression(text: str) -> str:
     return _let("v", f"try_parse_json({text})", rf"""CASE
         WHEN v IS NULL OR is_variant_null(v) THEN array('payload: corrupt')
         WHEN NOT {text} RLIKE r'^\s*\{{' THEN array('document: wrong type')
-        ELSE {_let('p', f'struct({parts})', checked)} END""")
+        ELSE {_let('h', "try_variant_get(v, '$.evolucoes', 'array<variant>')", _let('p', f'struct({parts})', checked))} END""")
 
 
 def with_errors(raw: DataFrame, text: str = "conteudo_json") -> DataFrame:

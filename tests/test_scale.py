@@ -6,7 +6,7 @@ import os
 from helpers import doc, land
 from pyspark.sql import functions as F
 
-from queuelens.operators import profile, spread
+from queuelens.operators import contract, profile, spread
 from queuelens.plans import reports
 from queuelens.streaming import ingest
 from queuelens.workload import streams
@@ -64,3 +64,18 @@ def test_quantile_rows_stay_where_they_are(spark):
     pairs = profile.numeric_pairs(spark.range(3000).select("id", (C("id") % 7).alias("m")))
     plan = profile.exact_quantiles(pairs, "column", "value", [0.25, 0.5])._jdf.queryExecution().toString()
     assert "percentile_approx" not in plan and "unpivot" not in plan.lower()  # both the brackets and the cells are stored
+
+
+def test_checks_take_no_text_of_blocks_and_histories(spark):
+    sql = contract.errors_expression("j")
+    assert sql.count("try_variant_get(p.evolucoes, '$', 'string')") == sql.count("try_variant_get(p.usuarioSUS, '$', 'string')") == 0
+    good = '"numeroCMCE": 1, "situacao": "A"'
+    cases = {
+        f'{{{good}}}': "", f'{{{good}, "evolucoes": []}}': "", f'{{{good}, "evolucoes": null}}': "evolucoes: null",
+        f'{{{good}, "evolucoes": {{"data": 1}}}}': "evolucoes: wrong type", f'{{{good}, "evolucoes": "x"}}': "evolucoes: wrong type",
+        f'{{{good}, "evolucoes": [{{"data": "3"}}, {{"data": true, "detalhes": "d"}}]}}': "",
+        f'{{{good}, "evolucoes": [1, null, {{"data": "x"}}]}}': "evolucoes: wrong type; evolucoes.data: wrong type",
+        f'{{{good}, "usuarioSUS": []}}': "usuarioSUS: wrong type", f'{{{good}, "usuarioSUS": {{}}}}': "usuarioSUS.nomeCompleto: missing",
+        '{"numeroCMCE": "1.0", "situacao": 5}': "situacao: wrong type", f'{{{good}, "error": null}}': "payload: corrupt"}
+    df = spark.createDataFrame([(j,) for j in cases], "j string").selectExpr("j", f"array_join({sql}, '; ') AS e")
+    assert {r.j: r.e for r in df.collect()} == cases
