@@ -295,8 +295,10 @@ def stream_ownership(spark, sf):
     """Ownership figures after three micro-batches in no particular order."""
     base = scratch_dir(spark, "ownership")
     events = history(spark, sf)
-    events.repartition("seq").write.parquet(f"{base}/landing")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
+    # three batches however many files: every batch meets all requests again, so the work of a file each would be quadratic
+    each = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
+    events.repartition(3 * each, "seq").write.parquet(f"{base}/landing")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", each).parquet(f"{base}/landing")
     drain(stream, lambda batch, n: ownership.update(batch, n, f"{base}/state", AS_OF_EVENTS))
     return ownership.current(spark, f"{base}/state", events.schema).select(
         "request", "SLA_Tempo_Solicitante_Dias", "SLA_Tempo_Regulador_Dias", "SLA_Lead_Time_Total_Dias",

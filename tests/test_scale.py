@@ -79,3 +79,13 @@ def test_checks_take_no_text_of_blocks_and_histories(spark):
         '{"numeroCMCE": "1.0", "situacao": 5}': "situacao: wrong type", f'{{{good}, "error": null}}': "payload: corrupt"}
     df = spark.createDataFrame([(j,) for j in cases], "j string").selectExpr("j", f"array_join({sql}, '; ') AS e")
     assert {r.j: r.e for r in df.collect()} == cases
+
+
+def test_streamed_ownership_takes_three_batches(spark, tmp_path, monkeypatch):
+    rows = [(k, f"2024-01-{1 + k % 28:02d} 00:00:00", k % 5, "click", 1.0, '{"k": 1}') for k in range(200)]
+    (spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
+     .withColumn("ts", C("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet"))
+    seen, real = set(), streams.ownership.update
+    monkeypatch.setattr(streams.ownership, "update", lambda batch, n, *a: seen.add(n) or real(batch, n, *a))
+    assert streams.stream_ownership(spark, str(tmp_path)).count() == 5
+    assert seen == {0, 1, 2}
