@@ -7,7 +7,7 @@ from helpers import doc, land
 from pyspark.sql import functions as F
 
 from queuelens.operators import contract, profile, spread
-from queuelens.plans import reports
+from queuelens.plans import heatmap, kpi, reports
 from queuelens.streaming import ingest
 from queuelens.workload import streams
 
@@ -89,3 +89,15 @@ def test_streamed_ownership_takes_three_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(streams.ownership, "update", lambda batch, n, *a: seen.add(n) or real(batch, n, *a))
     assert streams.stream_ownership(spark, str(tmp_path)).count() == 5
     assert seen == {0, 1, 2}
+
+
+def test_heat_map_and_headline_rows_are_spread(spark, monkeypatch):
+    seen = []
+    for module in (heatmap, kpi):
+        monkeypatch.setattr(module, "spread", lambda rows, *keys: seen.append(keys) or spread.spread(rows, *keys), raising=False)
+    rows = spark.createDataFrame([("1", "a", "d")], "numeroCMCE string, a string, b string")
+    assert heatmap.cells(rows, "a", "b", 5, 5).count() == 1
+    wide = rows.select("numeroCMCE", *[F.lit("x").alias(c) for c in kpi.DIMENSIONS.values()], F.lit("").alias("entidade_classificacaoRisco_cor"),
+                       *[F.lit("2024-01-01").cast("timestamp").alias(c) for c in ("dataSolicitacao", "dataCadastro")])
+    assert kpi.kpi_base(wide, None, "2024-02-01").first().pacientes == 1
+    assert seen == [("numeroCMCE", "a", "b"), ("numeroCMCE", *kpi.DIMENSIONS.values())]
