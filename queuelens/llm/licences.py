@@ -30,6 +30,8 @@ an empty table gives an empty result; texts and passages of any length are read
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
@@ -179,12 +181,14 @@ def key_words(least: float) -> list[str]:
 
 
 def has_key_word(text: Column, least: float) -> Column:
-    return F.lower(text).rlike("|".join(map(re.escape, key_words(least))))
+    """A search for each word in the bytes; a regex would try all words at every character. The text is lowered once."""
+    return F.exists(F.array(F.lower(text)), lambda low: reduce(or_, map(low.contains, key_words(least))))
 
 
 def passages(text: Column) -> Column:
     """The sentences of the paragraphs, white space as one space."""
-    cut = lambda p: F.split(F.trim(F.regexp_replace(p, r"\s+", " ")), r"(?<=[.!?]) (?=[\"'(©]*\p{Lu})")
+    # a blank that stands alone is left as it is, and a cut is looked for at blanks only
+    cut = lambda p: F.split(F.trim(F.regexp_replace(p, r"\s{2,}|[^\S ]", " ")), r" (?<=[.!?] )(?=[\"'(©]*\p{Lu})")
     return F.flatten(F.transform(F.split(text, r"\n(?:[^\S\n]*\n)+"), cut))
 
 
@@ -217,10 +221,15 @@ def training_lines(spark: SparkSession, docs: DataFrame, text_col: str, variants
     version = F.col("version")
     varied = fixed.withColumn("version", F.explode(F.sequence(F.lit(0), F.lit(variants - 1)))).select(
         _varied(F.col("line"), version).alias("line"), "family", (version % 4 == 3).alias("held"))
-    lines = docs.select(F.explode(passages(F.col(f"`{text_col}`"))).alias("line"))
+    lines = docs.select(F.explode(passages(F.col(f"`{text_col}`"))).alias("line")).where(F.length("line") > 0)
     key = F.xxhash64("line", F.lit("licence"))
-    plain = lines.where(~has_key_word(F.col("line"), least) & (F.length("line") > 0))
-    sample = plain.distinct().orderBy(key, "line").limit(other_lines)
+    # the first lines in the order of the hash: those of the lowest 64th of the hashes, if they are enough, else of all
+    for cut in (-(1 << 63) + (1 << 58), None):
+        low = lines if cut is None else lines.where(key < cut)
+        plain = low.distinct().where(~has_key_word(F.col("line"), least))
+        sample = materialize(plain.orderBy(key, "line").limit(other_lines), "licence-sample")
+        if cut is None or sample.count() >= other_lines:
+            break
     plain = sample.select("line", F.lit(UNKNOWN).alias("family"), (F.pmod(key, F.lit(4)) == 3).alias("held"))
     return varied.union(plain).where(F.col("line") != "")
 

@@ -114,3 +114,17 @@ def test_edge_cases(spark, classifier, edge_docs, no_docs):
 
 def test_fit_without_documents(no_docs):
     assert licences.Classifier.fit(no_docs, variants=4).threshold >= 0.5
+
+
+def test_key_words_are_found_without_a_regex_and_the_sample_is_the_same(spark):
+    rows = [(k, f"Satz {k} ohne Wort.  Noch\teiner {k}!\n \nThe license {k}.") for k in range(400)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id int, text string")
+    line = licences.F.col("line")
+    lines = docs.select(licences.F.explode(licences.passages(licences.F.col("text"))).alias("line"))
+    assert "RLIKE" not in lines.where(licences.has_key_word(line, LEAST))._jdf.queryExecution().optimizedPlan().toString()
+    plain = lines.where(~line.contains("license")).distinct()
+    for most in (3, 500):
+        want = plain.orderBy(licences.F.xxhash64("line", licences.F.lit("licence")), "line").limit(most)
+        got = licences.training_lines(spark, docs, "text", 1, most, LEAST).where("family = 'unknown'").select("line")
+        fixed = set(licences.OTHER_LINES)
+        assert {r.line for r in got.collect()} - fixed == {r.line for r in want.collect()}
