@@ -43,10 +43,12 @@ def raw_rows(documents: DataFrame, text: str = "conteudo_json", list_name: str =
     the same key.
     """
     j = F.col(text)
-    staged = documents.withColumn("__v", F.try_parse_json(j)).filter(STORABLE)
-    return staged.select(stored_key(j).alias("protocolo"), F.current_timestamp().alias("data_captura"),
-                         F.expr(STAMP_OF).alias("data_alteracao"), j.alias("conteudo_json"),
-                         F.col(list_name).alias("origem_lista"), *keep)
+    # a filter on the parsed value would be pushed below the parse and repeat it for each of its terms
+    parsed = f"transform(array(try_parse_json({text})), __v -> struct({KEY_OF} AS __k, {STAMP_OF} AS __stamp, {STORABLE} AS __ok))"
+    found = documents.select(j, F.col(list_name), *keep, F.inline(F.expr(f"filter({parsed}, r -> r.__ok)")))
+    return found.select(F.coalesce("__k", F.concat(F.lit(NO_KEY), F.sha2(j, 256))).alias("protocolo"),
+                        F.current_timestamp().alias("data_captura"), F.col("__stamp").alias("data_alteracao"),
+                        j.alias("conteudo_json"), F.col(list_name).alias("origem_lista"), *keep)
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int, by: tuple[str, ...] = ()) -> None:
