@@ -22,6 +22,9 @@ CORRUPT = "_corrupt_record"
 _JSON_OPTIONS = {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}
 _SQL_OPTIONS = f"map('columnNameOfCorruptRecord', '{CORRUPT}', 'mode', 'PERMISSIVE')"
 
+# White space of a regex, as a set of characters: no text is decoded to look at its first one.
+_BLANKS = r" \t\n\u000B\u000C\r"
+
 ITEMS_DDL = ("itensEvolucao ARRAY<STRUCT<codigo: STRING, label: STRING, texto: STRING>>, "
              f"{CORRUPT} STRING")
 SNAPSHOT_DDL = f"{DETAILS_DDL}, {CORRUPT} STRING"
@@ -29,9 +32,9 @@ SNAPSHOT_DDL = f"{DETAILS_DDL}, {CORRUPT} STRING"
 
 # --- parsing ----------------------------------------------------------------------------
 
-def parse_document(text: Column) -> Column:
+def parse_document(text: Column, ddl: str = DOCUMENT_DDL) -> Column:
     """Typed struct of a document; ``_corrupt_record`` is set where the text is no document."""
-    return F.from_json(text, f"{DOCUMENT_DDL}, {CORRUPT} STRING", _JSON_OPTIONS)
+    return F.from_json(text, f"{ddl}, {CORRUPT} STRING", _JSON_OPTIONS)
 
 
 def parse_details(x: str, ddl: str = ITEMS_DDL) -> str:
@@ -39,7 +42,7 @@ def parse_details(x: str, ddl: str = ITEMS_DDL) -> str:
 
     Broken JSON sets ``_corrupt_record``; readers go through ``intact``.
     """
-    return rf"from_json(CASE WHEN {x} RLIKE r'^\s*\{{' THEN {x} END, '{ddl}', {_SQL_OPTIONS})"
+    return f"from_json(CASE WHEN startswith(ltrim('{_BLANKS}', {x}), '{{') THEN {x} END, '{ddl}', {_SQL_OPTIONS})"
 
 
 def intact(parsed: str, field: str) -> str:
@@ -47,6 +50,11 @@ def intact(parsed: str, field: str) -> str:
     return f"CASE WHEN {parsed}.{CORRUPT} IS NULL THEN {parsed}.{field} END"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def sorted_events(events: str) -> str:
     """Events in time order; missing time is 0, ties keep their place."""
     return f"""transform(array_sort(transform(coalesce({events}, array()), (e, i) -> struct(
@@ -65,27 +73,31 @@ def item_texts(det: str) -> str:
         t -> t.texto <> '')"""
 
 
-def display_events(events: str) -> str:
-    """Parsed events with display time, user, state and items."""
-    return f"""transform({events}, k -> struct(
-        k.ms AS ms, {q.ms_text('k.ms')} AS when, coalesce(k.e.usuario.nome, 'Sistema') AS user,
-        coalesce(k.e.usuario.cpf, '') AS cpf, k.e.usuario.nome AS actor, coalesce(k.e.perfil, '') AS perfil,
-        coalesce(k.e.operacaoSolicitacao, '') AS oper, coalesce(k.e.situacaoAnterior, '') AS before,
-        coalesce(k.e.situacaoAtual, '') AS state, {item_texts('k.det')} AS items))"""
+def until_final(events: str) -> str:
+    """Sorted events up to and including the first final state."""
+    end = f"array_position(transform({events}, k -> coalesce(k.e.situacaoAtual, '') IN ({q.quoted(FINAL_STATES)})), TRUE)"
+    return f"slice({events}, 1, CAST(coalesce(nullif({end}, 0L), size({events})) AS INT))"
+
 
+# Times, names and items of the cut events are columns of their own: a result that reads no items parses no details.
 
-def until_final(events: str) -> str:
-    """Events up to and including the first final state."""
-    end = f"array_position(transform({events}, e -> e.state IN ({q.quoted(FINAL_STATES)})), TRUE)"
-    return f"CASE WHEN {end} > 0 THEN slice({events}, 1, CAST({end} AS INT)) ELSE {events} END"
+def event_times(events: str) -> str:
+    """Display time and user of each event."""
+    return f"""transform({events}, k -> struct({q.ms_text('k.ms')} AS when, coalesce(k.e.usuario.nome, 'Sistema') AS user))"""
+
+
+def event_items(events: str) -> str:
+    """Label and text of the items of each event."""
+    return f"transform({events}, k -> {_let('det', parse_details('k.e.detalhes'), item_texts('det'))})"
 
 
 # --- folds over the events of one document ----------------------------------------------
 
 def ownership_of(events: str) -> str:
     """Time per owner, interactions and present owner of events cut at the final state."""
-    mark = (f"CASE WHEN e.state IN ({q.quoted(REGULATOR_STATES)}) THEN '{REGULATOR}' "
-            f"WHEN e.state IN ({q.quoted(REQUESTER_STATES)}) THEN '{REQUESTER}' END")
+    state = "e.e.situacaoAtual"
+    mark = (f"CASE WHEN {state} IN ({q.quoted(REGULATOR_STATES)}) THEN '{REGULATOR}' "
+            f"WHEN {state} IN ({q.quoted(REQUESTER_STATES)}) THEN '{REQUESTER}' END")
     delta = "coalesce(e.ms - a.last_ms, 0L)"
     return f"""aggregate({events},
         struct(0L AS requester_ms, 0L AS regulator_ms, 0L AS interactions, '{REQUESTER}' AS owner,
@@ -93,7 +105,7 @@ def ownership_of(events: str) -> str:
         (a, e) -> struct(
             a.requester_ms + if(a.owner = '{REQUESTER}', {delta}, 0L) AS requester_ms,
             a.regulator_ms + if(a.owner = '{REGULATOR}', {delta}, 0L) AS regulator_ms,
-            a.interactions + if(e.state IN ({q.quoted(REGULATOR_STATES)}), 1L, 0L) AS interactions,
+            a.interactions + if({state} IN ({q.quoted(REGULATOR_STATES)}), 1L, 0L) AS interactions,
             coalesce({mark}, a.owner) AS owner, e.ms AS last_ms))"""
 
 
@@ -102,11 +114,11 @@ def is_clinical(item: Column) -> Column:
     return label.isin(CLINICAL_LABELS) | fold_compat(label).isin(CLINICAL_LABELS)
 
 
-def clinical_events(events: Column) -> Column:
+def clinical_events(times: Column, items: Column) -> Column:
     """Events that have clinical items, with only those items."""
-    picked = F.transform(events, lambda e: F.struct(
+    picked = F.transform(times, lambda e, n: F.struct(
         e["when"].alias("when"), e["user"].alias("user"),
-        F.filter(e["items"], is_clinical).alias("items")))
+        F.filter(F.get(items, n), is_clinical).alias("items")))
     return F.filter(picked, lambda e: F.size(e["items"]) > 0)
 
 
@@ -116,24 +128,26 @@ def clinical_fold(clinical: str) -> str:
         concat('[', e.when, ' | ', e.user, ']: ', i.texto)))), ' || ')"""
 
 
-def full_fold(events: str) -> str:
+def full_fold(events: str, times: str, items: str) -> str:
     """'[date | user] -> op (a ➔ b) | label: text ...' per event, joined by ' || '."""
-    return f"""array_join(transform({events}, e -> concat(
-        '[', e.when, ' | ', e.user, '] -> ', e.oper, ' (', e.before, ' ➔ ', e.state, ')',
-        array_join(transform(e.items, i -> concat(' | ', i.label, ': ', i.texto)), ''))), ' || ')"""
+    return f"""array_join(transform({events}, (k, n) -> concat(
+        '[', {times}[n].when, ' | ', {times}[n].user, '] -> ', {q.blank('k.e.operacaoSolicitacao')}, ' (',
+        {q.blank('k.e.situacaoAnterior')}, ' ➔ ', {q.blank('k.e.situacaoAtual')}, ')',
+        array_join(transform({items}[n], i -> concat(' | ', i.label, ': ', i.texto)), ''))), ' || ')"""
 
 
 def actors_joined(events: str) -> str:
-    return (f"array_join(array_sort(array_distinct(filter(transform({events}, e -> e.actor), "
+    return (f"array_join(array_sort(array_distinct(filter(transform({events}, k -> k.e.usuario.nome), "
             "n -> n <> ''))), ' | ')")
 
 
-def events_json(events: str) -> str:
+def events_json(events: str, times: str, items: str) -> str:
     """Compact JSON text of the cleaned events."""
-    return f"""to_json(transform({events}, e -> struct(
-        e.when AS data, e.user AS usuario_nome, e.cpf AS usuario_cpf, e.perfil AS perfil,
-        e.oper AS operacaoSolicitacao, e.before AS situacaoAnterior, e.state AS situacaoAtual,
-        e.items AS detalhes_limpos)))"""
+    return f"""to_json(transform({events}, (k, n) -> struct(
+        {times}[n].when AS data, {times}[n].user AS usuario_nome, {q.blank('k.e.usuario.cpf')} AS usuario_cpf,
+        {q.blank('k.e.perfil')} AS perfil, {q.blank('k.e.operacaoSolicitacao')} AS operacaoSolicitacao,
+        {q.blank('k.e.situacaoAnterior')} AS situacaoAnterior, {q.blank('k.e.situacaoAtual')} AS situacaoAtual,
+        {items}[n] AS detalhes_limpos)))"""
 
 
 # --- columns ----------------------------------------------------------------------------
@@ -192,11 +206,11 @@ def _snapshot_columns() -> dict[str, str]:
 
 
 def _history_columns() -> dict[str, str]:
-    """Columns read from the shown events ``ev`` and the folds ``own`` and ``clinical``.
+    """Columns read from the cut events ``ev``, their ``times`` and ``items`` and the folds ``own`` and ``clinical``.
 
     An empty history leaves the fold's start value, whose last time is null.
     """
-    last = "try_element_at(ev, -1).state"
+    last = "try_element_at(ev, -1).e.situacaoAtual"
     ended = f"coalesce({last} IN ({q.quoted(FINAL_STATES)}), FALSE)"
     kind = "CASE " + " ".join(f"WHEN {last} IN ({q.quoted(states)}) THEN '{name}'"
                               for name, states in OUTCOMES.items()) + " ELSE '' END"
@@ -208,7 +222,7 @@ def _history_columns() -> dict[str, str]:
         return q.python_round(f"{ms} / {MS_PER_DAY}D", 2)
 
     def reached(state: str) -> str:
-        return f"exists(ev, e -> e.state = '{state}')"
+        return f"exists(ev, k -> coalesce(k.e.situacaoAtual, '') = '{state}')"
 
     return {
         "SLA_Tempo_Solicitante_Dias": days(requester), "SLA_Tempo_Regulador_Dias": days(regulator),
@@ -221,7 +235,8 @@ def _history_columns() -> dict[str, str]:
         "dataCadastro": q.blank("get(clinical, 0).when"),
         "medicoSolicitante": q.blank("get(clinical, 0).user"),
         "historico_quadro_clinico": clinical_fold("clinical"),
-        "historico_evolucoes_completo": full_fold("ev"), "evolucoes_json": events_json("ev"),
+        "historico_evolucoes_completo": full_fold("ev", "times", "items"),
+        "evolucoes_json": events_json("ev", "times", "items"),
     }
 
 
@@ -233,10 +248,10 @@ def flatten(raw: DataFrame, as_of, salt: str, text: str = "conteudo_json",
         raw.select(*keep, F.col(list_name).alias("__list"), parse_document(F.col(text)).alias("d"))
         .selectExpr("*", f"{sorted_events('d.evolucoes')} AS sorted")
         .selectExpr("*", f"{parse_details('get(sorted, 0).e.detalhes', SNAPSHOT_DDL)} AS first",
-                    f"{parsed_events('sorted')} AS parsed")
-        .selectExpr("*", f"{intact('first', 'entidade')} AS x", f"{display_events('parsed')} AS shown")
-        .selectExpr("*", f"{until_final('shown')} AS ev")
-        .withColumns({"own": F.expr(ownership_of("ev")), "clinical": clinical_events(F.col("ev")),
+                    f"{until_final('sorted')} AS ev")
+        .selectExpr("*", f"{intact('first', 'entidade')} AS x", f"{event_times('ev')} AS times",
+                    f"{event_items('ev')} AS items", f"{ownership_of('ev')} AS own")
+        .withColumns({"clinical": clinical_events(F.col("times"), F.col("items")),
                       "__salt": F.lit(salt), "__now": now_ms}))
     columns = _root_columns() | _snapshot_columns() | _history_columns()
     return staged.selectExpr(*keep, *[f"{columns[c]} AS {c}" for c in REQUEST_COLUMNS])
