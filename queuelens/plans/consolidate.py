@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions import hash_raw
-from ..operators.contract import with_errors
+from ..operators.contract import ROOT_FIELDS, errors_expression, with_errors
 from ..operators.dedup import keep_last
 from ..schema import DIRECT_IDENTIFIERS, TEXT_EXPORT_COLUMNS
 from ..sources.files import load_csv, write_parquet
@@ -74,7 +74,9 @@ def convert_raw(raw: DataFrame, as_of, salt: str) -> tuple[DataFrame, DataFrame]
 
 
 def _convertible(raw: DataFrame) -> DataFrame:
-    unusable = F.exists("errors", lambda e: e.startswith("payload") | e.startswith("document")
+    # the verdict comes from these checks alone; all errors are listed for the rows that are asked for them
+    broken = F.expr(errors_expression("conteudo_json", root=ROOT_FIELDS[:1], blocks={}, event_fields=[]))
+    unusable = F.exists(broken, lambda e: e.startswith("payload") | e.startswith("document")
                         | e.startswith("numeroCMCE: missing") | (e == "evolucoes: wrong type")
                         | (e == "evolucoes: null"))
     return with_errors(raw).withColumn("usable", ~unusable)
