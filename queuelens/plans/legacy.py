@@ -33,9 +33,22 @@ HISTORY_ITEM = r"(?s)\[(.*?)\s*\|\s*(.*?)\s*\|\s*(.*?)\]:\s*(.*)"
 HISTORY_FIELDS = ["Data_Evolucao", "Tipo_Informacao", "Origem_Informacao", "Texto_Evolucao"]
 
 
+# Fields that the retired layouts read of a document; the others are skipped by the parser.
+LEGACY_DDL = (
+    "numeroCMCE STRING, situacao STRING, corRegulador STRING, dataSolicitacao STRING, dataPrimeiroAgendamento STRING, "
+    "liminarOrdemJudicial STRING, complexidade STRING, usuarioSUS STRUCT<nomeCompleto: STRING, dataNascimento: STRING, "
+    "cpf: STRING, cartaoSus: STRING, nomeMae: STRING, sexo: STRING, racaCor: STRING, nacionalidade: STRING, "
+    "logradouro: STRING, numero: STRING, complemento: STRING, bairro: STRING, cep: STRING>, "
+    "usuarioSolicitante STRUCT<nome: STRING, email: STRING>, especialidade STRUCT<descricao: STRING, "
+    "descricaoAuxiliar: STRING, especialidadeMae: STRUCT<descricao: STRING, cbo: STRUCT<descricao: STRING>>>, "
+    "cidPrincipal STRUCT<codigo: STRING, descricao: STRING>, classificacaoRisco STRUCT<totalPontos: STRING, cor: STRING>, "
+    "unidadeSolicitante STRUCT<nome: STRING>, "
+    "evolucoes ARRAY<STRUCT<data: STRING, usuario: STRUCT<nome: STRING>, detalhes: STRING>>")
+
+
 def parsed_documents(raw: DataFrame, text: str = "conteudo_json") -> DataFrame:
-    """Add the document struct ``d`` and its parsed ``events``, one stage per parse."""
-    return (raw.withColumn("d", parse_document(F.col(text)))
+    """Add the document struct ``d`` (the fields of these layouts) and its parsed ``events``, one stage per parse."""
+    return (raw.withColumn("d", parse_document(F.col(text), LEGACY_DDL))
             .selectExpr("*", f"{sorted_events('d.evolucoes')} AS __sorted")
             .selectExpr("*", f"{parsed_events('__sorted')} AS events").drop("__sorted"))
 
