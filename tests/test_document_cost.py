@@ -17,7 +17,7 @@ def plan(df):
 
 
 def test_store_rows_parse_a_document_once(spark):
-    assert plan(stores.raw_rows(raw(spark))).count("parseJson,") == 1
+    assert plan(stores.raw_rows(raw(spark))).count(".parseJson(") == 1
     texts = ['{"numeroCMCE":7,"dataAlterouUltimaSituacao":9}', '{"error":"x"}', "null", "no", None, "[1]"]
     df = spark.createDataFrame([(t, "l") for t in texts], "conteudo_json string, origem_lista string")
     rows = {r.conteudo_json: (r.protocolo, r.data_alteracao) for r in stores.raw_rows(df).collect()}
