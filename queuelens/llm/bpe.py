@@ -3,7 +3,8 @@
 The tokenizer never joins characters across the place where white space begins, never a run of letters with the
 punctuation after it, and never a single line end with what stands around it. A text whose words are parted by single
 spaces and line ends is therefore the ids of its words in a row, each with the space before it if there is one. The
-distinct words of a batch of texts are looked up or encoded once, and the texts' ids are gathered from them. Any other
+distinct words of a batch of texts are looked up or encoded once, and the texts' ids are gathered from them. A look-up
+costs the same however many words are known, and words that are not known are encoded many at a time, a line each. Any other
 text (further white space or control characters, two separators in a row, separators at its ends, a string that is an added
 token of the vocabulary) is encoded whole.
 """
@@ -27,11 +28,13 @@ WHOLE = (r"[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{202
 TAIL = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-&(-/:-@\[-`{-~])"
 #: Marks a word that has no space before it.
 BARE = "\x01"
+#: Words that are encoded in one text.
+TOGETHER = 100
 _OPEN: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """``words`` are the known words in an Arrow array (some 15 bytes each), ``ids`` their ids in a row."""
+    """``words`` has the known words' ids as bytes (some 150 bytes a word)."""
 
     def __init__(self, path: str, most_cached: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -41,8 +44,9 @@ class Encoder:
         # the library finds these strings in a text before anything else
         self.whole = "|".join([WHOLE, *(re.sub(r"[^A-Za-z0-9]", lambda m: rf"\x{{{ord(m[0]):x}}}", t) for t in added)])
         self.most_cached = most_cached
-        self.words = pa.array([], pa.string())
-        self.ids, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int32)
+        line_end, = self.plain(["\n"])
+        self.line_end = np.frombuffer(line_end, "<u4")[0]  # one byte, so one id, and no other word has it
+        self.words = {BARE + "\n": line_end}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -55,32 +59,32 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("I", f.ids).tobytes() for f in found]
 
-    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids at hand, and where each of the distinct ``words`` starts in them and how many it has."""
-        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
-        new = np.flatnonzero(at < 0)
-        ids, sizes = self.ids, self.sizes
-        if len(new):
-            added = words.take(pa.array(new))
-            found = self.plain([w[1:] if w[0] == BARE else " " + w for w in added.to_pylist()])
-            ids = np.concatenate((ids, np.frombuffer(b"".join(found), "<u4")))
-            sizes = np.concatenate((sizes, np.fromiter(map(len, found), np.int32, len(found)) >> 2))
-            at = at.copy()
-            at[new] = len(self.words) + np.arange(len(new))
-            room = self.most_cached - len(self.words)
-            if room > 0:
-                self.words = pa.concat_arrays([self.words, added.slice(0, room)])
-                self.sizes = sizes[:len(self.words)]
-                self.ids = ids[:self.sizes.sum()]
-        starts = np.cumsum(sizes, dtype=np.int64) - sizes
-        return ids, starts[at], sizes[at]
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; no word is a line end."""
+        texts = [w[1:] if w[0] == BARE else " " + w for w in words]
+        lines = b"".join(self.plain(["\n".join(texts[k:k + TOGETHER]) + "\n" for k in range(0, len(texts), TOGETHER)]))
+        ends = (4 * np.flatnonzero(np.frombuffer(lines, "<u4") == self.line_end)).tolist()
+        return [lines[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends)]
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the distinct ``words`` in a row, and how many each has."""
+        ids = list(map(self.words.get, words))
+        new = [k for k, x in enumerate(ids) if x is None]
+        added = [words[k] for k in new]
+        found = self._encoded(added)
+        for k, x in zip(new, found):
+            ids[k] = x
+        room = max(self.most_cached - len(self.words), 0)
+        self.words.update(zip(added[:room], found))
+        return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
 
     def _gathered(self, texts: pa.Array) -> list[bytes]:
         lines = pc.replace_substring(texts, "\n", f" {BARE}\n {BARE}")
         parted = pc.replace_substring_regex(lines, TAIL, rf"\1 {BARE}\2")
         lists = pc.split_pattern(pc.binary_join_element_wise(BARE, parted, ""), " ")
         known = lists.flatten().dictionary_encode()
-        ids, starts, sizes = self._ids_of(known.dictionary)
+        ids, sizes = self._ids_of(known.dictionary.to_numpy(zero_copy_only=False).tolist())
+        starts = np.cumsum(sizes) - sizes
         at = known.indices.to_numpy()
         counts = sizes[at]
         ends = np.cumsum(counts, dtype=np.int64)

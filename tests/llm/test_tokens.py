@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -52,6 +53,34 @@ def test_encoder_with_a_full_memory():
     assert len(tight.words) == 50
 
 
+def test_a_look_up_costs_the_same_with_many_known_words():
+    rng = random.Random(6)
+    many, few = Encoder(PATH), Encoder(PATH)
+    many.encode([" ".join("".join(rng.choices("abcdefgh", k=8)) for _ in range(150_000))])
+    assert len(many.words) > 140_000
+    few.encode(["a few words"])
+
+    def cost(encoder):
+        start = time.process_time()
+        for _ in range(100):
+            encoder.encode(["a few words"])
+        return time.process_time() - start
+
+    cost(few), cost(many)
+    assert min(cost(many) for _ in range(3)) < 5 * min(cost(few) for _ in range(3)) + 0.1
+
+
+def test_new_words_are_encoded_many_at_a_time(library):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcé,.'1中", k=rng.randint(1, 5))) for _ in range(1000)]
+    texts = [words[0], " ".join(words), "\n".join(words[:300]), "x\ny", " ".join(words[:101])]
+    encoder, calls = Encoder(PATH), []
+    plain = encoder.plain
+    encoder.plain = lambda texts: calls.append(len(texts)) or plain(texts)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == [library(t) for t in texts]
+    assert sum(calls) < len(set(words)) / 20
+
+
 def check_files(spark, docs, library):
     path = tokenfile.write_tokens(docs, PATH, 2)
     files = tokenfile.read_tokens(spark, path)
