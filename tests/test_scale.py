@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from queuelens.operators import contract, profile, spread
 from queuelens.plans import heatmap, kpi, reports
+from queuelens.sources import stores
 from queuelens.streaming import ingest
 from queuelens.workload import streams
 
@@ -36,6 +37,27 @@ def test_checked_documents_are_dealt_out_by_their_stored_key(spark, tmp_path):
     staged.unpersist()
 
 
+def test_a_batch_of_hash_parts_fills_all_tasks(spark, tmp_path):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(4000).select(C("id").cast("string").alias("key"), F.to_json(F.struct(
+        C("id").alias("numeroCMCE"), F.lit("A").alias("situacao"))).alias("conteudo_json"), F.lit("l").alias("origem_lista"))
+    rows.repartition(parts, "key").write.json(str(tmp_path / "in"))
+    one = sorted(glob.glob(f"{tmp_path}/in/part-*"))[:1]  # one file of a hash by key over as many parts as a shuffle has
+    batch = spark.read.schema(ingest.LANDING_SCHEMA).json(one).withColumn("file", F.struct(F.lit(1).alias("n")))
+    sizes = [r["count"] for r in ingest._staged(batch, spark.createDataFrame([], ingest.MARKS_SCHEMA)).groupBy(
+        F.spark_partition_id()).count().collect()]
+    assert len(sizes) > parts and max(sizes) < 2 * min(sizes) and sum(sizes) == batch.count()
+
+
+def test_objects_are_taken_apart_in_one_pass(spark):
+    sql = contract.errors_expression("j")
+    assert sql.count("try_variant_get(v, '$', 'STRUCT<") == 1 and sql.count("'$.numeroCMCE'") == sql.count("'$.data'") == 0
+    texts = {'{"numeroCMCE": "7", "dataAlterouUltimaSituacao": 9}': ("7", 9, True), '{"error": null}': (None, 0, False),
+             "[1]": (None, 0, True), "null": (None, 0, False), "no": (None, 0, False)}
+    df = spark.createDataFrame([(t,) for t in texts], "j string").selectExpr("j", f"{stores.head_of('j')} AS h")
+    assert {r.j: tuple(r.h) for r in df.collect()} == texts
+
+
 def _rows(spark, tmp_path, n):
     path = str(tmp_path / "rows")
     (spark.range(0, n, 1, 4).select((C("id") % 5000).alias("numeroCMCE"), F.concat(F.lit("M"), C("id") % 3).alias("a"),
